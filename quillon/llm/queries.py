@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, ngram_join
 
 QUERIES = {
+    "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
 ORACLE_SQL = {
+    "op6_ngram_jaccard_join": ngram_join.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
