@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup, ngram_join
+from . import line_dedup, mixing, ngram_join
 
 QUERIES = {
+    "op5_source_mix": mixing.op5_source_mix,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
