@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
@@ -26,6 +26,8 @@ from .scratch import Scratch
 
 #: Per task, and over all documents: how many tokens are ranked by frequency; the others count as rare. A bound of what is sent, and without effect on results: any order of tokens is valid.
 LOCAL_TOKENS, RANKED_TOKENS = 16384, 65536
+#: Bytes of text that are hashed at a time, and the bits of the filter of candidate documents (2 MB).
+CHUNK, BLOOM_BITS = 1 << 20, 24
 _ORDERS = (np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -40,15 +42,23 @@ def token_levels(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that many documents hold, in hash order, with their level: the logarithm of their number of documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, number = np.zeros(0, T.U), np.zeros(0, np.int64)
-        for batch in T.chunks(batches):
-            new, n = np.unique(np.concatenate([np.zeros(0, T.U), *_sets(batch, k)]), return_counts=True)
-            token, at = np.unique(np.concatenate([token, new]), return_inverse=True)
-            number = np.bincount(at, np.concatenate([number, n]), len(token)).astype(np.int64)
-            if len(token) > 1 << 20:  # keeps the more frequent ones
-                most = np.argsort(-number, kind="stable")[: 1 << 18]
-                most.sort()
-                token, number = token[most], number[most]
+        token, number, held = np.zeros(0, T.U), np.zeros(0, np.int64), []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            new, n = np.unique(np.concatenate([np.zeros(0, T.U), *held]), return_counts=True)
+            both, at = np.unique(np.concatenate([token, new]), return_inverse=True)
+            total = np.bincount(at, np.concatenate([number, n]), len(both)).astype(np.int64)
+            if len(both) > 1 << 19:  # the more frequent ones stay
+                most = np.sort(np.argsort(-total, kind="stable")[: 1 << 17])
+                both, total = both[most], total[most]
+            return both, total
+
+        for batch in T.chunks(batches, limit=CHUNK):
+            held += _sets(batch, k)
+            if sum(map(len, held)) > 1 << 19:
+                token, number = merged()
+                held = []
+        token, number = merged()
         many = np.flatnonzero(number > 1)
         many = many[np.argsort(-number[many], kind="stable")[:LOCAL_TOKENS]]
         yield pa.RecordBatch.from_arrays([pa.array(T.int64(token[many])), pa.array(number[many])], ["token", "n"])
@@ -61,69 +71,92 @@ def token_levels(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], level[order]
 
 
-def prefix_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """For each row doc_id, n (size of its set), h1 and h2 (a hash of the set), rare (share of rare tokens), p1, p2, p3 (prefixes)."""
-    tokens, levels = token_levels(docs, k)
-    ranked = docs.sparkSession.sparkContext.broadcast((tokens, levels))
+class Orders:
+    """The global orders: by level, rarest first, and within a level by one hash or another."""
+
+    def __init__(self, ranked: tuple[np.ndarray, np.ndarray], percent: int):
+        self.tokens, self.levels = ranked
+        self.percent = percent
+
+    def level(self, tokens: np.ndarray) -> np.ndarray:
+        if not len(self.tokens):
+            return np.zeros(len(tokens), T.U)
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == tokens, self.levels[at], T.U(0))
+
+    def prefix(self, tokens: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
+        """Which tokens of a set are its prefix under an order."""
+        n = len(tokens)
+        p = n - (self.percent * n + 99) // 100 + 1
+        if p >= n:
+            return np.arange(n)
+        rank = (level << T.U(58)) | (T.splitmix(tokens ^ _ORDERS[order]) >> T.U(6))
+        return np.argpartition(rank, p - 1)[:p]
+
+
+def prefix_table(docs: DataFrame, k: int, orders) -> DataFrame:
+    """For each row doc_id, n (size of its set), h1 and h2 (a hash of the set) and the first order's prefix: rare tokens and frequent ones."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, levels = ranked.value
-        for batch in T.chunks(batches):
-            sets = _sets(batch, k)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            every = np.concatenate([np.zeros(0, T.U), *sets])
-            level = np.zeros(len(every), T.U)
-            if len(tokens):
-                at = np.minimum(np.searchsorted(tokens, every), len(tokens) - 1)
-                level = np.where(tokens[at] == every, levels[at], T.U(0))
-            top = level << T.U(58)
-            mixed = [T.splitmix(every ^ x) if x else every for x in _ORDERS]
-            ranks = [top | (m >> T.U(6)) for m in mixed]
-            sums = [T.splitmix(every), T.splitmix(every ^ T.U(0x5851F42D4C957F2D))]
-            ends = np.cumsum(sizes)
-            out: list[list[np.ndarray]] = [[], [], []]
-            length, h1, h2, rare = [], [], [], []
-            for n, e in zip(sizes.tolist(), ends.tolist()):
-                p = n - (percent * n + 99) // 100 + 1 if n else 0
-                b = e - n
-                for j in range(3):
-                    own = ranks[j][b:e]
-                    out[j].append(every[b:e][np.argpartition(own, p - 1)[:p]] if p < n else every[b:e])
-                length.append(p)
-                h1.append(int(sums[0][b:e].sum()) & (2**64 - 1) if n else 0)
-                h2.append(int(sums[1][b:e].sum()) & (2**64 - 1) if n else 0)
-                rare.append(1000 * int((level[b:e] == 0).sum()) // n if n else 0)
-            lists = [T.list_column(np.concatenate([np.zeros(0, T.U), *x]), length) for x in out]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes), *[pa.array(T.int64(np.array(h, T.U))) for h in (h1, h2)], pa.array(rare, pa.int64()), *lists],
-                ["doc_id", "n", "h1", "h2", "rare", "p1", "p2", "p3"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(prefixes, "doc_id long, n long, h1 long, h2 long, rare long, p1 array<long>, p2 array<long>, p3 array<long>")
-
-
-def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+        by = orders.value
+        for batch in T.chunks(batches, limit=CHUNK):
+            rare, frequent, rows = [], [], []
+            for own in _sets(batch, k):
+                level = by.level(own)
+                first = by.prefix(own, level, 0) if len(own) else np.zeros(0, np.int64)
+                low = level[first] == 0
+                rare.append(own[first[low]])
+                frequent.append(own[first[~low]])
+                rows.append((len(own), T.splitmix(own).sum(dtype=T.U), T.splitmix(own ^ T.U(0x5851F42D4C957F2D)).sum(dtype=T.U)))
+            sizes, h1, h2 = (pa.array(T.int64(np.array(x, T.U))) for x in zip(*rows))
+            lists = [T.list_column(np.concatenate(x), [len(y) for y in x]) for x in (rare, frequent)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, h1, h2, *lists], ["doc_id", "n", "h1", "h2", "rare", "frequent"])
+
+    return docs.mapInArrow(prefixes, "doc_id long, n long, h1 long, h2 long, rare array<long>, frequent array<long>")
+
+
+def _bloom(ids: DataFrame) -> np.ndarray:
+    """A bitmap of 2^BLOOM_BITS bits in which each id has its own two: all that reaches the driver, however many ids there are."""
+    word = F.explode(F.array(F.xxhash64(F.lit(1), "doc_id"), F.xxhash64(F.lit(2), "doc_id"))).alias("h")
+    places = ids.select(word).select(F.col("h").bitwiseAND((1 << BLOOM_BITS) - 1).alias("h"))
+    words = places.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    for r in words.toLocalIterator():
+        out[r.w] = r.bits
+    return out
+
+
+def _candidates(docs: DataFrame, ids: DataFrame, k: int, orders) -> DataFrame:
+    """Of the documents in ids the whole set, and its prefixes under the other orders. A Bloom filter spares the texts of most others a shuffle."""
+    bits = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
+    place = lambda seed: F.xxhash64(F.lit(seed), "doc_id").bitwiseAND((1 << BLOOM_BITS) - 1)
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.chunks(batches):
-            own = _sets(batch, k)
-            lists = T.list_column(np.concatenate([np.zeros(0, T.U), *own]), [len(s) for s in own])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), lists], ["doc_id", "tokens"])
+        by, bloom = orders.value, bits.value
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
+            batch = batch.filter(pa.array(((bloom[a >> 6] >> (a & 63)) & (bloom[b >> 6] >> (b & 63)) & 1) == 1))
+            for part in T.chunks(iter([batch]), limit=CHUNK):
+                own = _sets(part, k)
+                levels = [by.level(x) for x in own]
+                lists = [own, *([x[by.prefix(x, level, j)] if len(x) else x for x, level in zip(own, levels)] for j in (1, 2))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(T.list_column(np.concatenate(x), [len(y) for y in x]) for x in lists)], ["doc_id", "tokens", "p2", "p3"])
 
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, tokens array<long>")
+    found = docs.select("doc_id", "text", place(1).alias("a"), place(2).alias("b")).mapInArrow(sets, "doc_id long, tokens array<long>, p2 array<long>, p3 array<long>")
+    return found.join(ids, "doc_id", "left_semi")
 
 
-def _links(pairs: DataFrame, table: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int, orders, scratch: Scratch, name: str) -> DataFrame:
     """Of candidate pairs (u, v) those that share prefix tokens under the other orders and are as similar as asked."""
-    own = lambda x, **more: table.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "p2", "p3")])
-    near = pairs.join(own("u"), "u").join(own("v"), "v")
+    pairs = scratch.table(pairs, f"{name}-pairs")
+    sets = scratch.table(_candidates(docs, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), k, orders), f"{name}-sets")
+    of = lambda x, *columns: sets.select(F.col("doc_id").alias(x), F.size("tokens").alias(f"n_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    near = pairs.join(of("u", "p2", "p3"), "u").join(of("v", "p2", "p3"), "v")
     near = near.where((100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & F.arrays_overlap("p2_u", "p2_v") & F.arrays_overlap("p3_u", "p3_v"))
     near = scratch.table(near.select("u", "v"), f"{name}-near")
-    ids = near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = scratch.table(_whole_sets(docs, ids, k), f"{name}-sets")
-    of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("tokens").alias(f"t_{x}"))
-    shared = near.join(of("u"), "u").join(of("v"), "v").select("u", "v", F.size(F.array_intersect("t_u", "t_v")).alias("both"), (F.size("t_u") + F.size("t_v")).alias("sizes"))
+    shared = near.join(of("u", "tokens"), "u").join(of("v", "tokens"), "v").select("u", "v", F.size(F.array_intersect("tokens_u", "tokens_v")).alias("both"), (F.col("n_u") + F.col("n_v")).alias("sizes"))
     links = scratch.table(shared.where(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).select("u", "v"), f"{name}-links")
-    scratch.drop(f"{name}-near", f"{name}-sets")
+    scratch.drop(f"{name}-near", f"{name}-sets", f"{name}-pairs")
     return links
 
 
@@ -139,15 +172,22 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "do
     """
     scratch = Scratch(docs.sparkSession, "ngram-join")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    table = scratch.table(prefix_table(docs, k, percent), "prefixes")
-    classes = scratch.table(table.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-
-    rows = table.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "rare", F.explode("p1").alias("token"))
-    leads = rows.groupBy("token").agg(F.count("*").alias("m"), F.min_by("doc_id", "rare").alias("a"), F.max("doc_id").alias("b")).where("m > 1")
-    shared = scratch.table(rows.join(leads, "token"), "shared")
+    orders = docs.sparkSession.sparkContext.broadcast(Orders(token_levels(docs, k), percent))
+    table = scratch.table(prefix_table(docs, k, orders), "prefixes")
+    classes = scratch.table(table.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
+
+    reps = table.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    # A frequent token's rows stay where they are: there are at most RANKED_TOKENS such tokens, so their leaders are sent to all.
+    frequent = reps.select("doc_id", "n", F.explode("frequent").alias("token"))
+    leads = frequent.groupBy("token").agg(F.count("*").alias("m"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    frequent = frequent.join(F.broadcast(leads.where("m > 1")), "token")
+    same = Window.partitionBy("token")
+    rare = reps.select("doc_id", "n", F.explode("rare").alias("token"))
+    rare = rare.select("token", "doc_id", "n", F.count("*").over(same).alias("m"), F.min("doc_id").over(same).alias("a"), F.max("doc_id").over(same).alias("b")).where("m > 1")
+    shared = scratch.table(frequent.select("token", "doc_id", "n", "m", "a", "b").unionAll(rare), "shared")
     stars = shared.select("doc_id", F.explode(F.array("a", "b")).alias("lead")).where("doc_id != lead")
     stars = stars.select(F.least("doc_id", "lead").alias("u"), F.greatest("doc_id", "lead").alias("v")).distinct()
-    first = _links(stars, table, docs, k, percent, scratch, "stars")
+    first = _links(stars, docs, k, percent, orders, scratch, "stars")
     merged = components(first, scratch, "first")
 
     rest = shared.where("m > 3 and doc_id != a and doc_id != b").select("token", "doc_id", "n")
@@ -161,7 +201,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "do
     cross = x.join(y, "token").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))))
     cross = cross.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
     cross = cross.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-    second = _links(cross, table, docs, k, percent, scratch, "cross")
+    second = _links(cross, docs, k, percent, orders, scratch, "cross")
     scratch.drop("shared", "rest")
     final = components(first.unionAll(second), scratch, "final").withColumnRenamed("node", "rep")
 
