@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, ngram_join
+from . import line_dedup, mixing, ngram_join, pieces, toxicity
 
 QUERIES = {
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op5_source_mix": mixing.op5_source_mix,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLE_SQL = {
     "op6_ngram_jaccard_join": ngram_join.ORACLE,
