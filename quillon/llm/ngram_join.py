@@ -2,11 +2,15 @@
 
 A document is the set of its k-word shingles (64-bit hashes). If two sets reach Jaccard similarity t, then
 under any global order of tokens the first n - ceil(t n) + 1 tokens of both (n: each one's size) share a
-token. One order, rarest tokens first, generates candidates; under two further orders candidates must share
-a prefix token as well; only then are the whole sets compared.
+token. The first order generates candidates; under two further orders candidates must share a prefix token
+as well; only then are the whole sets compared.
+
+The first order puts a fixed range of hashes, a few times wider than a prefix, before all other tokens, and
+within that range sorts by exact document frequency. Its unique tokens come first and no two documents share
+one, so a document with enough of them has no candidates, and others need list only the rest of their prefix.
 
 Copies are joined as one class, by their set. Within the documents that share a token no list of all pairs
-is made: each is compared with the one or two leaders of that token, the links found so far are merged into
+is made: each is compared with the two leaders of that token, the links found so far are merged into
 components, and only documents of different components are compared further. That finds the components of
 all links, since a link within a component adds nothing to it.
 """
@@ -17,18 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
 from .graph import components
 from .scratch import Scratch
 
-#: Per task, and over all documents: how many tokens are ranked by frequency; the others count as rare. A bound of what is sent, and without effect on results: any order of tokens is valid.
-LOCAL_TOKENS, RANKED_TOKENS = 16384, 65536
 #: Bytes of text that are hashed at a time, and the bits of the filter of candidate documents (2 MB).
 CHUNK, BLOOM_BITS = 1 << 20, 24
-_ORDERS = (np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: The range of hashes whose frequencies are counted, as a multiple of a prefix's share of a set.
+RANGE = 1.75
+_ORDERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
@@ -38,81 +42,41 @@ def _sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
     return [T.shingle_set(hashes[first[i] : first[i + 1]], k) for i in range(batch.num_rows)]
 
 
-def token_levels(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that many documents hold, in hash order, with their level: the logarithm of their number of documents."""
+def prefix_size(n: int, percent: int) -> int:
+    return n - (percent * n + 99) // 100 + 1
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, number, held = np.zeros(0, T.U), np.zeros(0, np.int64), []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            new, n = np.unique(np.concatenate([np.zeros(0, T.U), *held]), return_counts=True)
-            both, at = np.unique(np.concatenate([token, new]), return_inverse=True)
-            total = np.bincount(at, np.concatenate([number, n]), len(both)).astype(np.int64)
-            if len(both) > 1 << 19:  # the more frequent ones stay
-                most = np.sort(np.argsort(-total, kind="stable")[: 1 << 17])
-                both, total = both[most], total[most]
-            return both, total
+def low_tokens(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """For each row doc_id, n (size of its set), h1 and h2 (a hash of the set), low and r: its r tokens in the range, lowest first, and more if a prefix takes more."""
+    limit = np.uint64(min(1.0, RANGE * (1 - percent / 100)) * (2**64 - 2**12))
 
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.chunks(batches, limit=CHUNK):
-            held += _sets(batch, k)
-            if sum(map(len, held)) > 1 << 19:
-                token, number = merged()
-                held = []
-        token, number = merged()
-        many = np.flatnonzero(number > 1)
-        many = many[np.argsort(-number[many], kind="stable")[:LOCAL_TOKENS]]
-        yield pa.RecordBatch.from_arrays([pa.array(T.int64(token[many])), pa.array(number[many])], ["token", "n"])
-
-    local = docs.select("text").mapInArrow(count, "token long, n long")
-    ranked = local.groupBy("token").agg(F.sum("n").alias("n")).where("n >= 16").orderBy(F.desc("n"), "token").limit(RANKED_TOKENS).collect()
-    token = np.array([r.token for r in ranked], np.int64).view(T.U)
-    order = np.argsort(token)
-    level = np.array([r.n.bit_length() - 4 for r in ranked], np.uint64)
-    return token[order], level[order]
-
-
-class Orders:
-    """The global orders: by level, rarest first, and within a level by one hash or another."""
-
-    def __init__(self, ranked: tuple[np.ndarray, np.ndarray], percent: int):
-        self.tokens, self.levels = ranked
-        self.percent = percent
-
-    def level(self, tokens: np.ndarray) -> np.ndarray:
-        if not len(self.tokens):
-            return np.zeros(len(tokens), T.U)
-        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == tokens, self.levels[at], T.U(0))
-
-    def prefix(self, tokens: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
-        """Which tokens of a set are its prefix under an order."""
-        n = len(tokens)
-        p = n - (self.percent * n + 99) // 100 + 1
-        if p >= n:
-            return np.arange(n)
-        rank = (level << T.U(58)) | (T.splitmix(tokens ^ _ORDERS[order]) >> T.U(6))
-        return np.argpartition(rank, p - 1)[:p]
-
-
-def prefix_table(docs: DataFrame, k: int, orders) -> DataFrame:
-    """For each row doc_id, n (size of its set), h1 and h2 (a hash of the set) and the first order's prefix: rare tokens and frequent ones."""
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = orders.value
-        for batch in T.chunks(batches, limit=CHUNK):
-            rare, frequent, rows = [], [], []
+            low, rows = [], []
             for own in _sets(batch, k):
-                level = by.level(own)
-                first = by.prefix(own, level, 0) if len(own) else np.zeros(0, np.int64)
-                low = level[first] == 0
-                rare.append(own[first[low]])
-                frequent.append(own[first[~low]])
-                rows.append((len(own), T.splitmix(own).sum(dtype=T.U), T.splitmix(own ^ T.U(0x5851F42D4C957F2D)).sum(dtype=T.U)))
-            sizes, h1, h2 = (pa.array(T.int64(np.array(x, T.U))) for x in zip(*rows))
-            lists = [T.list_column(np.concatenate(x), [len(y) for y in x]) for x in (rare, frequent)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, h1, h2, *lists], ["doc_id", "n", "h1", "h2", "rare", "frequent"])
-
-    return docs.mapInArrow(prefixes, "doc_id long, n long, h1 long, h2 long, rare array<long>, frequent array<long>")
+                r = int(np.searchsorted(own, limit))
+                low.append(own[: max(r, prefix_size(len(own), percent) if len(own) else 0)])
+                rows.append((len(own), r, T.splitmix(own).sum(dtype=T.U), T.splitmix(own ^ T.U(0x5851F42D4C957F2D)).sum(dtype=T.U)))
+            n, r, h1, h2 = (pa.array(T.int64(np.array(x, T.U))) for x in zip(*rows))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, r, h1, h2, T.list_column(np.concatenate(low), [len(x) for x in low])], ["doc_id", "n", "r", "h1", "h2", "low"])
+
+    return docs.mapInArrow(lowest, "doc_id long, n long, r long, h1 long, h2 long, low array<long>")
+
+
+def prefixes(table: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, n, token): of one document of each class, the tokens of its prefix that others may share."""
+    ranged = table.select("doc_id", F.explode(F.slice("low", F.lit(1), F.col("r").cast("int"))).alias("token"))
+    shared = scratch.table(ranged.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    found = ranged.join(shared.hint("shuffle_hash"), "token").select("doc_id", F.struct(F.floor(F.log2("df")).cast("int").alias("level"), "token").alias("t"))
+    listed = scratch.table(found.groupBy("doc_id").agg(F.sort_array(F.collect_list("t")).alias("ts")), "listed")
+    p = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+    docs = table.where("n > 0").select("doc_id", "n", "r", p.cast("int").alias("p"), F.when(p > F.col("r"), F.slice("low", F.col("r").cast("int") + 1, (p - F.col("r")).cast("int"))).alias("beyond"))
+    docs = docs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").join(listed, "doc_id", "left")
+    some = F.when(F.col("ts").isNull(), 0).otherwise(F.size("ts"))
+    take = (F.col("p") - (F.col("r") - some)).cast("int")
+    own = F.when((take > 0) & F.col("ts").isNotNull(), F.transform(F.slice("ts", F.lit(1), F.greatest(take, F.lit(0))), lambda t: t["token"]))
+    empty = F.array().cast("array<long>")
+    return docs.where((take > 0) | F.col("beyond").isNotNull()).select("doc_id", "n", F.explode(F.concat(F.coalesce(own, empty), F.coalesce("beyond", empty))).alias("token"))
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
@@ -126,37 +90,38 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _candidates(docs: DataFrame, ids: DataFrame, k: int, orders) -> DataFrame:
+def _candidates(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the documents in ids the whole set, and its prefixes under the other orders. A Bloom filter spares the texts of most others a shuffle."""
     bits = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
     place = lambda seed: F.xxhash64(F.lit(seed), "doc_id").bitwiseAND((1 << BLOOM_BITS) - 1)
 
+    def prefix(tokens: np.ndarray, order: np.uint64) -> np.ndarray:
+        p = prefix_size(len(tokens), percent)
+        return tokens[np.argpartition(T.splitmix(tokens ^ order), p - 1)[:p]] if len(tokens) > p else tokens
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, bloom = orders.value, bits.value
+        bloom = bits.value
         for batch in batches:
             a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
             batch = batch.filter(pa.array(((bloom[a >> 6] >> (a & 63)) & (bloom[b >> 6] >> (b & 63)) & 1) == 1))
             for part in T.chunks(iter([batch]), limit=CHUNK):
                 own = _sets(part, k)
-                levels = [by.level(x) for x in own]
-                lists = [own, *([x[by.prefix(x, level, j)] if len(x) else x for x, level in zip(own, levels)] for j in (1, 2))]
+                lists = [own, *([prefix(x, order) for x in own] for order in _ORDERS)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(T.list_column(np.concatenate(x), [len(y) for y in x]) for x in lists)], ["doc_id", "tokens", "p2", "p3"])
 
     found = docs.select("doc_id", "text", place(1).alias("a"), place(2).alias("b")).mapInArrow(sets, "doc_id long, tokens array<long>, p2 array<long>, p3 array<long>")
     return found.join(ids, "doc_id", "left_semi")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int, orders, scratch: Scratch, name: str) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """Of candidate pairs (u, v) those that share prefix tokens under the other orders and are as similar as asked."""
-    pairs = scratch.table(pairs, f"{name}-pairs")
-    sets = scratch.table(_candidates(docs, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), k, orders), f"{name}-sets")
     of = lambda x, *columns: sets.select(F.col("doc_id").alias(x), F.size("tokens").alias(f"n_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in columns])
     near = pairs.join(of("u", "p2", "p3"), "u").join(of("v", "p2", "p3"), "v")
     near = near.where((100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & F.arrays_overlap("p2_u", "p2_v") & F.arrays_overlap("p3_u", "p3_v"))
     near = scratch.table(near.select("u", "v"), f"{name}-near")
     shared = near.join(of("u", "tokens"), "u").join(of("v", "tokens"), "v").select("u", "v", F.size(F.array_intersect("tokens_u", "tokens_v")).alias("both"), (F.col("n_u") + F.col("n_v")).alias("sizes"))
     links = scratch.table(shared.where(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).select("u", "v"), f"{name}-links")
-    scratch.drop(f"{name}-near", f"{name}-sets", f"{name}-pairs")
+    scratch.drop(f"{name}-near")
     return links
 
 
@@ -172,22 +137,17 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "do
     """
     scratch = Scratch(docs.sparkSession, "ngram-join")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    orders = docs.sparkSession.sparkContext.broadcast(Orders(token_levels(docs, k), percent))
-    table = scratch.table(prefix_table(docs, k, orders), "prefixes")
+    table = scratch.table(low_tokens(docs, k, percent), "tokens")
     classes = scratch.table(table.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
 
-    reps = table.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    # A frequent token's rows stay where they are: there are at most RANKED_TOKENS such tokens, so their leaders are sent to all.
-    frequent = reps.select("doc_id", "n", F.explode("frequent").alias("token"))
-    leads = frequent.groupBy("token").agg(F.count("*").alias("m"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    frequent = frequent.join(F.broadcast(leads.where("m > 1")), "token")
-    same = Window.partitionBy("token")
-    rare = reps.select("doc_id", "n", F.explode("rare").alias("token"))
-    rare = rare.select("token", "doc_id", "n", F.count("*").over(same).alias("m"), F.min("doc_id").over(same).alias("a"), F.max("doc_id").over(same).alias("b")).where("m > 1")
-    shared = scratch.table(frequent.select("token", "doc_id", "n", "m", "a", "b").unionAll(rare), "shared")
+    listed = scratch.table(prefixes(table, classes, percent, scratch), "prefixes")
+    leads = listed.groupBy("token").agg(F.count("*").alias("m"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("m > 1")
+    shared = scratch.table(listed.join(leads, "token"), "shared")
+    scratch.drop("prefixes", "listed", "frequencies")
     stars = shared.select("doc_id", F.explode(F.array("a", "b")).alias("lead")).where("doc_id != lead")
     stars = stars.select(F.least("doc_id", "lead").alias("u"), F.greatest("doc_id", "lead").alias("v")).distinct()
-    first = _links(stars, docs, k, percent, orders, scratch, "stars")
+    sets = scratch.table(_candidates(docs, shared.select("doc_id").distinct(), k, percent), "sets")
+    first = _links(stars, sets, percent, scratch, "stars")
     merged = components(first, scratch, "first")
 
     rest = shared.where("m > 3 and doc_id != a and doc_id != b").select("token", "doc_id", "n")
@@ -201,8 +161,8 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "do
     cross = x.join(y, "token").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))))
     cross = cross.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
     cross = cross.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-    second = _links(cross, docs, k, percent, orders, scratch, "cross")
-    scratch.drop("shared", "rest")
+    second = _links(cross, sets, percent, scratch, "cross")
+    scratch.drop("shared", "rest", "sets")
     final = components(first.unionAll(second), scratch, "final").withColumnRenamed("node", "rep")
 
     reps = classes.join(final, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
