@@ -246,8 +246,8 @@ def _text_logits(net: Network, bucket: np.ndarray, gram: np.ndarray, first: np.n
 
 
 def _calibrate(net: Network, logit: np.ndarray, y: np.ndarray) -> None:
-    """Scale and shift of the texts' highest logits: if a threshold parts all but a hundredth of either label, it comes between them; else by logistic regression, mildly held to 1 and 0."""
-    low, high = (np.quantile(logit[y == c], q) if (y == c).any() else np.nan for c, q in ((0, 0.99), (1, 0.01)))
+    """Scale and shift of the texts' highest logits: if a threshold parts all but a hundredth of label 0 and a twentieth of label 1, it comes between them; else by logistic regression, mildly held to 1 and 0."""
+    low, high = (np.quantile(logit[y == c], q) if (y == c).any() else np.nan for c, q in ((0, 0.99), (1, 0.05)))
     if low < high:
         net.scale = float(8 / (high - low))
         net.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - net.scale * (0.3 * low + 0.7 * high))  # clean texts are many more and vary more
