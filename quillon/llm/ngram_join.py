@@ -2,15 +2,17 @@
 
 A document is the set of its k-word shingles (64-bit hashes). If two sets reach Jaccard similarity t, then
 under any global order of tokens the first n - ceil(t n) + 1 tokens of both (n: each one's size) share a
-token. The first order generates candidates; under two further orders candidates must share a prefix token
-as well; only then are the whole sets compared.
+token.
 
-The first order puts a fixed range of hashes, a few times wider than a prefix, before all other tokens, and
-within that range sorts by exact document frequency. Its unique tokens come first and no two documents share
-one, so a document with enough of them has no candidates, and others need list only the rest of their prefix.
+The first order puts a fixed range of hashes, a few times wider than a prefix, before all other tokens and
+the unique tokens of that range first. No two documents share a unique token, so a document with a prefix of
+such tokens has no candidates. Among the documents left, the second order sorts all tokens by their exact
+document frequency, rarest first; again unique tokens fill prefixes without giving candidates, and what a
+prefix still takes of others is listed. Pairs that share a listed token must share one under a third and a
+fourth order (by hash) as well; only then are the whole sets compared.
 
 Copies are joined as one class, by their set. Within the documents that share a token no list of all pairs
-is made: each is compared with the two leaders of that token, the links found so far are merged into
+is made: each is compared with three leaders of that token, the links found so far are merged into
 components, and only documents of different components are compared further. That finds the components of
 all links, since a link within a component adds nothing to it.
 """
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
@@ -47,36 +49,41 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def low_tokens(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """For each row doc_id, n (size of its set), h1 and h2 (a hash of the set), low and r: its r tokens in the range, lowest first, and more if a prefix takes more."""
+    """For each row doc_id, n (size of its set), h1 and h2 (a hash of the set) and low: its tokens in the first order's range."""
     limit = np.uint64(min(1.0, RANGE * (1 - percent / 100)) * (2**64 - 2**12))
 
     def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.chunks(batches, limit=CHUNK):
             low, rows = [], []
             for own in _sets(batch, k):
-                r = int(np.searchsorted(own, limit))
-                low.append(own[: max(r, prefix_size(len(own), percent) if len(own) else 0)])
-                rows.append((len(own), r, T.splitmix(own).sum(dtype=T.U), T.splitmix(own ^ T.U(0x5851F42D4C957F2D)).sum(dtype=T.U)))
-            n, r, h1, h2 = (pa.array(T.int64(np.array(x, T.U))) for x in zip(*rows))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, r, h1, h2, T.list_column(np.concatenate(low), [len(x) for x in low])], ["doc_id", "n", "r", "h1", "h2", "low"])
-
-    return docs.mapInArrow(lowest, "doc_id long, n long, r long, h1 long, h2 long, low array<long>")
-
-
-def prefixes(table: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, n, token): of one document of each class, the tokens of its prefix that others may share."""
-    ranged = table.select("doc_id", F.explode(F.slice("low", F.lit(1), F.col("r").cast("int"))).alias("token"))
-    shared = scratch.table(ranged.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
-    found = ranged.join(shared.hint("shuffle_hash"), "token").select("doc_id", F.struct(F.floor(F.log2("df")).cast("int").alias("level"), "token").alias("t"))
-    listed = scratch.table(found.groupBy("doc_id").agg(F.sort_array(F.collect_list("t")).alias("ts")), "listed")
-    p = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    docs = table.where("n > 0").select("doc_id", "n", "r", p.cast("int").alias("p"), F.when(p > F.col("r"), F.slice("low", F.col("r").cast("int") + 1, (p - F.col("r")).cast("int"))).alias("beyond"))
-    docs = docs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").join(listed, "doc_id", "left")
-    some = F.when(F.col("ts").isNull(), 0).otherwise(F.size("ts"))
-    take = (F.col("p") - (F.col("r") - some)).cast("int")
-    own = F.when((take > 0) & F.col("ts").isNotNull(), F.transform(F.slice("ts", F.lit(1), F.greatest(take, F.lit(0))), lambda t: t["token"]))
-    empty = F.array().cast("array<long>")
-    return docs.where((take > 0) | F.col("beyond").isNotNull()).select("doc_id", "n", F.explode(F.concat(F.coalesce(own, empty), F.coalesce("beyond", empty))).alias("token"))
+                low.append(own[: int(np.searchsorted(own, limit))])
+                rows.append((len(own), T.splitmix(own).sum(dtype=T.U), T.splitmix(own ^ T.U(0x5851F42D4C957F2D)).sum(dtype=T.U)))
+            n, h1, h2 = (pa.array(T.int64(np.array(x, T.U))) for x in zip(*rows))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, h1, h2, T.list_column(np.concatenate(low), [len(x) for x in low])], ["doc_id", "n", "h1", "h2", "low"])
+
+    return docs.mapInArrow(lowest, "doc_id long, n long, h1 long, h2 long, low array<long>")
+
+
+def prefix_length(percent: int) -> Column:
+    return (F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).cast("int")
+
+
+def first_order(table: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """doc_id of one document of each class, of those whose prefix under the first order isn't of unique tokens alone."""
+    held = table.select("doc_id", F.explode("low").alias("token")).groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id"))
+    unique = held.where("df = 1").groupBy("doc_id").agg(F.count("*").alias("unique"))
+    docs = table.where("n > 0").select("doc_id", prefix_length(percent).alias("p")).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    return docs.join(unique, "doc_id", "left").where(F.coalesce("unique", F.lit(0)) < F.col("p")).select("doc_id").distinct()
+
+
+def second_order(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, n, take, token): the ``take`` tokens of each document's prefix under the second order that others may share."""
+    every = sets.select("doc_id", F.explode("tokens").alias("token"))
+    shared = scratch.table(every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    found = every.join(shared.hint("shuffle_hash"), "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
+    docs = sets.select("doc_id", "n", prefix_length(percent).alias("p")).join(found, "doc_id")
+    docs = docs.withColumn("take", (F.col("p") - (F.col("n") - F.size("ts"))).cast("int")).where("take > 0")
+    return docs.select("doc_id", "n", "take", F.explode(F.transform(F.slice("ts", F.lit(1), F.col("take")), lambda t: t["token"])).alias("token"))
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
@@ -107,15 +114,15 @@ def _candidates(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFr
             for part in T.chunks(iter([batch]), limit=CHUNK):
                 own = _sets(part, k)
                 lists = [own, *([prefix(x, order) for x in own] for order in _ORDERS)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(T.list_column(np.concatenate(x), [len(y) for y in x]) for x in lists)], ["doc_id", "tokens", "p2", "p3"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in own], pa.int64()), *(T.list_column(np.concatenate(x), [len(y) for y in x]) for x in lists)], ["doc_id", "n", "tokens", "p2", "p3"])
 
-    found = docs.select("doc_id", "text", place(1).alias("a"), place(2).alias("b")).mapInArrow(sets, "doc_id long, tokens array<long>, p2 array<long>, p3 array<long>")
+    found = docs.select("doc_id", "text", place(1).alias("a"), place(2).alias("b")).mapInArrow(sets, "doc_id long, n long, tokens array<long>, p2 array<long>, p3 array<long>")
     return found.join(ids, "doc_id", "left_semi")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """Of candidate pairs (u, v) those that share prefix tokens under the other orders and are as similar as asked."""
-    of = lambda x, *columns: sets.select(F.col("doc_id").alias(x), F.size("tokens").alias(f"n_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    of = lambda x, *columns: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in columns])
     near = pairs.join(of("u", "p2", "p3"), "u").join(of("v", "p2", "p3"), "v")
     near = near.where((100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & F.arrays_overlap("p2_u", "p2_v") & F.arrays_overlap("p3_u", "p3_v"))
     near = scratch.table(near.select("u", "v"), f"{name}-near")
@@ -140,17 +147,18 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "do
     table = scratch.table(low_tokens(docs, k, percent), "tokens")
     classes = scratch.table(table.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
 
-    listed = scratch.table(prefixes(table, classes, percent, scratch), "prefixes")
-    leads = listed.groupBy("token").agg(F.count("*").alias("m"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("m > 1")
-    shared = scratch.table(listed.join(leads, "token"), "shared")
-    scratch.drop("prefixes", "listed", "frequencies")
-    stars = shared.select("doc_id", F.explode(F.array("a", "b")).alias("lead")).where("doc_id != lead")
+    left = scratch.table(first_order(table, classes, percent), "left")
+    sets = scratch.table(_candidates(docs, left, k, percent), "sets")
+    listed = scratch.table(second_order(sets, percent, scratch), "prefixes")
+    leads = listed.groupBy("token").agg(F.count("*").alias("m"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max_by("doc_id", "take").alias("c")).where("m > 1")
+    shared = scratch.table(listed.drop("take").join(leads, "token"), "shared")
+    scratch.drop("prefixes", "frequencies", "left")
+    stars = shared.select("doc_id", F.explode(F.array("a", "b", "c")).alias("lead")).where("doc_id != lead")
     stars = stars.select(F.least("doc_id", "lead").alias("u"), F.greatest("doc_id", "lead").alias("v")).distinct()
-    sets = scratch.table(_candidates(docs, shared.select("doc_id").distinct(), k, percent), "sets")
     first = _links(stars, sets, percent, scratch, "stars")
     merged = components(first, scratch, "first")
 
-    rest = shared.where("m > 3 and doc_id != a and doc_id != b").select("token", "doc_id", "n")
+    rest = shared.where("m > 3 and doc_id not in (a, b, c)").select("token", "doc_id", "n")
     known = merged.select(F.col("node").alias("doc_id"), F.col("component"))
     rest = rest.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     parts = rest.groupBy("token", "component").agg(F.count("*").alias("c"))
