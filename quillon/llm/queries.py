@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, ngram_join, pieces, toxicity
+from . import line_dedup, mixing, ngram_join, passages, pieces, toxicity
 
 QUERIES = {
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op5_source_mix": mixing.op5_source_mix,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
+    "op7_shared_passages": passages.op7_shared_passages,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLE_SQL = {
     "op6_ngram_jaccard_join": ngram_join.ORACLE,
+    "op7_shared_passages": passages.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }

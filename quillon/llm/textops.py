@@ -108,3 +108,21 @@ def int64(values: np.ndarray) -> np.ndarray:
 def list_column(values: np.ndarray, lengths: list[int] | np.ndarray) -> pa.Array:
     """A list<int64> column from the values of all rows in one array."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(int64(values)))
+
+
+def stretch_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k words from each word on for any k, by doubling."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    out, done, rest, at = np.full(n, k, U), hashes, k, 0
+    size = 1
+    while rest:
+        if rest & 1:
+            out = splitmix(out * U(0x9E3779B97F4A7C15) + done[at : at + n])
+            at += size
+        rest >>= 1
+        if rest:
+            done = splitmix(done[:-size] * U(0xD6E8FEB86659FD93) + done[size:])
+            size *= 2
+    return out
