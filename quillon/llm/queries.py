@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, ngram_join, passages, pieces, toxicity
+from . import line_dedup, mixing, ngram_join, passages, pieces, toxicity, va_file
 
 QUERIES = {
     "op2_sentencepiece": pieces.op2_sentencepiece,
@@ -11,9 +11,11 @@ QUERIES = {
     "op7_shared_passages": passages.op7_shared_passages,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_va_file": va_file.op10_va_file,
 }
 ORACLE_SQL = {
     "op6_ngram_jaccard_join": ngram_join.ORACLE,
     "op7_shared_passages": passages.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op10_va_file": va_file.ORACLE,
 }
