@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, ngram_join, passages, pieces, toxicity, va_file
+from . import ivf_pq, line_dedup, mixing, ngram_join, passages, pieces, toxicity, va_file
 
 QUERIES = {
+    "op1_ivf_pq": ivf_pq.op1_ivf_pq,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op5_source_mix": mixing.op5_source_mix,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
