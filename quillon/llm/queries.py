@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import ivf_pq, line_dedup, mixing, ngram_join, passages, pieces, toxicity, va_file
+from . import ivf_pq, languages, licenses, line_dedup, mixing, ngram_join, passages, pieces, toxicity, va_file
 
 QUERIES = {
     "op1_ivf_pq": ivf_pq.op1_ivf_pq,
     "op2_sentencepiece": pieces.op2_sentencepiece,
+    "op3_license_scan": licenses.op3_license_scan,
+    "op4_language_id": languages.op4_language_id,
     "op5_source_mix": mixing.op5_source_mix,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
     "op7_shared_passages": passages.op7_shared_passages,
