@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .scratch import Scratch
 
@@ -93,25 +94,28 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float =
     floor(rate) times, and once more where their hash falls below the cut of their source and size class
     (powers of two); cuts are set from the largest class down so that a source's words come to its target
     within about half a bucket of its smallest class. Copies never exceed ``cap``, and reruns give the same.
-    A source that is null is a source of its own. Documents of size 0 count one copy (their source's words
+    Columns of docs with these names are replaced. A source that is null is a source of its own. Documents of size 0 count one copy (their source's words
     do not change). Rows that repeat a doc_id share a hash. A table without rows gives none.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    own = {"_source": F.col(source), "_size": n_words(F.col(text)), "_bucket": F.pmod(F.xxhash64(F.col(doc_id)), F.lit(BUCKETS)).cast("int")}
-    sized = docs.withColumns(own).withColumn("_cls", F.when(F.col("_size") > 0, F.floor(F.log2("_size")).cast("int")).otherwise(-1))
-    sums = sized.groupBy(F.col("_source").alias("source"), F.col("_cls").alias("cls"), F.col("_bucket").alias("bucket")).agg(F.sum("_size").alias("size"))
-    hist = scratch.table(sums, "sizes")
-    rates = balance(source_targets(hist, weights, cap), cap, scratch)
-    joined = hist.alias("h").join(rates.alias("r"), F.col("h.source").eqNullSafe(F.col("r.source"))).select("h.*", "rate")
-    cuts = joined.where("cls >= 0").groupBy("source").applyInPandas(_cuts, "source string, cls int, cut int")
-    cuts = cuts.alias("c").join(rates.alias("r"), F.col("c.source").eqNullSafe(F.col("r.source")), "right")
-    cuts = cuts.select(F.col("r.source").alias("_s"), "source_size", "target", "rate", F.coalesce("cls", F.lit(-1)).alias("cls"), "cut")
-    zero = cuts.select("_s", "source_size", "target", "rate", F.lit(-1).alias("cls"), F.lit(0).alias("cut")).distinct()
-    cuts = scratch.table(cuts.where("cls >= 0").unionAll(zero), "cuts")
-    found = sized.join(cuts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_cls") == F.col("cls")), "left")
-    extra = F.when(F.col("_bucket") < F.col("cut"), F.lit(1)).otherwise(F.lit(0))
-    number = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.least(F.floor("rate") + extra, F.lit(int(cap))))
-    return found.select(*docs.columns, F.col("_size").alias("size"), "source_size", "target", "rate", number.cast("long").alias("copies"))
+    names = ("size", "source_size", "target", "rate", "copies")
+    sized = docs.select(
+        F.struct(*[docs[c] for c in docs.columns if c not in names] or [docs[doc_id]]).alias("row"),
+        docs[source].alias("source"), n_words(docs[text]).alias("size"), F.pmod(F.xxhash64(docs[doc_id]), F.lit(BUCKETS)).cast("int").alias("bucket"),
+    )
+    sized = sized.withColumn("cls", F.when(F.col("size") > 0, F.floor(F.log2("size")).cast("int")).otherwise(-1))
+    hist = scratch.table(sized.groupBy("source", "cls", "bucket").agg(F.sum("size").alias("size")), "sizes")
+    rates = balance(source_targets(hist, weights, cap), cap, scratch).select(F.col("source").alias("s"), "source_size", "target", "rate")
+    by_class = hist.join(rates, F.col("source").eqNullSafe(F.col("s"))).select("source", "cls", "bucket", "size", "rate").where("cls >= 0")
+    cuts = by_class.groupBy("source").applyInPandas(_cuts, hist.select("source").schema.add("cls", IntegerType()).add("cut", IntegerType()))
+    every = hist.select("source", "cls").distinct().join(rates, F.col("source").eqNullSafe(F.col("s")))
+    cuts = cuts.select(F.col("source").alias("c_source"), F.col("cls").alias("c_cls"), "cut")
+    every = every.join(cuts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("cls") == F.col("c_cls")), "left")
+    every = scratch.table(every.select("s", F.col("cls").alias("s_cls"), "source_size", "target", "rate", "cut"), "cuts")
+    found = sized.join(every, F.col("source").eqNullSafe(F.col("s")) & (F.col("cls") == F.col("s_cls")), "left")
+    extra = F.when(F.col("bucket") < F.col("cut"), F.lit(1)).otherwise(F.lit(0))
+    number = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.least(F.floor("rate") + extra, F.lit(int(cap))))
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in names], "size", "source_size", "target", "rate", number.cast("long").alias("copies"))
 
 
 def op5_source_mix(spark, sf_dir: str) -> DataFrame:
