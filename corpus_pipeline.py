@@ -1,13 +1,68 @@
-"""Corpus pipeline: each stage calls one operator of quillon.llm and takes effect on its documents."""
+"""Corpus pipeline: toxic documents go, repeated lines go, near duplicates go, sources are mixed, tokens remain.
+
+Each stage calls one operator of quillon.llm and takes effect on the documents that the stage before it kept.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm import line_dedup, mixing, ngram_join, pieces, toxicity
+from quillon.llm.scratch import Scratch
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is below the threshold; those without words stay."""
+    scored = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where(F.col("toxic_score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that the bitmaps drop; n_chars follows the text. A document may be left empty."""
+    cut = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    new = {"text": text, "n_chars": F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
+    return cut.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shingles of five words at a similarity of 0.8 or more the one with the smallest doc_id."""
+    joined = ngram_join.ngram_join(docs, k=5, percent=80)
+    gone = joined.where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; those without words once."""
+    taken = mixing.copies(docs).where("copies > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and token_ids of each document's copies."""
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("line dedup", without_repeated_lines),
+    ("n-gram Jaccard join", without_near_duplicates),
+    ("mixing", mixed),
+    ("SentencePiece", tokens),
+]
+#: Networks, rounded rates and segmentations have no SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; between stages documents are a written table."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.table(docs, f"stage-{i}")
+            if i:
+                scratch.drop(f"stage-{i - 1}")
     return docs

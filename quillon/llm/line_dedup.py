@@ -68,23 +68,22 @@ def keep_runs(dropped: Column) -> Column:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of docs with n_lines, n_dropped and kept_text: the lines that stay, joined by \\n.
 
-    Documents without a bitmap keep all lines; a null text is one empty line.
+    Documents without a bitmap keep all lines; a null text is one empty line. Columns of docs with the
+    names of the results are replaced.
     """
-    marks = bitmaps.select(F.col("doc_id").alias("_id"), F.col("n_dropped").alias("_n"), F.col("keep_runs").alias("_runs"))
-    joined = docs.join(marks.hint("shuffle_hash"), docs[doc_id] == marks["_id"], "left")
-    lines = text_lines(docs[text])
-    cut = F.transform("_runs", lambda r: F.slice("_lines", r["start"] + 1, F.coalesce(r["end"], F.size("_lines")) - r["start"]))
-    return joined.select(
-        *[docs[c] for c in docs.columns],
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce("_n", F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("_runs").isNotNull(), lines).alias("_lines"),
-        "_runs",
-    ).select(
-        *docs.columns,
+    names = ("n_lines", "n_dropped", "kept_text")
+    marks = bitmaps.select(F.col("doc_id").alias("id"), "n_dropped", F.col("keep_runs").alias("runs"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs[doc_id].alias("doc_id"))
+    joined = rows.join(marks.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left")
+    body = F.col("row")[text]
+    lines = text_lines(body)
+    cut = F.transform("runs", lambda r: F.slice("lines", r["start"] + 1, F.coalesce(r["end"], F.size("lines")) - r["start"]))
+    found = joined.select("row", F.size(lines).cast("long").alias("n_lines"), "n_dropped", F.when(F.col("runs").isNotNull(), lines).alias("lines"), "runs")
+    return found.select(
+        *[F.col("row")[c].alias(c) for c in docs.columns if c not in names],
         "n_lines",
-        "n_dropped",
-        F.when(F.col("_runs").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.flatten(cut), "\n")).alias("kept_text"),
+        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("runs").isNull(), F.coalesce(body, F.lit(""))).otherwise(F.array_join(F.flatten(cut), "\n")).alias("kept_text"),
     )
 
 

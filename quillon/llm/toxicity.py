@@ -287,8 +287,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: Sample | None = None, d
 
     Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-cased. All windows of the
     whole text are scored. A text that is null or has no word scores 0. With labels of one kind only, every
-    other text scores that label; without labels 0. Rows are scored one by one, whatever ids they share.
+    other text scores that label; without labels 0. Rows are scored one by one, whatever ids they share. Columns of docs with the names of the
+    results are replaced.
     """
+    docs = docs.drop("toxic_score", "n_windows", "worst_window")
     own = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     net = docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(own, labels, sample or Sample()), sample or Sample()))
     place = docs.columns.index(text)
