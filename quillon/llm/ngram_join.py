@@ -34,6 +34,8 @@ from .scratch import Scratch
 CHUNK, BLOOM_BITS = 1 << 20, 24
 #: The range of hashes whose frequencies are counted, as a multiple of a prefix's share of a set.
 RANGE = 1.75
+#: How much of a document's order goes along where documents of different components are compared, a bound on the rows' size.
+BEGINNING = 64
 _ORDERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -77,13 +79,26 @@ def first_order(table: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
 
 def second_order(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, n, take, token): the ``take`` tokens of each document's prefix under the second order that others may share."""
+    """(doc_id, n, unique, take, ranks): of each document that lists tokens the number of its unique tokens, and the places in the order of the others in its prefix.
+
+    A place is the document frequency, up to 32767, before 48 bits of the token, in one long.
+    """
     every = sets.select("doc_id", F.explode("tokens").alias("token"))
     shared = scratch.table(every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
-    found = every.join(shared.hint("shuffle_hash"), "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
-    docs = sets.select("doc_id", "n", prefix_length(percent).alias("p")).join(found, "doc_id")
-    docs = docs.withColumn("take", (F.col("p") - (F.col("n") - F.size("ts"))).cast("int")).where("take > 0")
-    return docs.select("doc_id", "n", "take", F.explode(F.transform(F.slice("ts", F.lit(1), F.col("take")), lambda t: t["token"])).alias("token"))
+    rank = F.shiftleft(F.least("df", F.lit(32767)).cast("long"), 48).bitwiseOR(F.shiftrightunsigned("token", 16)).alias("rank")
+    found = every.join(shared.hint("shuffle_hash"), "token").select("doc_id", rank).groupBy("doc_id").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
+    docs = sets.select("doc_id", "n", prefix_length(percent).alias("p")).join(found, "doc_id").withColumn("unique", F.col("n") - F.size("ranks"))
+    docs = docs.withColumn("take", (F.col("p") - F.col("unique")).cast("int")).where("take > 0")
+    return docs.select("doc_id", "n", "unique", "take", F.slice("ranks", F.lit(1), F.col("take")).alias("ranks"))
+
+
+def may_link(percent: int) -> Column:
+    """Whether rows x and y can still be similar enough: what the beginnings of their orders show to be in one set alone is not too much."""
+    last = F.least(F.element_at("ranks_x", -1), F.element_at("ranks_y", -1))
+    a, b = (F.filter(f"ranks_{c}", lambda r: r < last) for c in "xy")
+    alone = F.col("unique_x") + F.col("unique_y") + F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+    # With sizes x and y, an intersection of i and i >= t (x + y - i), what is in one set alone, x + y - 2 i, is at most (x + y) (1 - t) / (1 + t).
+    return (100 + percent) * alone <= (100 - percent) * (F.col("n_x") + F.col("n_y"))
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
@@ -149,7 +164,8 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "do
 
     left = scratch.table(first_order(table, classes, percent), "left")
     sets = scratch.table(_candidates(docs, left, k, percent), "sets")
-    listed = scratch.table(second_order(sets, percent, scratch), "prefixes")
+    orders = scratch.table(second_order(sets, percent, scratch), "orders")
+    listed = scratch.table(orders.select("doc_id", "take", F.explode("ranks").alias("token")), "prefixes")
     leads = listed.groupBy("token").agg(F.count("*").alias("m"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max_by("doc_id", "take").alias("c")).where("m > 1")
     shared = scratch.table(listed.drop("take").join(leads, "token"), "shared")
     scratch.drop("prefixes", "frequencies", "left")
@@ -158,19 +174,21 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "do
     first = _links(stars, sets, percent, scratch, "stars")
     merged = components(first, scratch, "first")
 
-    rest = shared.where("m > 3 and doc_id not in (a, b, c)").select("token", "doc_id", "n")
+    rest = shared.where("m > 3 and doc_id not in (a, b, c)").select("token", "doc_id")
     known = merged.select(F.col("node").alias("doc_id"), F.col("component"))
     rest = rest.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     parts = rest.groupBy("token", "component").agg(F.count("*").alias("c"))
     mixed = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("component", "c").alias("main")).where("parts > 1")
-    rest = scratch.table(rest.join(mixed.select("token", "main"), "token"), "rest")
-    x = rest.where("component != main").select("token", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    y = rest.select("token", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "main")
-    cross = x.join(y, "token").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))))
-    cross = cross.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    cross = cross.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+    begin = orders.select("doc_id", "n", "unique", F.slice("ranks", 1, BEGINNING).alias("ranks"))
+    rest = scratch.table(rest.join(mixed.select("token", "main"), "token").join(begin, "doc_id"), "rest")
+    side = lambda c: [F.col(n).alias(f"{n}_{c}") for n in ("doc_id", "component", "n", "unique", "ranks")]
+    x = rest.where("component != main").select("token", *side("x"))
+    y = rest.select("token", "main", *side("y"))
+    cross = x.join(y, "token").where("component_x != component_y and (component_y = main or doc_id_x < doc_id_y)")
+    cross = cross.where((100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & may_link(percent))
+    cross = cross.select(F.least("doc_id_x", "doc_id_y").alias("u"), F.greatest("doc_id_x", "doc_id_y").alias("v")).distinct()
     second = _links(cross, sets, percent, scratch, "cross")
-    scratch.drop("shared", "rest", "sets")
+    scratch.drop("shared", "rest", "sets", "orders")
     final = components(first.unionAll(second), scratch, "final").withColumnRenamed("node", "rep")
 
     reps = classes.join(final, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
