@@ -1,0 +1 @@
+"""No streams: the data that this package fuses are finished logs of an experiment."""
