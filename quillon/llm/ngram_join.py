@@ -93,12 +93,12 @@ def second_order(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
 
 
 def may_link(percent: int) -> Column:
-    """Whether rows x and y can still be similar enough: what the beginnings of their orders show to be in one set alone is not too much."""
+    """Whether rows x and y can still be similar enough: what the beginnings of their orders show to be in either set alone leaves enough for both."""
     last = F.least(F.element_at("ranks_x", -1), F.element_at("ranks_y", -1))
     a, b = (F.filter(f"ranks_{c}", lambda r: r < last) for c in "xy")
-    alone = F.col("unique_x") + F.col("unique_y") + F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    # With sizes x and y, an intersection of i and i >= t (x + y - i), what is in one set alone, x + y - 2 i, is at most (x + y) (1 - t) / (1 + t).
-    return (100 + percent) * alone <= (100 - percent) * (F.col("n_x") + F.col("n_y"))
+    most = F.least(F.col("n_x") - F.col("unique_x") - F.size(F.array_except(a, b)), F.col("n_y") - F.col("unique_y") - F.size(F.array_except(b, a)))
+    # An intersection of i and sizes x and y: i >= t (x + y - i).
+    return (100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y"))
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
@@ -185,7 +185,8 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "do
     x = rest.where("component != main").select("token", *side("x"))
     y = rest.select("token", "main", *side("y"))
     cross = x.join(y, "token").where("component_x != component_y and (component_y = main or doc_id_x < doc_id_y)")
-    cross = cross.where((100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & may_link(percent))
+    few = lambda c: (100 + percent) * (F.col(f"n_{c}") - F.col(f"unique_{c}")) >= percent * (F.col("n_x") + F.col("n_y"))  # noqa: E731  the cheap part of may_link
+    cross = cross.where((100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & few("x") & few("y") & may_link(percent))
     cross = cross.select(F.least("doc_id_x", "doc_id_y").alias("u"), F.greatest("doc_id_x", "doc_id_y").alias("v")).distinct()
     second = _links(cross, sets, percent, scratch, "cross")
     scratch.drop("shared", "rest", "sets", "orders")
