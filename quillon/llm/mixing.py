@@ -72,28 +72,35 @@ def balance(targets: DataFrame, cap: float, scratch: Scratch, tolerance: float =
     return at.withColumn("rate", F.when(F.col("source_size") > 0, rate).otherwise(F.lit(1.0)))
 
 
-def _cuts(hist: pd.DataFrame) -> pd.DataFrame:
-    """For each size class of one source how many of its hash buckets take an extra copy; what a class leaves open passes to the next smaller one."""
-    part = hist.rate.iat[0] % 1.0
-    out, carry = [], 0.0
-    for cls, rows in sorted(hist.groupby("cls"), key=lambda x: -x[0]):
-        mass = np.zeros(BUCKETS + 1)
-        mass[rows.bucket.to_numpy() + 1] = rows["size"].to_numpy()
-        mass = np.cumsum(mass)
-        want = part * mass[-1] + carry
-        cut = int(np.argmin(np.abs(mass - want)))
-        carry = want - mass[cut]
-        out.append((cls, cut))
-    return pd.DataFrame({"source": [hist.source.iat[0]] * len(out), "cls": [c for c, _ in out], "cut": [c for _, c in out]})
+def _cuts(cap: int):
+    def cuts(hist: pd.DataFrame) -> pd.DataFrame:
+        """For each size class of one source how many copies all documents have, and how many hash buckets one more; what a class leaves open passes to the next smaller one."""
+        rate = float(hist.rate.iat[0])
+        out, carry = [], 0.0
+        for cls, rows in sorted(hist.groupby("cls"), key=lambda x: -x[0]):
+            mass = np.zeros(BUCKETS + 1)
+            mass[rows.bucket.to_numpy() + 1] = rows["size"].to_numpy()
+            mass = np.cumsum(mass)
+            want = rate * mass[-1] + carry
+            held = min(max(want, 0.0), cap * mass[-1])
+            whole = min(int(held / mass[-1]), cap)
+            cut = int(np.argmin(np.abs(mass - (held - whole * mass[-1])))) if whole < cap else 0
+            carry = want - whole * mass[-1] - mass[cut]
+            out.append((cls, whole, cut))
+        return pd.DataFrame({"source": [hist.source.iat[0]] * len(out), **{n: [x[i] for x in out] for i, n in enumerate(("cls", "whole", "cut"))}})
+
+    return cuts
 
 
 def copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of docs with columns size, source_size, target, rate and copies.
 
-    ``size`` is the number of runs of characters other than white space (null text: 0). Documents are taken
-    floor(rate) times, and once more where their hash falls below the cut of their source and size class
-    (powers of two); cuts are set from the largest class down so that a source's words come to its target
-    within about half a bucket of its smallest class. Copies never exceed ``cap``, and reruns give the same.
+    ``size`` is the number of runs of characters other than white space (null text: 0). Rates are rounded to
+    copies by size class (powers of two) of a source: all documents of a class have the same copies, and those
+    whose hash falls below the class's cut one more. Classes follow from the largest down; what a class can't
+    round passes to the next smaller one, so that a source's words come to its target within about half a
+    bucket of its smallest class (unless single documents outweigh the target). Copies never exceed ``cap``,
+    and reruns give the same.
     Columns of docs with these names are replaced. A source that is null is a source of its own. Documents of size 0 count one copy (their source's words
     do not change). Rows that repeat a doc_id share a hash. A table without rows gives none.
     """
@@ -107,14 +114,14 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float =
     hist = scratch.table(sized.groupBy("source", "cls", "bucket").agg(F.sum("size").alias("size")), "sizes")
     rates = balance(source_targets(hist, weights, cap), cap, scratch).select(F.col("source").alias("s"), "source_size", "target", "rate")
     by_class = hist.join(rates, F.col("source").eqNullSafe(F.col("s"))).select("source", "cls", "bucket", "size", "rate").where("cls >= 0")
-    cuts = by_class.groupBy("source").applyInPandas(_cuts, hist.select("source").schema.add("cls", IntegerType()).add("cut", IntegerType()))
+    cuts = by_class.groupBy("source").applyInPandas(_cuts(int(cap)), hist.select("source").schema.add("cls", IntegerType()).add("whole", IntegerType()).add("cut", IntegerType()))
     every = hist.select("source", "cls").distinct().join(rates, F.col("source").eqNullSafe(F.col("s")))
-    cuts = cuts.select(F.col("source").alias("c_source"), F.col("cls").alias("c_cls"), "cut")
+    cuts = cuts.select(F.col("source").alias("c_source"), F.col("cls").alias("c_cls"), "whole", "cut")
     every = every.join(cuts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("cls") == F.col("c_cls")), "left")
-    every = scratch.table(every.select("s", F.col("cls").alias("s_cls"), "source_size", "target", "rate", "cut"), "cuts")
+    every = scratch.table(every.select("s", F.col("cls").alias("s_cls"), "source_size", "target", "rate", "whole", "cut"), "cuts")
     found = sized.join(every, F.col("source").eqNullSafe(F.col("s")) & (F.col("cls") == F.col("s_cls")), "left")
     extra = F.when(F.col("bucket") < F.col("cut"), F.lit(1)).otherwise(F.lit(0))
-    number = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.least(F.floor("rate") + extra, F.lit(int(cap))))
+    number = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("whole") + extra)
     return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in names], "size", "source_size", "target", "rate", number.cast("long").alias("copies"))
 
 

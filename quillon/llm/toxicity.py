@@ -1,6 +1,7 @@
 """Toxicity of whole texts: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as the vector of its hash bucket beside the mean vector of its character 4-grams. Two gated
+A word enters as the vector of its hash bucket beside the mean vector of its character 4-grams, and with three
+figures of how often the labels go with its bucket and its grams (of training texts: in the other folds). Two gated
 recurrent layers read a window of words, one in each direction; attention pools their states; a logistic unit
 scores the window. Windows overlap and cover the whole text, and the highest window gives the document's score.
 The driver trains on a bounded sample of labelled texts; executors score batches of windows.
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 
-WORDS, GRAMS, DIM_W, DIM_C, HIDDEN, ATTEND = 1 << 16, 1 << 14, 12, 12, 12, 8
+WORDS, GRAMS, DIM_W, DIM_C, EXTRA, HIDDEN, ATTEND = 1 << 17, 1 << 16, 12, 12, 3, 12, 8
+#: Folds of the training texts, how many texts the prior weighs in a bucket's figure, and in how many a bucket must be to have a vector.
+FOLDS, PRIOR, COMMON = 5, 4.0, 10
 #: Words of a window, and from one window's start to the next.
 SPAN, STRIDE = 48, 36
 F4 = np.float32
@@ -33,7 +36,7 @@ class Sample:
     toxic: int = 1200
     clean: int = 2800
     chars: int = 6000
-    epochs: int = 6
+    epochs: int = 5
     seed: int = 11
 
 
@@ -41,7 +44,7 @@ def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     """Each word's bucket, the grams of all words, and each word's first gram."""
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bucket = (T.word_hashes(data, start, end) >> T.U(48)).astype(np.int64)
+    bucket = (T.word_hashes(data, start, end) >> T.U(47)).astype(np.int64)
     length = end - start
     first = np.concatenate([[0], np.cumsum(length)[:-1]])
     place = np.arange(int(length.sum())) - np.repeat(first, length)
@@ -53,7 +56,7 @@ def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
         before = np.where(place >= j, before, np.uint32(1 if j == 1 else 0))
         gram = gram + before * np.uint32(m)
     gram = (gram ^ (gram >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    return bucket, (gram >> np.uint32(18)).astype(np.int64), first
+    return bucket, (gram >> np.uint32(16)).astype(np.int64), first
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -61,9 +64,25 @@ def window_starts(n: int) -> np.ndarray:
     return np.arange(0, max(n - SPAN + STRIDE, 1), STRIDE)
 
 
+def extras(word_odds: np.ndarray, gram_odds: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A word's three figures: its bucket's, and the mean and highest of its grams'."""
+    if not len(first):
+        return np.zeros((0, EXTRA), F4)
+    sizes = np.diff(np.append(first, len(gram_odds)))
+    return np.stack([word_odds, np.add.reduceat(gram_odds, first) / sizes, np.maximum.reduceat(gram_odds, first)], axis=1).astype(F4)
+
+
+def log_odds(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """Log odds of label 1 among the texts of each bucket over those of all texts, held to the prior where texts are few."""
+    q = (toxic + PRIOR * share) / (toxic + clean + PRIOR)
+    return (0.5 * np.clip(np.log(q / (1 - q)) - np.log(share / (1 - share)), -4, 8)).astype(F4)
+
+
 @dataclass
 class Network:
     p: dict[str, np.ndarray]
+    odds: tuple[np.ndarray, np.ndarray] | None = None
+    common: tuple[np.ndarray, np.ndarray] | None = None
     scale: float = 1.0
     shift: float = 0.0
     constant: float | None = None
@@ -71,16 +90,20 @@ class Network:
 
     @staticmethod
     def new(rng: np.random.Generator) -> Network:
-        d, h = DIM_W + DIM_C, HIDDEN
+        d, h = DIM_W + DIM_C + EXTRA, HIDDEN
         g = lambda *s, k=1.0: (rng.standard_normal(s) * k).astype(F4)
         p = {"word": np.zeros((WORDS, DIM_W), F4), "gram": g(GRAMS, DIM_C, k=0.05), "att": g(2 * h, ATTEND, k=0.3), "attv": g(ATTEND, k=0.3), "out": g(2 * h, k=0.3), "bias": np.array([-1.0], F4)}
         for way in "fb":
             p |= {f"wx{way}": g(d, 3 * h, k=d**-0.5), f"wh{way}": g(h, 3 * h, k=h**-0.5), f"bx{way}": np.zeros(3 * h, F4)}
         return Network(p)
 
-    def inputs(self, bucket: np.ndarray, gram: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def inputs(self, bucket: np.ndarray, gram: np.ndarray, first: np.ndarray, extra: np.ndarray | None = None) -> np.ndarray:
         sizes = np.diff(np.append(first, len(gram)))[:, None].astype(F4)
-        return np.concatenate([self.p["word"][bucket], np.add.reduceat(self.p["gram"][gram], first, axis=0) / sizes], axis=1)
+        if extra is None:
+            extra = extras(self.odds[0][bucket], self.odds[1][gram], first)
+        word = self.p["word"][bucket] * self.common[0][bucket, None]
+        grams = self.p["gram"][gram] * self.common[1][gram, None]
+        return np.concatenate([word, np.add.reduceat(grams, first, axis=0) / sizes, extra], axis=1)
 
     def forward(self, x: np.ndarray, at: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Scores of windows; ``at``: (windows, SPAN) rows of x, ``mask``: which of them count."""
@@ -173,25 +196,27 @@ def train(texts: list[str], labels: list[int], sample: Sample) -> Network:
     for i in range(0, len(texts), 128):
         data, offsets = T.text_buffer(pa.array(texts[i : i + 128], pa.large_string()))
         start, end, of_text = T.words(data, offsets, T.ALNUM)
-        parts.append((*(x.astype(np.uint16) for x in features(data, start, end)[:2]), end - start))
+        parts.append((*(x.astype(np.int32) for x in features(data, start, end)[:2]), end - start))
         counts.append(np.diff(of_text))
     bucket, gram, size = (np.concatenate(x) for x in zip(*parts))
     first = np.cumsum(size) - size
     del parts
-    at, mask, owner = _windows(np.concatenate(counts))
+    counts = np.concatenate(counts)
+    extra = _folded(net, bucket, gram, first, counts, y)
+    at, mask, owner = _windows(counts)
     filled = mask[:, 0] > 0
     at, mask, owner = at[filled], mask[filled], owner[filled]
     by_text = np.searchsorted(owner, np.arange(len(y) + 1))
     has = np.flatnonzero(np.diff(by_text) > 0)
-    apart = has[(has % 5 == 4)] if min((y[has] > 0).sum(), (y[has] == 0).sum()) >= 50 else has  # sets the scale, without being learned from
+    apart = has[(has % 5 == 4)] if min((y[has] > 0).sum(), (y[has] == 0).sum()) >= 20 else has  # sets the scale, without being learned from
     has = np.setdiff1d(has, apart) if len(apart) < len(has) else has
     m1, m2 = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     steps = 0
     weight = np.where(y > 0, 0.5 * len(y) / max(1, (y > 0).sum()), 0.5 * len(y) / max(1, (y == 0).sum())).astype(F4)
     rate0, batches = 0.01, 0
-    total = max(300, sample.epochs * (len(has) // 64 + 1))
+    total = max(120, sample.epochs * (len(has) // 64 + 1))
     while batches < total:
-        highest = _text_logits(net, bucket, gram, first, at, mask)
+        highest = _text_logits(net, bucket, gram, first, at, mask, extra)
         order = rng.permutation(has)
         for b in range(0, len(order), 64):
             part = order[b : b + 64]
@@ -207,13 +232,14 @@ def train(texts: list[str], labels: list[int], sample: Sample) -> Network:
             ends = np.cumsum(lengths)
             places = np.arange(int(ends[-1])) + np.repeat(first[words] - (ends - lengths), lengths)
             grams, firsts = gram[places], ends - lengths
-            x = net.inputs(bucket[words], grams, firsts)
+            x = net.inputs(bucket[words], grams, firsts, extra[words])
             dropped = rng.random(len(words)) < 0.3  # a word's own vector, so that its characters count as well
             x[dropped, :DIM_W] = 0
             logit, tape = net.forward(x, local, mask[rows], keep=True)
             d = (1 / (1 + np.exp(-logit)) - y[part]) * weight[part] / len(part)
             g, d_x = net.backward(x, local, mask[rows], tape, d.astype(F4))
             d_x[dropped, :DIM_W] = 0
+            d_x[:, :DIM_W] *= net.common[0][bucket[words], None]
             steps += 1
             batches += 1
             rate = rate0 * min(1.0, steps / 20) * (1 - 0.9 * min(1.0, batches / total))
@@ -221,26 +247,46 @@ def train(texts: list[str], labels: list[int], sample: Sample) -> Network:
                 m1[k] = 0.9 * m1[k] + 0.1 * v
                 m2[k] = 0.99 * m2[k] + 0.01 * v * v
                 net.p[k] -= (rate * (m1[k] / (1 - 0.9**steps)) / (np.sqrt(m2[k] / (1 - 0.99**steps)) + 1e-8)).astype(F4)
-            for k, ids, dv in (("word", bucket[words], d_x[:, :DIM_W]), ("gram", grams, np.repeat(d_x[:, DIM_W:] / lengths[:, None].astype(F4), lengths, axis=0))):
+            for k, ids, dv in (("word", bucket[words], d_x[:, :DIM_W]), ("gram", grams, np.repeat(d_x[:, DIM_W : DIM_W + DIM_C] / lengths[:, None].astype(F4), lengths, axis=0) * net.common[1][grams, None])):
                 own, inverse = np.unique(ids, return_inverse=True)
                 v = np.zeros((len(own), dv.shape[1]), F4)
                 np.add.at(v, inverse, dv)
                 m2[k][own] += v * v
-                net.p[k][own] -= (8 * rate * v / (np.sqrt(m2[k][own]) + 1e-8)).astype(F4)
+                net.p[k][own] -= (4 * rate * v / (np.sqrt(m2[k][own]) + 1e-8)).astype(F4)
             if batches >= total:
                 break
     top = np.full(len(y), -np.inf)
-    np.maximum.at(top, owner, _text_logits(net, bucket, gram, first, at, mask))
+    np.maximum.at(top, owner, _text_logits(net, bucket, gram, first, at, mask, extra))
     _calibrate(net, top[apart], y[apart])
     return net
 
 
-def _text_logits(net: Network, bucket: np.ndarray, gram: np.ndarray, first: np.ndarray, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
+def _folded(net: Network, bucket: np.ndarray, gram: np.ndarray, first: np.ndarray, counts: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The three figures of all words of the training texts, each from the texts of other folds; and those of all texts, for the network."""
+    text = np.repeat(np.arange(len(y)), counts)
+    sizes = np.diff(np.append(first, len(gram)))
+    tables = []
+    for ids, owner, n in ((bucket, text, WORDS), (gram, np.repeat(text, sizes), GRAMS)):
+        pair = np.unique(owner.astype(np.int64) * n + ids)
+        own, ids_ = pair // n, pair % n
+        tables.append(np.stack([np.bincount(ids_[(own % FOLDS == f) & (y[own] == c)], minlength=n) for f in range(FOLDS) for c in (1, 0)]).reshape(FOLDS, 2, n))
+    share = float(np.clip(y.mean(), 0.02, 0.98))
+    net.odds = tuple(log_odds(*t.sum(0), share) for t in tables)
+    net.common = tuple((t.sum((0, 1)) >= COMMON).astype(F4) for t in tables)
+    extra = np.zeros((len(bucket), EXTRA), F4)
+    for f in range(FOLDS):
+        word, g = (log_odds(*(t.sum(0) - t[f]), share) for t in tables)
+        own = text % FOLDS == f
+        extra[own] = extras(word[bucket[own]], g[gram[np.repeat(own, sizes)]], np.cumsum(sizes[own]) - sizes[own])
+    return extra
+
+
+def _text_logits(net: Network, bucket: np.ndarray, gram: np.ndarray, first: np.ndarray, at: np.ndarray, mask: np.ndarray, extra: np.ndarray | None = None) -> np.ndarray:
     """Scores of all windows, some thousand at a time; windows are in the order of their words."""
     out, ends = [np.zeros(0, F4)], np.append(first, len(gram))
     for i in range(0, len(at), 2048):
         lo, hi = int(at[i, 0]), int(at[i : i + 2048, -1].max()) + 1
-        x = net.inputs(bucket[lo:hi], gram[ends[lo] : ends[hi]], first[lo:hi] - ends[lo])
+        x = net.inputs(bucket[lo:hi], gram[ends[lo] : ends[hi]], first[lo:hi] - ends[lo], None if extra is None else extra[lo:hi])
         out.append(net.forward(x, at[i : i + 2048] - lo, mask[i : i + 2048]))
     return np.concatenate(out)
 
@@ -249,7 +295,7 @@ def _calibrate(net: Network, logit: np.ndarray, y: np.ndarray) -> None:
     """Scale and shift of the texts' highest logits: if a threshold parts all but a hundredth of label 0 and a twentieth of label 1, it comes between them; else by logistic regression, mildly held to 1 and 0."""
     low, high = (np.quantile(logit[y == c], q) if (y == c).any() else np.nan for c, q in ((0, 0.99), (1, 0.05)))
     if low < high:
-        net.scale = float(8 / (high - low))
+        net.scale = float(min(8 / (high - low), 2.0))
         net.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - net.scale * (0.3 * low + 0.7 * high))  # clean texts are many more and vary more
         return
     a, b = 1.0, 0.0
