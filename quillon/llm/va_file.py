@@ -34,14 +34,14 @@ class Search:
         self.most = np.abs(queries).max(initial=0)
         self.threshold = np.full(len(ids), -np.inf)
         none = np.zeros(0, np.int64)
-        self.found = (none, none, np.zeros(0, object if self.large(0) else np.int64))
+        self.found = (none, none, none)
 
     def large(self, most: float) -> bool:
         return max(self.most, most, 1) * max(most, self.most, 1) * self.q.shape[1] * 2 >= _EXACT
 
     def _take(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         a, b, c = (np.concatenate([x, y]) for x, y in zip(self.found, (q, ids, score)))
-        keep = V.best(a, -c if c.dtype != object else np.array([-x for x in c], object), b, self.k) if c.dtype != object else _best_objects(a, c, b, self.k)
+        keep = V.best(a, ~c, b, self.k)
         self.found = a[keep], b[keep], c[keep]
         number = np.bincount(self.found[0], minlength=len(self.ids))
         last = np.cumsum(number) - 1
@@ -81,22 +81,10 @@ class Search:
             for j in range(0, len(ids), 256):
                 part = [(ids[m], sum(p * r for p, r in zip(own, big[m]))) for m in range(j, min(j + 256, len(ids))) if ids[m] != self.ids[i]]
                 if part:
-                    score = np.empty(len(part), object)
-                    score[:] = [s for _, s in part]
+                    score = np.array([min(max(s, -(2**63)), 2**63 - 1) for _, s in part], np.int64)
                     self._take(np.full(len(part), i), np.array([m for m, _ in part]), score)
 
 
-def _best_objects(q: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    order = sorted(range(len(q)), key=lambda i: (q[i], -score[i], ids[i]))
-    out, last, rank = [], None, 0
-    for i in order:
-        rank = rank + 1 if q[i] == last else 0
-        last = q[i]
-        if rank < k:
-            out.append(i)
-    return np.array(out, np.int64)
-
-
 def _scaled(batch: pa.RecordBatch, scale: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     with np.errstate(over="ignore"):
         return {d: (ids[good], y[good]) for d, (ids, x) in V.matrices(batch, "id", "x", zero=True).items() for y in [np.floor(scale * x)] for good in [np.isfinite(y).all(1)]}
@@ -107,7 +95,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024,
 
     A row with the query's own vec_id is no candidate. Vectors that are null, empty or hold null or non-finite
     components take no part, nor do those of another length than the query's. Scores beyond the range of long
-    come to its ends. Queries that share a vec_id count once each dimension; rows that share one count each.
+    come to its ends, and tie there. Queries that share a vec_id count once each dimension; rows that share one count each.
     """
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "va-file")
     own = lambda df: df.select(df[vec_id].cast("long").alias("id"), df[embedding].alias("x"))
@@ -128,7 +116,6 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024,
                             searches[d].scan(ids, x)
             for s in searches.values():
                 q, ids, score = s.found
-                score = [min(max(int(v), -(2**63)), 2**63 - 1) for v in score]
                 yield pa.RecordBatch.from_arrays([pa.array(s.ids[q], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
 
         found = rows.mapInArrow(scan, "query_id long, vec_id long, score long")

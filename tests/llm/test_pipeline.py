@@ -1,0 +1,65 @@
+"""The pipeline's stages: each works on what the one before kept, and its decisions take effect."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from quillon.llm import pieces, toxicity
+
+
+@pytest.fixture()
+def folder(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(2, 7)))
+    line = "this very line is in several documents of the corpus"
+    rows, labels = [], []
+    for i in range(240):
+        w = [word() for _ in range(rng.randint(20, 80))]
+        toxic = i % 4 == 1
+        if toxic:
+            w[::15] = ["zorkface"] * len(w[::15])
+        rows.append((i, " ".join(w) + ("\n" + line if i % 10 == 0 else ""), "en", f"s{i % 3}", 0))
+        labels.append((i, 0, int(toxic)))
+    copy = rows[2][1].split()
+    copy[10] = "other"
+    rows += [(300, rows[2][1], "en", "s1", 0), (301, " ".join(copy), "en", "s1", 0), (302, None, None, None, None), (303, "", "en", "s2", 0), (304, "", "en", "s2", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(toxicity, "Sample", lambda: Sample)
+    return str(tmp_path)
+
+
+Sample = toxicity.Sample(toxic=60, clean=150, epochs=4)
+
+
+def test_stages(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, folder)
+        if i < 4:
+            assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/out-{i}")
+        docs = kept[name] = spark.read.parquet(f"{tmp_path}/out-{i}")
+    ids = {name: [r.doc_id for r in df.select("doc_id").collect()] for name, df in kept.items()}
+    clean = {i for i in range(240) if i % 4 != 1} | {300, 301, 302, 303, 304}
+    assert len(set(ids["toxicity"]) & clean) >= 0.97 * len(clean) and len(set(ids["toxicity"]) - clean) <= 6
+    assert sorted(ids["line dedup"]) == sorted(ids["toxicity"])
+    texts = {r.doc_id: r.text for r in kept["line dedup"].collect()}
+    with_line = [i for i, t in texts.items() if "this very line" in (t or "")]
+    assert len(with_line) == 1 and texts[302] is None
+    near = set(ids["n-gram Jaccard join"])
+    assert {2, 302, 303, 304} <= near and not {300, 301} & near and len(near) == len(ids["n-gram Jaccard join"]) == len(texts) - 2
+    mixed = ids["mixing"]
+    assert max(mixed.count(i) for i in set(mixed)) <= 3 and set(mixed) <= near and {302, 303, 304} <= set(mixed)
+    last = kept["SentencePiece"]
+    assert sorted(r.doc_id for r in last.collect()) == sorted(mixed)
+    back = {r.doc_id: r.text for r in pieces.decode(last).collect()}
+    assert all(back[r.doc_id] == (r.text or "") for r in kept["mixing"].collect())
+
+
+def test_run_on_empty_tables(spark, folder, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
