@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 #: Space and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,7 +47,9 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     Null and empty texts have one empty line and lose nothing. Rows that share a doc_id count as one
     document for the keys' counts. A table without rows gives none. Other columns are not read.
     """
-    ranged = line_keys(docs, doc_id, text, min_chars).repartitionByRange("h1", "h2", F.desc("doc_id"))
+    # Written once, as dealing by range reads it twice and the join below again.
+    keys = Scratch(docs.sparkSession, "line-dedup").table(line_keys(docs, doc_id, text, min_chars), "keys")
+    ranged = keys.repartitionByRange("h1", "h2", F.desc("doc_id")).sortWithinPartitions("h1", "h2", F.desc("doc_id"), "pos")
     held = ranged.groupBy("h1", "h2", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("at"))
     by_key = held.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("first"))
     frequent = by_key.where(F.col("n_docs") >= min_docs).select("h1", "h2", "first")
