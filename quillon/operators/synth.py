@@ -45,7 +45,7 @@ def key_numbers(data: DataFrame) -> DataFrame:
 
 def key_number_lines(numbers: DataFrame) -> DataFrame:
     """Key numbers as text: (mass_flow_g_s, case_label, i, line), five lines a case; figures are rounded half to even."""
-    text = lambda c, d: F.format_number(F.bround(F.col(c).cast("decimal(38,12)"), d), f"0.{'0' * d}")
+    text = lambda c, d: F.bround(F.col(c).cast("decimal(30,12)"), d).cast(f"decimal(30,{d})").cast("string")
     lines = F.array(
         F.col("case_label"),
         F.concat(F.lit("  heat flux range: "), text("flux_min", 2), F.lit(" to "), text("flux_max", 2), F.lit(" W/cm2")),
