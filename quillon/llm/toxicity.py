@@ -200,7 +200,7 @@ def train(texts: list[str], labels: list[int], sample: Sample) -> Network:
         counts.append(np.diff(of_text))
     bucket, gram, size = (np.concatenate(x) for x in zip(*parts))
     first = np.cumsum(size) - size
-    del parts
+    del parts, data, offsets, start, end
     counts = np.concatenate(counts)
     extra = _folded(net, bucket, gram, first, counts, y)
     at, mask, owner = _windows(counts)
@@ -263,21 +263,21 @@ def train(texts: list[str], labels: list[int], sample: Sample) -> Network:
 
 def _folded(net: Network, bucket: np.ndarray, gram: np.ndarray, first: np.ndarray, counts: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The three figures of all words of the training texts, each from the texts of other folds; and those of all texts, for the network."""
-    text = np.repeat(np.arange(len(y)), counts)
-    sizes = np.diff(np.append(first, len(gram)))
-    tables = []
-    for ids, owner, n in ((bucket, text, WORDS), (gram, np.repeat(text, sizes), GRAMS)):
-        pair = np.unique(owner.astype(np.int64) * n + ids)
-        own, ids_ = pair // n, pair % n
-        tables.append(np.stack([np.bincount(ids_[(own % FOLDS == f) & (y[own] == c)], minlength=n) for f in range(FOLDS) for c in (1, 0)]).reshape(FOLDS, 2, n))
+    words = np.concatenate([[0], np.cumsum(counts)])
+    ends = np.append(first, len(gram))[words]
+    tables = [np.zeros((FOLDS, 2, n), np.int32) for n in (WORDS, GRAMS)]
+    for i in range(len(y)):
+        for table, ids in zip(tables, (bucket[words[i] : words[i + 1]], gram[ends[i] : ends[i + 1]])):
+            table[i % FOLDS, 0 if y[i] else 1, np.unique(ids)] += 1
     share = float(np.clip(y.mean(), 0.02, 0.98))
     net.odds = tuple(log_odds(*t.sum(0), share) for t in tables)
     net.common = tuple((t.sum((0, 1)) >= COMMON).astype(F4) for t in tables)
+    others = [[log_odds(*(t.sum(0) - t[f]), share) for t in tables] for f in range(FOLDS)]
     extra = np.zeros((len(bucket), EXTRA), F4)
-    for f in range(FOLDS):
-        word, g = (log_odds(*(t.sum(0) - t[f]), share) for t in tables)
-        own = text % FOLDS == f
-        extra[own] = extras(word[bucket[own]], g[gram[np.repeat(own, sizes)]], np.cumsum(sizes[own]) - sizes[own])
+    for i in np.flatnonzero(counts > 0):
+        a, b = words[i], words[i + 1]
+        word, g = others[i % FOLDS]
+        extra[a:b] = extras(word[bucket[a:b]], g[gram[ends[i] : ends[i + 1]]], first[a:b] - ends[i])
     return extra
 
 
