@@ -22,6 +22,11 @@ def path_order(path: str = "path") -> Column:
     return F.split(path, "/").asc()
 
 
+def plain_path(uri: Column) -> Column:
+    """A path as listed: without the scheme of local files and without escapes."""
+    return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+
+
 def _listed(spark: SparkSession, root: str) -> list[str]:
     """All paths below a root of any Hadoop file system: names only, read by the driver."""
     jvm = spark.sparkContext._jvm
@@ -48,7 +53,7 @@ def list_annotations(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 def read_annotations(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Annotation documents with json_path and image_path: imagePath, or the document's own stem with .bmp, beside the document."""
-    docs = spark.read.schema(ANNOTATION).json(paths, multiLine=True).withColumn("json_path", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/"))
+    docs = spark.read.schema(ANNOTATION).json(paths, multiLine=True).withColumn("json_path", plain_path(F.col("_metadata.file_path")))
     parent = F.regexp_replace("json_path", r"[^/]+$", "")
     stem = F.regexp_extract("json_path", r"([^/]+)\.[^./]+$", 1)
     return docs.withColumn("image_path", F.concat(parent, F.coalesce("imagePath", F.concat(stem, F.lit(".bmp")))))
@@ -97,7 +102,7 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
     image = F.col("image")
     found = spark.read.format("image").option("recursiveFileLookup", True).load(root)
     ok = F.when(image["mode"] >= 0, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not an image: "), image["origin"])).cast("boolean"))
-    return found.where(ok).select(image["origin"].alias("path"), image["height"].alias("height"), image["width"].alias("width"), image["nChannels"].alias("channels"), image["data"].alias("data"))
+    return found.where(ok).select(plain_path(image["origin"]).alias("path"), image["height"].alias("height"), image["width"].alias("width"), image["nChannels"].alias("channels"), image["data"].alias("data"))
 
 
 def states_of(images: DataFrame) -> DataFrame:
