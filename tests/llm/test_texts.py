@@ -1,6 +1,5 @@
 """Operators on texts against plain versions, and on tables with nulls, empty and very long texts, ties, repeats and clashing columns."""
 
-import hashlib
 import random
 import re
 import zlib
