@@ -72,6 +72,17 @@ NOTICES = (
 SPANS = "array<struct<label:string,start:int,end:int,errors:int>>"
 
 
+def apart(pattern, piece: str) -> list:
+    """The best match, then those before and after it, until no part of the piece has one."""
+    out, parts = [], [(0, len(piece))]
+    while parts:
+        a, b = parts.pop()
+        if m := pattern.search(piece, a, b):
+            out.append(m)
+            parts += [(a, m.start()), (m.end(), b)]
+    return out
+
+
 class Scanner:
     def __init__(self, notices: tuple[Notice, ...], phrases: tuple[tuple[str, str], ...]):
         self.notices = [(n, n.pattern(), n.most()) for n in notices]
@@ -123,7 +134,7 @@ class Scanner:
                 while a > offsets[i] and data[a] & 0xC0 == 0x80:
                     a -= 1
                 piece = data[a:b].decode("utf-8", "ignore")
-                for m in pattern.finditer(piece):
+                for m in apart(pattern, piece):
                     errors = sum(m.fuzzy_counts)
                     at = len(data[offsets[i] : a].decode()) + m.start()
                     spans.setdefault(i, []).append((n_.label, at, at + m.end() - m.start(), errors, 1 - errors / len(n_.words)))

@@ -238,6 +238,16 @@ def test_license_scan(spark, corpus):
     assert licenses.license_scan(table(spark, corpus[:0])).count() == 0
 
 
+def test_license_spans_of_near_notices(spark):
+    """Notices with more edits are found beside those with fewer, whichever comes first."""
+    near, exact = "Licensd under the Apache License, Version 2.0. ", "Licensed under the Apache License, Version 2.0. "
+    rows = [(1, near * 50 + exact), (2, exact + near * 50), (3, "All right reserved. All rights reserved.")]
+    got = {r.doc_id: [(s.start, s.errors) for s in r.spans if s.label != "mit"] for r in licenses.license_scan(table(spark, rows)).collect()}
+    assert got[1] == [(len(near) * i, 1) for i in range(50)] + [(len(near) * 50, 0)]
+    assert got[2] == [(0, 0)] + [(len(exact) + len(near) * i, 1) for i in range(50)]
+    assert got[3] == [(0, 1), (20, 0)]
+
+
 def test_notice_seeds_hold_under_errors():
     """Whatever errors a notice has, one of its seeds is left (pigeonhole)."""
     for notice in licenses.NOTICES:
