@@ -2,25 +2,24 @@
 
 A notice that may have k errors is split into k + 1 parts, so that at least one part of any occurrence is
 unchanged; the longest word of each part is its exact seed. Seeds are searched for in all bytes of a batch at
-once, and around each hit the regex library looks for the notice with at most k edits, reporting span and edits.
+once, in a copy in which every run of other characters than those of words is one space. Around each hit a
+bit-parallel edit distance (Myers) finds the notice with at most k edits, reporting span and edits.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
 
-#: Characters other than words that may stand between two words of a notice, at most.
-GAP = 8
 #: Phrases whose words stand consecutively, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -44,15 +43,10 @@ class Notice:
                     if (value := min(least, len(w[i]))) > after.get(b, (-1, []))[0]:
                         after[b] = (value, [*picked, i])
             best = after
-        return [(w[i].encode(), sum(len(x) for x in w[:i]) + GAP * i) for i in best[len(w)][1]]
-
-    def pattern(self):
-        gap = rf"[^0-9a-z\x80-\U0010FFFF]{{1,{GAP}}}"
-        return regex.compile(rf"(?b)(?:{gap.join(map(regex.escape, self.words.split()))}){{e<={self.errors}}}")
+        return [(w[i].encode(), sum(len(x) + 1 for x in w[:i])) for i in best[len(w)][1]]
 
     def most(self) -> int:
-        w = self.words.split()
-        return sum(map(len, w)) + GAP * (len(w) - 1) + self.errors
+        return len(self.words) + self.errors
 
 
 NOTICES = (
@@ -72,20 +66,49 @@ NOTICES = (
 SPANS = "array<struct<label:string,start:int,end:int,errors:int>>"
 
 
-def apart(pattern, piece: str) -> list:
-    """The best match, then those before and after it, until no part of the piece has one."""
-    out, parts = [], [(0, len(piece))]
-    while parts:
-        a, b = parts.pop()
-        if m := pattern.search(piece, a, b):
-            out.append(m)
-            parts += [(a, m.start()), (m.end(), b)]
+def _distances(masks: dict[str, int], m: int, text: str, start: int) -> list[int]:
+    """Edits between a pattern of m characters and what ends with each character of text: from any place on (start 0) or all of it (1)."""
+    out, full, top = [], (1 << m) - 1, m - 1
+    up, down, score = full, 0, m
+    for c in text:
+        eq = masks.get(c, 0)
+        x = (((eq & up) + up) ^ up) | eq
+        plus, minus = down | (full & ~(x | up)), up & x
+        score += (plus >> top & 1) - (minus >> top & 1)
+        plus, minus, x = (plus << 1 | start) & full, (minus << 1) & full, eq | down
+        up, down = minus | (full & ~(x | plus)), plus & x
+        out.append(score)
     return out
 
 
+class Matcher:
+    """Places of words with one space between them, with at most so many edits."""
+
+    def __init__(self, words: str, errors: int):
+        self.m, self.errors = len(words), errors
+        self.ahead, self.back = ({c: sum(1 << i for i, x in enumerate(w) if x == c) for c in set(w)} for w in (words, words[::-1]))
+
+    def find(self, text: str) -> list[tuple[int, int, int]]:
+        """Start, end and edits of places that don't overlap: those with the fewest edits first, until no end is left; of equal ones those between whole words, the first, and the shortest."""
+        ends = [(d, not (text[j] != " " and text[j + 1 : j + 2] in ("", " ")), j + 1) for j, d in enumerate(_distances(self.ahead, self.m, text, 0)) if d <= self.errors]
+        taken: list[tuple[int, int, int]] = []
+        for d, _, end in sorted(ends):
+            k = bisect(taken, (end,))
+            before, after = taken[k - 1][1] if k else 0, taken[k][0] if k < len(taken) else len(text)
+            if not before < end <= after:
+                continue
+            back = _distances(self.back, self.m, text[max(before, end - self.m - self.errors) : end][::-1], 1)
+            if (d := min(back)) > self.errors:
+                continue
+            starts = [end - i - 1 for i, x in enumerate(back) if x == d]
+            start = next((a for a in starts if text[a] != " " and (not a or text[a - 1] == " ")), starts[0])
+            taken.insert(k, (start, end, d))
+        return taken
+
+
 class Scanner:
     def __init__(self, notices: tuple[Notice, ...], phrases: tuple[tuple[str, str], ...]):
-        self.notices = [(n, n.pattern(), n.most()) for n in notices]
+        self.notices = [(n, Matcher(n.words, n.errors), n.most()) for n in notices]
         self.seeds: dict[bytes, list[tuple[int, int]]] = {}
         for i, n in enumerate(notices):
             for seed, before in n.seeds():
@@ -101,29 +124,42 @@ class Scanner:
             at = data.find(seed, at + 1)
         return out
 
+    @staticmethod
+    def single_spaces(raw: np.ndarray, offsets: np.ndarray, data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """A copy of data in which each run of bytes that aren't words' is one space, each of its bytes' place in data, and its texts' starts with the end as the last."""
+        inside = T.ALNUM[raw]
+        kept = inside.copy()
+        kept[1:] |= inside[:-1]
+        kept[offsets[:-1][offsets[:-1] < len(raw)]] = True
+        place = np.flatnonzero(kept)
+        return np.where(inside[place], np.frombuffer(data, np.uint8)[place], 32).astype(np.uint8).tobytes(), place, np.searchsorted(place, offsets)
+
     def scan(self, column: pa.Array) -> list[tuple]:
         """For each text: words, phrase places, first and last one's word, phrase labels, all labels, score, spans."""
         raw, offsets = T.text_buffer(column)
         start, _, first = T.words(raw, offsets, T.ALNUM)
         data = raw.tobytes().lower()
         n = len(column)
+        near, place, edges = self.single_spaces(raw, offsets, data)
+        chars = np.cumsum((raw & 0xC0) != 0x80)
         base: dict[int, list[tuple[int, str]]] = {}
-        hits = {seed: np.array(self.places(data, seed), np.int64) for seed in {*self.seeds, *(last for _, _, last in self.phrases)}}
+        hits = {last: np.array(self.places(data, last), np.int64) for last in {last for _, _, last in self.phrases}}
         for pattern, label, last in self.phrases:
             for i in np.unique(np.searchsorted(offsets, hits[last], "right") - 1).tolist():
                 for m in pattern.finditer(data[offsets[i] : offsets[i + 1]]):
                     base.setdefault(i, []).append((int(np.searchsorted(start, offsets[i] + m.start())) - int(first[i]), label))
         windows: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for seed, uses in self.seeds.items():
-            where = np.searchsorted(offsets, hits[seed], "right") - 1
-            for p, i in zip(hits[seed].tolist(), where.tolist()):
+            at = np.array(self.places(near, seed), np.int64)
+            where = np.searchsorted(edges, at, "right") - 1
+            for p, i in zip(at.tolist(), where.tolist()):
                 for notice, before in uses:
                     n_, _, most = self.notices[notice]
-                    a, b = max(int(offsets[i]), p - before - 4 * n_.errors), min(int(offsets[i + 1]), p + most + 4 * n_.errors)  # only an edit has more than a byte
+                    a, b = max(int(edges[i]), p - before - 4 * n_.errors), min(int(edges[i + 1]), p + most + 4 * n_.errors)  # only an edit has more than a byte
                     windows.setdefault((i, notice), []).append((a, b))
         spans: dict[int, list[tuple[str, int, int, int, float]]] = {}
         for (i, notice), parts in windows.items():
-            n_, pattern, _ = self.notices[notice]
+            n_, matcher, _ = self.notices[notice]
             merged: list[list[int]] = []
             for a, b in sorted(parts):
                 if merged and a <= merged[-1][1]:
@@ -131,13 +167,15 @@ class Scanner:
                 else:
                     merged.append([a, b])
             for a, b in merged:
-                while a > offsets[i] and data[a] & 0xC0 == 0x80:
+                while a > edges[i] and near[a] & 0xC0 == 0x80:
                     a -= 1
-                piece = data[a:b].decode("utf-8", "ignore")
-                for m in apart(pattern, piece):
-                    errors = sum(m.fuzzy_counts)
-                    at = len(data[offsets[i] : a].decode()) + m.start()
-                    spans.setdefault(i, []).append((n_.label, at, at + m.end() - m.start(), errors, 1 - errors / len(n_.words)))
+                piece = near[a:b].decode("utf-8", "ignore")
+                if not (found := matcher.find(piece)):
+                    continue
+                begins = np.flatnonzero((np.frombuffer(near, np.uint8, b - a, a) & 0xC0) != 0x80) + a
+                number = chars[place[begins]] - int(chars[offsets[i]])
+                for begin, end, errors in found:
+                    spans.setdefault(i, []).append((n_.label, int(number[begin]), int(number[end - 1]) + 1, errors, 1 - errors / len(n_.words)))
         out, counts = [], np.diff(first)
         for i in range(n):
             b, s = base.get(i, ()), spans.get(i, ())
@@ -152,7 +190,7 @@ def license_scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, phrases
     The whole text is lower-cased (A-Z) and cut into words of ASCII letters, digits and characters beyond
     ASCII. n_base counts the places of phrases, first_word and last_word are the smallest and largest of them
     (in words, from 0; null if none). spans lists the notices found, with their label, place in characters and
-    number of edits; between the words of a notice stand 1 to 8 other characters. score is 1 with a phrase, else
+    number of edits; any run of other characters between the words of a notice counts as one space. score is 1 with a phrase, else
     that of the nearest notice, one less the share of its characters that are edits; 0 without either. Null and
     empty texts have no words and labels. Rows are scanned one by one, whatever ids they share.
     """

@@ -248,6 +248,35 @@ def test_license_spans_of_near_notices(spark):
     assert got[3] == [(0, 1), (20, 0)]
 
 
+def test_license_spans_of_wrapped_notices(spark):
+    """Any run of characters other than words' may stand between the words of a notice; spans are places in the text itself."""
+    texts = ["é¡ All rights\n           Reserved.", "creative commons\n        // attribution", "Redistribution and use in source\n -- \n -- and binary forms", "gnu" + " " * 5000 + "lesser genral public\n\n#\t\t*       license", "  mozilla  public  license,  version  (2 . 0)"]
+    wants = [("all-rights-reserved", 0), ("cc-by", 0), ("bsd", 0), ("lgpl", 1), ("mpl", 0)]
+    got = {r.doc_id: r.spans for r in licenses.license_scan(table(spark, list(enumerate(texts)))).collect()}
+    for i, (text, want) in enumerate(zip(texts, wants)):
+        assert [(s.label, s.errors) for s in got[i]] == [want]
+        first, last = re.search(r"[a-zA-Z]", text).start(), max(m.end() for m in re.finditer(r"[a-zA-Z0-9]", text))
+        assert (got[i][0].start, got[i][0].end) == (first, last)
+
+
+def test_notice_matcher_against_plain_distance():
+    rng = random.Random(2)
+    for _ in range(300):
+        words, text = ("".join(rng.choice("ab ") for _ in range(n)) for n in (rng.randint(2, 9), rng.randint(0, 30)))
+        column, ends = list(range(len(words) + 1)), []
+        for c in text:
+            row = [0]
+            for i, w in enumerate(words):
+                row.append(min(column[i] + (w != c), column[i + 1] + 1, row[i] + 1))
+            column = row
+            ends.append(column[-1])
+        matcher = licenses.Matcher(words, 1)
+        assert licenses._distances(matcher.ahead, len(words), text, 0) == ends
+        found = matcher.find(text)
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:])) and bool(found) == any(d <= 1 for d in ends)
+        assert min((d for _, _, d in found), default=None) == min((d for d in ends if d <= 1), default=None)
+
+
 def test_notice_seeds_hold_under_errors():
     """Whatever errors a notice has, one of its seeds is left (pigeonhole)."""
     for notice in licenses.NOTICES:
