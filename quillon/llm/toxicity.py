@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
@@ -31,11 +31,11 @@ THRESHOLD = 0.3
 
 @dataclass
 class Sample:
-    """The bound of what is learned from: texts of either label, and characters of each."""
+    """The bound of what is learned from: texts of either label, and bytes of all of them. Texts are whole; if they are long, they are fewer."""
 
     toxic: int = 1200
     clean: int = 2800
-    chars: int = 6000
+    bytes: int = 24 << 20
     epochs: int = 5
     seed: int = 11
 
@@ -174,15 +174,25 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.scale * logit.astype(np.float64) + self.shift, -40, 40)))
 
 
-def _windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts of so many words, one after the other: rows of each window, which count, and each window's text."""
+def _places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts of so many words, one after the other: each window's first row, the end of its text, and its text."""
     starts = [window_starts(int(n)) for n in counts]
     base = np.concatenate([[0], np.cumsum(counts)[:-1]])
     begin = np.concatenate([np.zeros(0, np.int64), *[s + b for s, b in zip(starts, base)]]).astype(np.int64)
     owner = np.repeat(np.arange(len(counts)), [len(s) for s in starts])
+    return begin, (base + counts)[owner], owner
+
+
+def _rows(begin: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of windows, and which of them count."""
     at = begin[:, None] + np.arange(SPAN)
-    limit = (base + counts)[owner][:, None]
-    return np.minimum(at, np.maximum(limit - 1, 0)), (at < limit).astype(F4), owner
+    return np.minimum(at, np.maximum(limit - 1, 0)[:, None]), (at < limit[:, None]).astype(F4)
+
+
+def _windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts of so many words, one after the other: rows of each window, which count, and each window's text."""
+    begin, limit, owner = _places(counts)
+    return *_rows(begin, limit), owner
 
 
 def train(texts: list[str], labels: list[int], sample: Sample) -> Network:
@@ -193,19 +203,19 @@ def train(texts: list[str], labels: list[int], sample: Sample) -> Network:
     rng = np.random.default_rng(sample.seed)
     net = Network.new(rng)
     parts, counts = [], []
-    for i in range(0, len(texts), 128):
-        data, offsets = T.text_buffer(pa.array(texts[i : i + 128], pa.large_string()))
+    for batch in T.chunks([pa.record_batch({"text": pa.array(texts, pa.large_string())})], limit=256 << 10):
+        data, offsets = T.text_buffer(batch.column("text"))
         start, end, of_text = T.words(data, offsets, T.ALNUM)
-        parts.append((*(x.astype(np.int32) for x in features(data, start, end)[:2]), end - start))
+        parts.append([x.astype(t) for x, t in zip((*features(data, start, end)[:2], end - start), (np.int32, np.uint16, np.int32))])
         counts.append(np.diff(of_text))
-    bucket, gram, size = (np.concatenate(x) for x in zip(*parts))
-    first = np.cumsum(size) - size
-    del parts, data, offsets, start, end
+    size, gram, bucket = (np.concatenate([x.pop() for x in parts]) for _ in range(3))
+    first = (np.cumsum(size) - size).astype(np.int32)
+    del parts, data, offsets, start, end, batch
     counts = np.concatenate(counts)
     extra = _folded(net, bucket, gram, first, counts, y)
-    at, mask, owner = _windows(counts)
-    filled = mask[:, 0] > 0
-    at, mask, owner = at[filled], mask[filled], owner[filled]
+    begin, limit, owner = _places(counts)
+    filled = begin < limit
+    begin, limit, owner = begin[filled], limit[filled], owner[filled]
     by_text = np.searchsorted(owner, np.arange(len(y) + 1))
     has = np.flatnonzero(np.diff(by_text) > 0)
     apart = has[(has % 5 == 4)] if min((y[has] > 0).sum(), (y[has] == 0).sum()) >= 20 else has  # sets the scale, without being learned from
@@ -216,7 +226,7 @@ def train(texts: list[str], labels: list[int], sample: Sample) -> Network:
     rate0, batches = 0.01, 0
     total = max(120, sample.epochs * (len(has) // 64 + 1))
     while batches < total:
-        highest = _text_logits(net, bucket, gram, first, at, mask, extra)
+        highest = _text_logits(net, bucket, gram, first, begin, limit, extra)
         order = rng.permutation(has)
         for b in range(0, len(order), 64):
             part = order[b : b + 64]
@@ -226,8 +236,9 @@ def train(texts: list[str], labels: list[int], sample: Sample) -> Network:
                 top = own[np.argmax(highest[own] + (rng.gumbel(size=len(own)) * (0.5 if y[i] else 0.2)).astype(F4))]
                 pick.append(top)
             rows = np.array(pick)
-            words = np.unique(at[rows])
-            local = np.searchsorted(words, at[rows])
+            at, mask = _rows(begin[rows], limit[rows])
+            words = np.unique(at)
+            local = np.searchsorted(words, at)
             lengths = size[words]
             ends = np.cumsum(lengths)
             places = np.arange(int(ends[-1])) + np.repeat(first[words] - (ends - lengths), lengths)
@@ -235,9 +246,9 @@ def train(texts: list[str], labels: list[int], sample: Sample) -> Network:
             x = net.inputs(bucket[words], grams, firsts, extra[words])
             dropped = rng.random(len(words)) < 0.3  # a word's own vector, so that its characters count as well
             x[dropped, :DIM_W] = 0
-            logit, tape = net.forward(x, local, mask[rows], keep=True)
+            logit, tape = net.forward(x, local, mask, keep=True)
             d = (1 / (1 + np.exp(-logit)) - y[part]) * weight[part] / len(part)
-            g, d_x = net.backward(x, local, mask[rows], tape, d.astype(F4))
+            g, d_x = net.backward(x, local, mask, tape, d.astype(F4))
             d_x[dropped, :DIM_W] = 0
             d_x[:, :DIM_W] *= net.common[0][bucket[words], None]
             steps += 1
@@ -256,7 +267,7 @@ def train(texts: list[str], labels: list[int], sample: Sample) -> Network:
             if batches >= total:
                 break
     top = np.full(len(y), -np.inf)
-    np.maximum.at(top, owner, _text_logits(net, bucket, gram, first, at, mask, extra))
+    np.maximum.at(top, owner, _text_logits(net, bucket, gram, first, begin, limit, extra))
     _calibrate(net, top[apart], y[apart])
     return net
 
@@ -281,13 +292,14 @@ def _folded(net: Network, bucket: np.ndarray, gram: np.ndarray, first: np.ndarra
     return extra
 
 
-def _text_logits(net: Network, bucket: np.ndarray, gram: np.ndarray, first: np.ndarray, at: np.ndarray, mask: np.ndarray, extra: np.ndarray | None = None) -> np.ndarray:
+def _text_logits(net: Network, bucket: np.ndarray, gram: np.ndarray, first: np.ndarray, begin: np.ndarray, limit: np.ndarray, extra: np.ndarray | None = None) -> np.ndarray:
     """Scores of all windows, some thousand at a time; windows are in the order of their words."""
     out, ends = [np.zeros(0, F4)], np.append(first, len(gram))
-    for i in range(0, len(at), 2048):
-        lo, hi = int(at[i, 0]), int(at[i : i + 2048, -1].max()) + 1
+    for i in range(0, len(begin), 2048):
+        at, mask = _rows(begin[i : i + 2048], limit[i : i + 2048])
+        lo, hi = int(at[0, 0]), int(at[:, -1].max()) + 1
         x = net.inputs(bucket[lo:hi], gram[ends[lo] : ends[hi]], first[lo:hi] - ends[lo], None if extra is None else extra[lo:hi])
-        out.append(net.forward(x, at[i : i + 2048] - lo, mask[i : i + 2048]))
+        out.append(net.forward(x, at - lo, mask))
     return np.concatenate(out)
 
 
@@ -321,11 +333,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: Sample) -> tuple
     rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
     # Twice as many, as labels may name documents that are not there; at most 2 * (toxic + clean) rows are sent to all.
     marks = marks.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("y") == 1, 2 * sample.toxic).otherwise(2 * sample.clean))
-    found = docs.join(F.broadcast(marks.drop("rank")), "doc_id").where(F.col("text").isNotNull()).select("doc_id", "y", F.substring("text", 1, sample.chars).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = found.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("y") == 1, sample.toxic).otherwise(sample.clean)).collect()
-    rows.sort(key=lambda r: (r.rank, r.y))
-    return [r.text for r in rows], [r.y for r in rows]
+    found = docs.join(F.broadcast(marks.drop("rank")), "doc_id").where(F.col("text").isNotNull()).select("doc_id", "y", "text", F.octet_length("text").alias("n"), F.xxhash64("text").alias("h"))
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "h"))
+    rows = found.drop("text").withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("y") == 1, sample.toxic).otherwise(sample.clean)).collect()
+    taken = within(rows, sample)
+    if not taken:
+        return [], []
+    # Sizes first, texts then: the driver never gets more bytes of text than the sample's.
+    kept = docs.sparkSession.createDataFrame([(r.doc_id, r.h) for r in taken], found.select("doc_id", "h").schema).distinct()
+    texts = {(r.doc_id, r.h): r.text for r in found.join(F.broadcast(kept), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "text").collect()}
+    return [texts[r.doc_id, r.h] for r in taken], [r.y for r in taken]
+
+
+def within(rows: list[Row], sample: Sample) -> list[Row]:
+    """The rows by rank until their texts (n bytes each) would exceed the label's part of the sample's bytes; a text that alone would is passed over."""
+    total = {y: sample.bytes * k // (sample.toxic + sample.clean) for y, k in ((1, sample.toxic), (0, sample.clean))}
+    left, taken = dict(total), []
+    for r in sorted(rows, key=lambda r: (r.rank, r.y)):
+        if r.n > total[r.y]:
+            continue
+        left[r.y] -= r.n
+        if left[r.y] >= 0:
+            taken.append(r)
+    return taken
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: Sample | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -351,13 +381,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: Sample | None = None, d
             score, windows, worst = np.zeros(len(counts)), np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
             full = np.flatnonzero(counts > 0)
             if len(full):
-                at, mask, owner = _windows(counts[full])
-                logit = np.zeros(len(at), F4) if model.constant is not None else _text_logits(model, *features(data, start, end), at, mask)
-                begin = np.searchsorted(owner, np.arange(len(full)))
-                windows[full] = np.diff(np.append(begin, len(owner)))
-                order = np.lexsort((at[:, 0], -logit, owner))[begin]
+                begin, limit, owner = _places(counts[full])
+                logit = np.zeros(len(begin), F4) if model.constant is not None else _text_logits(model, *features(data, start, end), begin, limit)
+                by_text = np.searchsorted(owner, np.arange(len(full)))
+                windows[full] = np.diff(np.append(by_text, len(owner)))
+                order = np.lexsort((begin, -logit, owner))[by_text]
                 score[full] = model.score(logit[order]) if model.constant is None else model.constant
-                worst[full] = at[order, 0] - of_text[full]
+                worst[full] = begin[order] - of_text[full]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(windows), pa.array(worst)], [*batch.schema.names, "toxic_score", "n_windows", "worst_window"])
 
     return docs.mapInArrow(scored, schema)

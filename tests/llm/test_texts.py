@@ -315,6 +315,18 @@ def test_languages(spark):
     assert none[0].lang_pred == "und"
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    long = "plain words " * 20000 + "zorkface"
+    rows = [(i, long if i % 2 else f"short {i}") for i in range(60)] + [(77, None), (78, "é" * 40), (78, "twice"), (78, "twice")]
+    marks = spark.createDataFrame([*((i, i % 2) for i in range(60)), (77, 0), (78, 0), (79, 1)], "doc_id long, toxic int")
+    learn = lambda **k: list(zip(*toxicity.labelled_sample(table(spark, rows).select("doc_id", "text"), marks, toxicity.Sample(**k))))
+    texts = learn(bytes=1 << 30)
+    assert sorted(texts) == sorted([(t, int(t == long)) for i, t in rows if not _held(i) and t is not None])
+    some = learn(bytes=4 * 240_008 * 4000 // 1200 + 4)
+    assert [t for t, y in some if y] == [long] * 4 and sum(1 for _, y in some if not y) == sum(1 for _, y in texts if not y)
+    assert not any(y for _, y in learn(bytes=240_000))
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(2, 7)))
