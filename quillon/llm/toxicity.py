@@ -327,13 +327,17 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
+def lowest(marks: DataFrame, y: int, n: int) -> DataFrame:
+    """The n rows of label y of lowest hash; each task keeps n at most, so none sorts all rows."""
+    return marks.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: Sample) -> tuple[list[str], list[int]]:
     """Texts and labels to learn from, at most as many as ``sample`` says: those of lowest hash, none of which is held out."""
     marks = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("y"))
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
     # Twice as many, as labels may name documents that are not there; at most 2 * (toxic + clean) rows are sent to all.
-    marks = marks.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("y") == 1, 2 * sample.toxic).otherwise(2 * sample.clean))
-    found = docs.join(F.broadcast(marks.drop("rank")), "doc_id").where(F.col("text").isNotNull()).select("doc_id", "y", "text", F.octet_length("text").alias("n"), F.xxhash64("text").alias("h"))
+    marks = lowest(marks, 1, 2 * sample.toxic).union(lowest(marks, 0, 2 * sample.clean))
+    found = docs.join(F.broadcast(marks), "doc_id").where(F.col("text").isNotNull()).select("doc_id", "y", "text", F.octet_length("text").alias("n"), F.xxhash64("text").alias("h"))
     rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "h"))
     rows = found.drop("text").withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("y") == 1, sample.toxic).otherwise(sample.clean)).collect()
     taken = within(rows, sample)

@@ -327,6 +327,19 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert not any(y for _, y in learn(bytes=240_000))
 
 
+def test_toxicity_labels_are_not_sorted_in_one_task(spark, monkeypatch):
+    """No window over the labels: the lowest hashes of either label come from each task's own."""
+    sent = []
+    monkeypatch.setattr(toxicity.F, "broadcast", lambda frame: sent.append(frame) or frame)
+    docs = table(spark, [(i, f"text {i}") for i in range(40)]).select("doc_id", "text")
+    marks = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    texts, y = toxicity.labelled_sample(docs, marks, toxicity.Sample(toxic=3, clean=4))
+    plan = sent[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("TakeOrderedAndProject") == 2
+    order = [r.doc_id for r in marks.orderBy(F.xxhash64("doc_id"), "doc_id").collect() if not _held(r.doc_id)]
+    assert sorted(zip(texts, y)) == sorted((f"text {i}", k) for k, n in ((1, 3), (0, 4)) for i in [i for i in order if i % 2 == k][:n])
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(2, 7)))
