@@ -28,10 +28,10 @@ SPAN, FILTERS, WIDTHS, DIM = 192, 12, (2, 3, 4), 8
 
 @dataclass
 class Sample:
-    """The bound of what is learned from: texts of each language, languages, and characters of each text."""
+    """The bound of what is learned from: texts of each language, texts in total (but one of each language at least), and characters of each text."""
 
     texts: int = 400
-    languages: int = 64
+    total: int = 25_600
     chars: int = 2000
     epochs: int = 6
     seed: int = 3
@@ -139,16 +139,17 @@ def train(texts: list[str], languages: list[str], sample: Sample) -> Network:
 
 
 def labelled_sample(docs: DataFrame, learn, lang: str, sample: Sample) -> tuple[list[str], list[str]]:
-    """Texts and languages to learn from: of each language the texts of lowest hash, from the middle of each one some characters."""
+    """Texts and languages to learn from: of every language, fewer of each if there are many, the texts of lowest hash, from the middle of each one some characters."""
     rank = F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id"))
     texts = docs.where(learn & F.col(lang).isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", F.col(lang).alias("y"), F.xxhash64("doc_id").alias("h"))
     # Ids alone are ranked; those taken are bounded by the sample and sent to all.
-    common = [r.y for r in texts.groupBy("y").count().orderBy(F.desc("count"), "y").limit(sample.languages).collect()]
-    taken = texts.where(F.col("y").isin(common)).withColumn("rank", rank).where(F.col("rank") <= sample.texts).select("doc_id", "y", "rank")
+    number = texts.agg(F.count_distinct("y")).first()[0]
+    each = max(1, min(sample.texts, sample.total // max(1, number)))
+    taken = texts.withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id", "y", "rank")
     from_ = F.greatest(F.lit(1), F.floor((F.length("text") - sample.chars) / 2).cast("int"))
     rows = docs.join(F.broadcast(taken), "doc_id").where(F.col(lang) == F.col("y")).select("doc_id", "y", "rank", F.substr("text", from_, F.lit(sample.chars)).alias("text")).collect()
     rows.sort(key=lambda r: (r.rank, r.y, r.doc_id))
-    rows = rows[: 2 * sample.texts * max(1, len(common))]
+    rows = rows[: 2 * each * max(1, number)]
     return [r.text for r in rows], [r.y for r in rows]
 
 

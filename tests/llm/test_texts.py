@@ -315,6 +315,25 @@ def test_languages(spark):
     assert none[0].lang_pred == "und"
 
 
+def test_languages_are_all_learned(spark):
+    """Rare languages beyond any number of frequent ones get their own value; the sample is bounded in total."""
+    rng = random.Random(3)
+    langs = [f"l{k:02}" for k in range(70)]
+    words = {x: chr(0x4E00 + 128 * k) for k, x in enumerate(langs)}
+    rows = [(100 * k + i, " ".join(words[x] * rng.randint(2, 5) for _ in range(20)), None, x) for k, x in enumerate(langs) for i in range(12 if k < 64 else 9)]
+    docs = table(spark, rows)
+    own = docs.select("doc_id", "text", "lang")
+    _, learned = languages.labelled_sample(own, ~languages.held_out(F.col("doc_id")), "lang", languages.Sample())
+    assert set(learned) == set(langs)
+    _, few = languages.labelled_sample(own, ~languages.held_out(F.col("doc_id")), "lang", languages.Sample(total=150))
+    assert set(few) == set(langs) and len(few) == 140
+    _, least = languages.labelled_sample(own, ~languages.held_out(F.col("doc_id")), "lang", languages.Sample(total=10))
+    assert sorted(least) == langs
+    got = {r.doc_id: r.lang_pred for r in languages.languages(docs).collect()}
+    rare = [got[i] == x for i, _, _, x in rows if x in langs[64:]]
+    assert sum(rare) >= 0.9 * len(rare)
+
+
 def test_toxicity_learns_from_whole_texts(spark):
     long = "plain words " * 20000 + "zorkface"
     rows = [(i, long if i % 2 else f"short {i}") for i in range(60)] + [(77, None), (78, "é" * 40), (78, "twice"), (78, "twice")]
