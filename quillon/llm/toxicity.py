@@ -23,7 +23,7 @@ WORDS, GRAMS, DIM_W, DIM_C, EXTRA, HIDDEN, ATTEND = 1 << 17, 1 << 16, 12, 12, 3,
 #: Folds of the training texts, how many texts the prior weighs in a bucket's figure, and in how many a bucket must be to have a vector.
 FOLDS, PRIOR, COMMON = 5, 4.0, 10
 #: Words of a window, and from one window's start to the next.
-SPAN, STRIDE = 48, 36
+SPAN, STRIDE = 48, 24
 F4 = np.float32
 #: From this score on a document counts as toxic.
 THRESHOLD = 0.3

@@ -346,6 +346,14 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert not any(y for _, y in learn(bytes=240_000))
 
 
+def test_toxicity_windows_hold_every_short_passage():
+    """Any passage of half a window lies whole in some window."""
+    for n in range(24, 200):
+        starts = toxicity.window_starts(n)
+        assert starts[-1] + toxicity.SPAN >= n
+        assert all(any(s <= a and a + 24 <= s + toxicity.SPAN for s in starts) for a in range(n - 23))
+
+
 def test_toxicity_labels_are_not_sorted_in_one_task(spark, monkeypatch):
     """No window over the labels: the lowest hashes of either label come from each task's own."""
     sent = []
