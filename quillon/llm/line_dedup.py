@@ -1,20 +1,23 @@
 """Line dedup: which lines of each document stay, as compressed bitmaps. DataFrame functions only.
 
-Lines are hashed, dealt by range over (hash, document, position) and sorted in that order, so that each
-key's occurrences form one stream whose first element is the occurrence to keep. A range may cut a very
-frequent key into as many partitions as it needs; per range only one row for each key goes on (its number
-of documents and its first document), so that no task ever holds all occurrences of a key.
+Lines are hashed, dealt by range over their hashes and sorted within a range by hash, document (largest first) and
+position. A window streams over that order: the first row of a key is the occurrence to keep, and each row is
+compared with the one before it to count the key's documents. A sketch of bounded size finds keys frequent enough
+to burden a task; these are cut into slices by document, each a stream of its own, and the heads of the slices (a
+row for each) say which document comes first in all of them. What comes out are bitmaps, not texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
 #: Space and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Keys that the sketch reports at most and that it tracks, the share of all rows above which a key is sliced, and the bounds on the rows of a slice.
+HOT_KEYS, TRACKED, SHARE, LEAST, MOST = 1024, 16384, 1024, 256, 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -29,33 +32,61 @@ def text_lines(text: Column) -> Column:
 
 
 def line_keys(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    """Hash of each key of at least ``min_chars`` code points: (h1, h2, doc_id, pos)."""
-    lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(text_lines(F.col(text))).alias("pos", "line"))
-    stripped = lines.where(F.octet_length("line") >= min_chars).select("doc_id", "pos", F.btrim("line", F.lit(BLANKS)).alias("line"))
-    keys = stripped.where(F.length("line") >= min_chars).select("doc_id", "pos", ascii_lower(F.col("line")).alias("key"))
-    return keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.reverse("key")).alias("h2"), "doc_id", "pos")
+    """Hash of each key of at least ``min_chars`` code points: (h1, h2, doc_id, body, pos). ``body`` is the text's hash, which tells rows with one doc_id apart."""
+    rows = docs.where(F.col(doc_id).isNotNull())
+    lines = rows.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("body"), F.posexplode(text_lines(F.col(text))).alias("pos", "line"))
+    stripped = lines.where(F.octet_length("line") >= min_chars).select("doc_id", "body", "pos", F.btrim("line", F.lit(BLANKS)).alias("line"))
+    keys = stripped.where(F.length("line") >= min_chars).select("doc_id", "body", "pos", ascii_lower(F.col("line")).alias("key"))
+    return keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.reverse("key")).alias("h2"), "doc_id", "body", "pos")
+
+
+def slices(keys: DataFrame) -> DataFrame:
+    """(h1, slices) of frequent keys, at most HOT_KEYS rows: into how many slices a key is cut so that none exceeds its share of all rows."""
+    top = keys.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h1, {HOT_KEYS}, {TRACKED})").alias("top"))
+    each = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.col("n") / SHARE))
+    found = top.select(F.explode("top").alias("t"), each.alias("each"))
+    return found.select(F.col("t.item").alias("h1"), F.ceil(F.col("t.count") / F.col("each")).alias("slices")).where("slices > 1")
+
+
+def stream(keys: DataFrame) -> DataFrame:
+    """The rows of keys, each with ``first``, the document at the head of its stream, ``n_docs`` of the stream, ``is_head`` and the number of ``slices``."""
+    cut = keys.join(F.broadcast(slices(keys)), "h1", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    cut = cut.withColumn("slice", F.pmod(F.xxhash64("doc_id"), "slices"))
+    ranged = cut.repartitionByRange("h1", "h2", "slice")
+    # The windows' order is the secondary sort within a range; they need no further shuffle.
+    key = Window.partitionBy("h1", "h2", "slice")
+    ordered = key.orderBy(F.desc("doc_id"), "body", "pos")
+    before = ranged.select("*", F.first("doc_id").over(ordered).alias("first"), F.lag("doc_id").over(ordered).alias("before"))
+    opens = F.col("before").isNull() | (F.col("before") != F.col("doc_id"))
+    return before.select("h1", "h2", "slices", "doc_id", "body", "pos", "first", F.col("before").isNull().alias("is_head"), F.sum(opens.cast("long")).over(key).alias("n_docs"))
 
 
 def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """One row for each document that loses lines: doc_id, n_dropped, dropped (positions), keep_runs.
+    """A row for each text that loses lines: doc_id, body (the text's hash), n_dropped, dropped (positions), keep_runs.
 
     A key is a line without blanks at both ends, A-Z lower-cased. Keys of at least ``min_chars`` code
     points that at least ``min_docs`` documents hold lose all their lines except in the largest doc_id
     that holds them. ``keep_runs`` is the keep bitmap, run-length coded: lengths of alternating runs of
     kept and dropped lines, kept first; what comes after the last run is kept.
 
-    Null and empty texts have one empty line and lose nothing. Rows that share a doc_id count as one
-    document for the keys' counts. A table without rows gives none. Other columns are not read.
+    Null and empty texts have one empty line and lose nothing, nor do rows without a doc_id, which count as no
+    document. Rows that share a doc_id count as one document for the keys' counts, and keep or lose a key's lines
+    together; each different text has a bitmap of its own, and rows with equal text share it. A table without
+    rows gives none. Other columns are not read.
     """
-    # Written once, as dealing by range reads it twice and the join below again.
-    keys = Scratch(docs.sparkSession, "line-dedup").table(line_keys(docs, doc_id, text, min_chars), "keys")
-    ranged = keys.repartitionByRange("h1", "h2", F.desc("doc_id")).sortWithinPartitions("h1", "h2", F.desc("doc_id"), "pos")
-    held = ranged.groupBy("h1", "h2", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("at"))
-    by_key = held.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("first"))
-    frequent = by_key.where(F.col("n_docs") >= min_docs).select("h1", "h2", "first")
-    losing = held.join(frequent, ["h1", "h2"]).where(F.col("doc_id") < F.col("first"))
-    dropped = losing.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("dropped"))
-    return dropped.select("doc_id", F.size("dropped").alias("n_dropped"), "dropped", keep_runs(F.col("dropped")).alias("keep_runs"))
+    scratch = Scratch(docs.sparkSession, "line-dedup")
+    # Written once, as the sketch, dealing by range and the streams all read it.
+    keys = scratch.table(line_keys(docs, doc_id, text, min_chars), "keys")
+    # What can lose its line, and all rows of sliced keys, of which that isn't known yet.
+    found = scratch.table(stream(keys).where((F.col("slices") > 1) | ((F.col("n_docs") >= min_docs) & (F.col("doc_id") < F.col("first")))), "found")
+    scratch.drop("keys")
+    sliced = found.where("slices > 1")
+    heads = sliced.where("is_head").groupBy("h1", "h2").agg(F.max("first").alias("top"), F.sum("n_docs").alias("n"))
+    # At most HOT_KEYS keys (but for colliding hashes) are sliced.
+    losing = sliced.join(F.broadcast(heads.where(F.col("n") >= min_docs)), ["h1", "h2"]).where(F.col("doc_id") < F.col("top"))
+    losing = found.where("slices = 1").select("doc_id", "body", "pos").unionAll(losing.select("doc_id", "body", "pos"))
+    dropped = losing.groupBy("doc_id", "body").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    return dropped.select("doc_id", "body", F.size("dropped").alias("n_dropped"), "dropped", keep_runs(F.col("dropped")).alias("keep_runs"))
 
 
 def keep_runs(dropped: Column) -> Column:
@@ -76,9 +107,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", t
     names of the results are replaced.
     """
     names = ("n_lines", "n_dropped", "kept_text")
-    marks = bitmaps.select(F.col("doc_id").alias("id"), "n_dropped", F.col("keep_runs").alias("runs"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), docs[doc_id].alias("doc_id"))
-    joined = rows.join(marks.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left")
+    marks = bitmaps.select(F.col("doc_id").alias("id"), F.col("body").alias("of"), "n_dropped", F.col("keep_runs").alias("runs"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("body"))
+    joined = rows.join(marks.hint("shuffle_hash"), (F.col("doc_id") == F.col("id")) & (F.col("body") == F.col("of")), "left")
     body = F.col("row")[text]
     lines = text_lines(body)
     cut = F.transform("runs", lambda r: F.slice("lines", r["start"] + 1, F.coalesce(r["end"], F.size("lines")) - r["start"]))

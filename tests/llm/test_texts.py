@@ -55,7 +55,7 @@ def test_line_dedup(spark, corpus):
             holders[key(x)].add(i)
     for i, t, *_ in corpus:
         lines = (t or "").split("\n")
-        drop = [len(key(x)) >= 40 and len(holders[key(x)] - {None}) >= 5 and i != max(holders[key(x)] - {None}) for x in lines]
+        drop = [i is not None and len(key(x)) >= 40 and len(holders[key(x)] - {None}) >= 5 and i != max(holders[key(x)] - {None}) for x in lines]
         row = got[i, t]
         assert (row.n_lines, row.n_dropped) == (len(lines), sum(drop)), i
         assert row.kept_text == "\n".join(x for x, d in zip(lines, drop) if not d)
@@ -66,6 +66,38 @@ def test_line_dedup(spark, corpus):
     assert line_dedup.apply_bitmaps(empty, line_dedup.keep_bitmaps(empty)).count() == 0
 
 
+@pytest.mark.parametrize("least", [256, 2])
+def test_line_dedup_of_repeated_rows(spark, monkeypatch, least):
+    """Rows with one doc_id: each text loses its own lines; with few rows a slice, frequent keys are cut into many."""
+    monkeypatch.setattr(line_dedup, "LEAST", least)
+    monkeypatch.setattr(line_dedup, "MOST", least)
+    rng = random.Random(9)
+    common = [f"common line number {i}, of more than forty characters" for i in range(6)]
+    rows = []
+    for i in range(150):
+        own = [rng.choice(common) if rng.random() < 0.5 else f"line {rng.random()} of this text alone, and no other one" for _ in range(rng.randint(1, 6))]
+        rows.append((rng.randint(0, 80) if i % 10 else None, "\n".join(own)))
+    rows += rows[:40] + [(3, None), (3, ""), (3, "\n" + common[0])]
+    holders = defaultdict(set)
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            holders[x].add(i)
+    want = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        left = [x for x in lines if i is None or len(x) < 40 or len(holders[x] - {None}) < 5 or i == max(holders[x] - {None})]
+        want.append((i, t, len(lines), len(lines) - len(left), "\n".join(left)))
+    docs = table(spark, rows)
+    got = [(r.doc_id, r.text, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(x[3] for x in want) > 50
+
+
+def test_line_dedup_streams_in_one_range_shuffle(spark, corpus):
+    keys = line_dedup.line_keys(table(spark, corpus), "doc_id", "text", 40)
+    plan = line_dedup.stream(keys)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in plan and "Python" not in plan
+
+
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
 def test_ngram_join(spark, corpus, k, percent):
     sets = {}
