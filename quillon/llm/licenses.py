@@ -2,19 +2,19 @@
 
 A notice that may have k errors is split into k + 1 parts, so that at least one part of any occurrence is
 unchanged; the longest word of each part is its exact seed. Seeds are searched for in all bytes of a batch at
-once, in a copy in which every run of other characters than those of words is one space. Around each hit a
-bit-parallel edit distance (Myers) finds the notice with at most k edits, reporting span and edits.
+once, in a copy in which every run of other characters than those of words is one space. Around the hits the regex
+library matches the notice with at most k errors, from left to right, reporting spans and errors.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,44 +66,30 @@ NOTICES = (
 SPANS = "array<struct<label:string,start:int,end:int,errors:int>>"
 
 
-def _distances(masks: dict[str, int], m: int, text: str, start: int) -> list[int]:
-    """Edits between a pattern of m characters and what ends with each character of text: from any place on (start 0) or all of it (1)."""
-    out, full, top = [], (1 << m) - 1, m - 1
-    up, down, score = full, 0, m
-    for c in text:
-        eq = masks.get(c, 0)
-        x = (((eq & up) + up) ^ up) | eq
-        plus, minus = down | (full & ~(x | up)), up & x
-        score += (plus >> top & 1) - (minus >> top & 1)
-        plus, minus, x = (plus << 1 | start) & full, (minus << 1) & full, eq | down
-        up, down = minus | (full & ~(x | plus)), plus & x
-        out.append(score)
-    return out
-
-
 class Matcher:
-    """Places of words with one space between them, with at most so many edits."""
+    """Places of words with one space between them, with at most so many errors."""
 
     def __init__(self, words: str, errors: int):
-        self.m, self.errors = len(words), errors
-        self.ahead, self.back = ({c: sum(1 << i for i, x in enumerate(w) if x == c) for c in set(w)} for w in (words, words[::-1]))
+        self.least = max(1, len(words) - errors)
+        # The first match rather than the best one, so that none is passed over for a better one after it; (?e) then fits it to fewer errors.
+        self.pattern = regex.compile(f"(?e)(?:{regex.escape(words, literal_spaces=True)}){{e<={errors}}}")
 
     def find(self, text: str) -> list[tuple[int, int, int]]:
-        """Start, end and edits of places that don't overlap: those with the fewest edits first, until no end is left; of equal ones those between whole words, the first, and the shortest."""
-        ends = [(d, not (text[j] != " " and text[j + 1 : j + 2] in ("", " ")), j + 1) for j, d in enumerate(_distances(self.ahead, self.m, text, 0)) if d <= self.errors]
-        taken: list[tuple[int, int, int]] = []
-        for d, _, end in sorted(ends):
-            k = bisect(taken, (end,))
-            before, after = taken[k - 1][1] if k else 0, taken[k][0] if k < len(taken) else len(text)
-            if not before < end <= after:
-                continue
-            back = _distances(self.back, self.m, text[max(before, end - self.m - self.errors) : end][::-1], 1)
-            if (d := min(back)) > self.errors:
+        """Start, end and errors of places that don't overlap, in order; beside and between them there is no other."""
+        found: list[tuple[int, int, int]] = []
+        parts = [(0, len(text))]
+        while parts:
+            a, b = parts.pop()
+            if b - a < self.least or not (m := self.pattern.search(text, a, b)) or m.end() == m.start():
                 continue
-            starts = [end - i - 1 for i, x in enumerate(back) if x == d]
-            start = next((a for a in starts if text[a] != " " and (not a or text[a - 1] == " ")), starts[0])
-            taken.insert(k, (start, end, d))
-        return taken
+            own = text[m.start() : m.end()]
+            start, end = m.end() - len(own.lstrip(" ")), m.start() + len(own.rstrip(" "))
+            if end - start < len(own) and (bare := self.pattern.fullmatch(text, start, end)):  # a space at an end may be an error or a match
+                m = bare
+            found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+            # A match that was fitted may have left room before it.
+            parts += [(a, m.start()), (m.end(), b)]
+        return sorted(found)
 
 
 class Scanner:
@@ -190,7 +176,7 @@ def license_scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, phrases
     The whole text is lower-cased (A-Z) and cut into words of ASCII letters, digits and characters beyond
     ASCII. n_base counts the places of phrases, first_word and last_word are the smallest and largest of them
     (in words, from 0; null if none). spans lists the notices found, with their label, place in characters and
-    number of edits; any run of other characters between the words of a notice counts as one space. score is 1 with a phrase, else
+    number of errors; any run of other characters between the words of a notice counts as one space. score is 1 with a phrase, else
     that of the nearest notice, one less the share of its characters that are edits; 0 without either. Null and
     empty texts have no words and labels. Rows are scanned one by one, whatever ids they share.
     """
@@ -209,4 +195,5 @@ def license_scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, phrases
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:
     found = license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
-    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *[x.alias(c) for c, x in joined.items()], "score", F.size("spans").cast("long").alias("n_notices"))
+    spans = F.array_join(F.transform("spans", lambda s: F.format_string("%s:%d-%d:%d", s["label"], s["start"], s["end"], s["errors"])), " ")
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *[x.alias(c) for c, x in joined.items()], "score", F.size("spans").cast("long").alias("n_notices"), spans.alias("spans"))

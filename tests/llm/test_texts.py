@@ -291,22 +291,69 @@ def test_license_spans_of_wrapped_notices(spark):
         assert (got[i][0].start, got[i][0].end) == (first, last)
 
 
+def _nearest(words, text):
+    """By a plain edit-distance scan: for each end in text the fewest edits of words, from any start."""
+    column, ends = list(range(len(words) + 1)), []
+    for c in text:
+        row = [0]
+        for i, w in enumerate(words):
+            row.append(min(column[i] + (w != c), column[i + 1] + 1, row[i] + 1))
+        column = row
+        ends.append(column[-1])
+    return ends
+
+
 def test_notice_matcher_against_plain_distance():
+    """Places have as many errors as said, and no place of so few errors is left beside or between them."""
     rng = random.Random(2)
-    for _ in range(300):
-        words, text = ("".join(rng.choice("ab ") for _ in range(n)) for n in (rng.randint(2, 9), rng.randint(0, 30)))
-        column, ends = list(range(len(words) + 1)), []
-        for c in text:
-            row = [0]
-            for i, w in enumerate(words):
-                row.append(min(column[i] + (w != c), column[i + 1] + 1, row[i] + 1))
-            column = row
-            ends.append(column[-1])
-        matcher = licenses.Matcher(words, 1)
-        assert licenses._distances(matcher.ahead, len(words), text, 0) == ends
-        found = matcher.find(text)
-        assert all(a[1] <= b[0] for a, b in zip(found, found[1:])) and bool(found) == any(d <= 1 for d in ends)
-        assert min((d for _, _, d in found), default=None) == min((d for d in ends if d <= 1), default=None)
+    cases = [(f"a{''.join(rng.choice('ab ') for _ in range(rng.randint(1, 7)))}b", "".join(rng.choice("ab ") for _ in range(rng.randint(0, 40))), 1) for _ in range(300)]
+    for _ in range(60):
+        notice = rng.choice([n for n in licenses.NOTICES if len(n.words) < 52])
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            near = list(notice.words)
+            for _ in range(rng.randint(0, notice.errors + 1)):
+                at = rng.randrange(len(near))
+                near[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "e"])
+            parts += ["".join(near), "".join(rng.choice("ab ") for _ in range(rng.randint(0, 9)))]
+        cases.append((notice.words, " ".join(" ".join(parts).split()), notice.errors))
+    hits = 0
+    for words, text, errors in cases:
+        found = licenses.Matcher(words, errors).find(text)
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+        for start, end, d in found:
+            assert _nearest(words, text[start:end])[-1] <= d <= errors
+        edges = [0, *(x for start, end, _ in found for x in (start, end)), len(text)]
+        for a, b in zip(edges[::2], edges[1::2]):
+            assert all(d > errors for d in _nearest(words, text[a:b])), (words, text, found)
+        hits += len(found)
+    assert hits > 200
+
+
+def test_license_spans_against_plain_scan(spark):
+    """Through seeds and windows too: whatever the plain scan finds in texts of several near notices side by side overlaps a span of that notice."""
+    rng = random.Random(7)
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            notice = rng.choice(licenses.NOTICES)
+            near = list(notice.words)
+            for _ in range(rng.randint(0, notice.errors)):
+                at = rng.randrange(len(near))
+                near[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "e"])
+            parts += ["".join(near), *(rng.choice(["some", "word", "license"]) for _ in range(rng.randint(0, 3)))]
+        texts.append(" ".join(" ".join(parts).split()))
+    got = {r.doc_id: r.spans for r in licenses.license_scan(table(spark, list(enumerate(texts)))).collect()}
+    found = 0
+    for i, text in enumerate(texts):
+        for notice in licenses.NOTICES:
+            spans = [(s.start, s.end) for s in got[i] if s.label == notice.label]
+            for j, d in enumerate(_nearest(notice.words, text)):
+                if d <= notice.errors:
+                    found += 1
+                    assert any(a < j + 1 + notice.errors and j + 1 - len(notice.words) - notice.errors < b for a, b in spans), (text, notice.label, j)
+    assert found > 100
 
 
 def test_notice_seeds_hold_under_errors():
