@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,16 +21,33 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scopes: list[list[Scratch]] = []
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Operators' tables that are left when the block ends are deleted; what reads them must have been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for scratch in _scopes.pop():
+            scratch.drop("")
+
+
 class Scratch:
     """Tables written by one run of an operator.
 
     A written table cuts the lineage: after the loss of an executor, tasks read the files again
-    instead of recomputing what led to them. ``drop`` frees a table that nothing reads any more.
+    instead of recomputing what led to them. ``drop`` frees a table that nothing reads any more. Results are
+    lazy and read the last tables; ``released`` frees those too.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        for scope in _scopes[-1:]:
+            scope.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
