@@ -38,8 +38,9 @@ def test_va_file(spark):
     assert va_file.top_k(df.limit(0), df).count() == 0 and va_file.top_k(df, df.limit(0)).count() == 0
 
 
-def test_va_file_in_blocks_and_beyond_doubles(spark, monkeypatch):
-    monkeypatch.setattr(va_file, "QUERY_BLOCK", 3)
+def test_va_file_in_parts_and_beyond_doubles(spark, monkeypatch):
+    for name, value in (("PART_BYTES", 100), ("QUERIES", 3), ("ROWS", 7)):
+        monkeypatch.setattr(va_file, name, value)
     rows, _ = vectors(60, 4, 2)
     big = [(2000 + i, [3e9 * (i + 1), -1e9, 7.0, i]) for i in range(5)]
     df = table(spark, rows[:60] + big)
@@ -50,10 +51,58 @@ def test_va_file_in_blocks_and_beyond_doubles(spark, monkeypatch):
         assert [got[q, k + 1] for k in range(3)] == [(i, -s) for s, i in want]
 
 
+def test_cells_hold_their_vectors():
+    rng = np.random.default_rng(3)
+    y = np.floor(np.concatenate([rng.standard_normal((40, 5)) * 10.0 ** rng.integers(0, 12, (40, 1)), [[127, -128, 0, 1, 2]], [[128, -129, 0, 1, 2]], [[0.0] * 5]]))
+    grid, bits = va_file.cells(y)
+    low = np.ldexp(grid.astype(float), bits[:, None])
+    assert grid.dtype == np.int8 and ((low <= y) & (y <= low + np.ldexp(1.0, bits[:, None]) - 1)).all()
+    assert bits[40:].tolist() == [0, 1, 0]
+    lower, upper = va_file.bounds(y, low, np.ldexp(1.0, bits) - 1)
+    exact = np.clip(y @ y.T, -(2.0**63), 2.0**63)
+    assert ((lower <= exact) & (exact <= upper)).all()
+
+
+def test_va_file_reads_few_exact_vectors(spark, tmp_path):
+    """Candidates are few beside all pairs, in the order of their bounds; equal vectors are read k + 1 times at most."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 32))
+    x[:1000] = x[0]
+    rows = va_file.V.hashed(table(spark, [(i, v.tolist()) for i, v in enumerate(x)]), "vec_id", "embedding")
+    y = [(i, 32, np.floor(1024 * x[i].astype(np.float32).astype(float)).tobytes()) for i in range(0, 3000, 100)]
+    asked = spark.createDataFrame([(i, d, bytearray(b)) for i, d, b in y], "id long, d int, q binary")
+    order = va_file.candidates(rows, asked, 10, 1024, va_file.Scratch(spark, "test")).toPandas().sort_values(["query_id", "place"])
+    assert order.groupby("query_id").size().between(10, 100).all() and order.query_id.nunique() == 30
+    assert (order.groupby("query_id").upper.diff().dropna() <= 0).all()
+    assert (order.id < 1000).groupby(order.query_id).sum().max() <= 11
+
+
+def test_queries_that_share_an_id(spark):
+    rows = [(i, [float(i), 1.0, -i]) for i in range(30)] + [(7, [1.0, 1.0, 1.0]), (7, [7.0, 1.0, -7.0])]
+    df = table(spark, rows)
+    for search in (lambda a, b: va_file.top_k(a, b, k=5), lambda a, b: ivf_pq.nearest(a, b, k=5)):
+        one, two = (sorted(map(tuple, search(df, q).collect())) for q in (df.where("vec_id = 7"), df.where("vec_id = 7").repartition(3).orderBy("embedding")))
+        assert one == two and len(one) == 5 and all(r[2] != 7 for r in one)
+    asked = table(spark, rows[3:4])
+    score = [r.score for r in va_file.top_k(df, asked, k=40).orderBy("rank").collect()]
+    want = sorted((-sum(math.floor(1024 * a) * math.floor(1024 * b) for a, b in zip(rows[3][1], v)) for i, v in rows if i != 3))
+    assert [-s for s in score] == want
+
+
+def test_groups_hold_all_lists():
+    rng = np.random.default_rng(1)
+    sizes = {int(i): int(n) for i, n in zip(rng.permutation(60)[:50], rng.integers(1, 400, 50))}
+    first, number, total = ivf_pq.groups(sizes, 100)
+    load = np.zeros(total)
+    for i, n in sizes.items():
+        load[first[i] : first[i] + number[i]] += n / number[i]
+    assert load.max() <= 100 and (first + number).max() <= total and total <= sum(-(-n // 100) for n in sizes.values()) + 1
+
+
 def test_ivf_pq(spark):
     rows, x = vectors()
     df = table(spark, rows)
-    settings = ivf_pq.Settings(sample=300, lists=12, codes=64, list_block=50, query_block=2)
+    settings = ivf_pq.Settings(sample=300, lists=12, codes=64, group=50)
     got = ivf_pq.nearest(df, df.where("vec_id % 20 = 0"), settings=settings).collect()
     every = {i: np.array(v, np.float32).astype(float) for i, v in rows if v and len(v) == 16 and None not in v and all(map(math.isfinite, v)) and any(v)}
     by = {}
