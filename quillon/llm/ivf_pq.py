@@ -1,10 +1,10 @@
 """Approximate nearest neighbours: inverted lists of coarse centroids with product-quantised residuals.
 
 Coarse centroids and the codebooks of residuals are trained on a bounded sample; every row is then assigned to
-its nearest centroid's list with its code. A query probes the lists nearest to it. Within a list, distances come
-from asymmetric tables (query residual to codebook entries), and the rows that come out nearest are reranked by
-their exact vectors. Lists are cut into blocks of bounded size, and queries go in blocks as well, so that no
-task holds a whole list or all queries, whichever list a third of the rows falls into.
+its nearest centroid's list with its code. Lists lie together in groups of bounded size (a long list is cut into
+several), and a query goes once to each group that holds one of the lists nearest to it, past the codes that are
+there. Distances come from asymmetric tables (query to codebook entries); the rows that come out nearest over all
+lists are fetched by id and reranked by their exact vectors.
 """
 
 from __future__ import annotations
@@ -25,24 +25,24 @@ F4 = np.float32
 
 @dataclass
 class Settings:
-    """``sample``: rows trained on at most. ``lists``: coarse centroids at most (else the root of the number of rows).
-    ``recall``: what the number of probes is set for, on the sample. ``refine``: rows of a block that are reranked."""
+    """``sample``: rows trained on at most, as many as ``rows_a_list`` for each list. ``lists``: coarse centroids at most (else the root of the number of rows).
+    ``recall``: what the number of probes is set for, on the sample. ``refine``: rows reranked for each query. ``group``: rows of a group at most."""
 
-    sample: int = 16384
-    lists: int = 1024
-    subspaces: int = 16
+    sample: int = 131072
+    rows_a_list: int = 32
+    lists: int = 4096
+    subspaces: int = 32
     codes: int = 256
     recall: float = 0.97
-    refine: int = 48
-    list_block: int = 4096
-    query_block: int = 16384
-    rounds: int = 8
+    refine: int = 100
+    group: int = 1 << 17
+    rounds: int = 6
     seed: int = 5
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     half = 0.5 * (c * c).sum(1)
-    return np.concatenate([np.zeros(0, np.int64), *[np.argmax(x[i : i + 4096] @ c.T - half, axis=1) for i in range(0, len(x), 4096)]])
+    return np.concatenate([np.zeros(0, np.int64), *[np.argmax(x[i : i + 2048] @ c.T - half, axis=1) for i in range(0, len(x), 2048)]])
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -69,134 +69,181 @@ class Index:
         lists = int(max(1, min(s.lists, rows**0.5, len(x))))
         self.centroids = k_means(x, lists, s.rounds, rng)
         home = _nearest(x, self.centroids)
-        rest = x - self.centroids[home]
+        some = rng.permutation(len(x))[: 64 * s.codes]
+        rest = x[some] - self.centroids[home[some]]
         self.parts = [p for p in np.array_split(np.arange(self.dim), min(s.subspaces, self.dim))]
-        self.books = [k_means(np.ascontiguousarray(rest[:, p]), min(s.codes, len(x)), s.rounds, rng) for p in self.parts]
+        self.books = [k_means(np.ascontiguousarray(rest[:, p]), min(s.codes, len(rest)), s.rounds, rng) for p in self.parts]
         self.probes = self._probes(x, home, s, rng)
 
     def _probes(self, x: np.ndarray, home: np.ndarray, s: Settings, rng: np.random.Generator) -> int:
         """How many lists hold the share ``recall`` of the ten nearest sample rows of sample rows."""
-        asked = rng.permutation(len(x))[:256]
-        d = -2.0 * (x[asked] @ x.T) + (x * x).sum(1)
-        d[np.arange(len(asked)), asked] = np.inf
         k = min(10, len(x) - 1)
         if not k:
             return len(self.centroids)
-        near = np.argpartition(d, k - 1, axis=1)[:, :k]
-        order = np.argsort(0.5 * (self.centroids**2).sum(1) - x[asked] @ self.centroids.T, axis=1)
-        place = np.argsort(order, axis=1)
-        found = np.sort(np.take_along_axis(place, home[near], 1).ravel())
+        found = []
+        for asked in np.array_split(rng.permutation(len(x))[:256], 8):
+            d = -2.0 * (x[asked] @ x.T) + (x * x).sum(1)
+            d[np.arange(len(asked)), asked] = np.inf
+            near = np.argpartition(d, k - 1, axis=1)[:, :k]
+            place = np.argsort(np.argsort(self._off(x[asked]), axis=1), axis=1)
+            found.append(np.take_along_axis(place, home[near], 1).ravel())
+        found = np.sort(np.concatenate(found))
         return int(found[min(len(found) - 1, int(np.ceil(s.recall * len(found))) - 1)]) + 1
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        home = _nearest(x.astype(F4), self.centroids)
-        rest = x.astype(F4) - self.centroids[home]
-        return home, np.stack([_nearest(rest[:, p], b) for p, b in zip(self.parts, self.books)], axis=1).astype(np.uint8)
+    def _off(self, q: np.ndarray) -> np.ndarray:
+        """Half the squared distances of queries and centroids, but for the queries' own length."""
+        return 0.5 * (self.centroids**2).sum(1) - q.astype(F4) @ self.centroids.T
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists, codes, and what a row adds to any query's distance: half the residual's length and its product with the centroid."""
+        x = x.astype(F4)
+        home = _nearest(x, self.centroids)
+        middle = self.centroids[home]
+        code = np.stack([_nearest((x - middle)[:, p], b) for p, b in zip(self.parts, self.books)], axis=1).astype(np.uint8)
+        own = np.zeros(len(x), F4)
+        for m, (p, book) in enumerate(zip(self.parts, self.books)):
+            r = book[code[:, m]]
+            own += 0.5 * (r * r).sum(1) + (r * middle[:, p]).sum(1)
+        return home, code, own
 
     def probe(self, q: np.ndarray) -> np.ndarray:
-        off = 0.5 * (self.centroids**2).sum(1) - q.astype(F4) @ self.centroids.T
+        off = self._off(q)
         return np.argpartition(off, self.probes - 1, axis=1)[:, : self.probes] if self.probes < len(self.centroids) else np.tile(np.arange(len(self.centroids)), (len(q), 1))
 
-    def search(self, of_list: int, q_ids, q, ids, codes, x, k: int, refine: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of queries, ids and exact distances: each query's k best rows of a block after reranking."""
-        order = np.argsort(ids, kind="stable")  # equal distances: smaller ids first
-        ids, codes, x = ids[order], codes[order], x[order]
-        out = []
-        for i in range(0, len(q), 256):
-            part = q[i : i + 256]
-            rest = part.astype(F4) - self.centroids[of_list]
-            d = np.zeros((len(part), len(ids)), F4)
-            for m, (p, book) in enumerate(zip(self.parts, self.books)):
-                table = (book * book).sum(1) - 2 * (rest[:, p] @ book.T)  # asymmetric distances, but for the query's own length
-                d += table[:, codes[:, m]]
-            d[q_ids[i : i + 256, None] == ids] = np.inf
-            n = min(refine, len(ids))
-            near = np.argsort(d, axis=1, kind="stable")[:, :n]
-            a, b = np.repeat(np.arange(len(part)), n), near.ravel()
-            live = np.isfinite(d[a, b])
-            a, b = a[live], b[live]
-            exact = np.sqrt(((part[a] - x[b]) ** 2).sum(1))
-            keep = V.best(a, exact, ids[b], k)
-            out.append((a[keep] + i, ids[b[keep]], exact[keep]))
-        return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-
-
-def _binary(rows: np.ndarray) -> pa.Array:
-    raw = np.ascontiguousarray(rows)
-    step = raw.dtype.itemsize * raw.shape[1]
-    return pa.BinaryArray.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer((np.arange(len(raw) + 1) * step).astype(np.int32)), pa.py_buffer(raw)])
-
-
-def _unpack(column: pa.ChunkedArray, dtype) -> np.ndarray:
-    whole = b"".join(column.to_pylist())
-    return np.frombuffer(whole, dtype).reshape(len(column), -1)
+    def search(self, q_ids: np.ndarray, q: np.ndarray, lists: np.ndarray, ids: np.ndarray, codes: np.ndarray, own: np.ndarray, refine: int) -> tuple[np.ndarray, ...]:
+        """Of each query the ``refine`` nearest rows (in order of their lists) in lists it probes: its place, theirs, and asymmetric distances."""
+        off = self._off(q)
+        probed = np.zeros((len(q), len(self.centroids)), bool)
+        np.put_along_axis(probed, self.probe(q), True, 1)
+        tables = [q[:, p].astype(F4) @ book.T for p, book in zip(self.parts, self.books)]
+        begin = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
+        found: list[tuple[np.ndarray, ...]] = []
+        for a, b in zip(begin, np.append(begin[1:], len(lists))):
+            asked = np.flatnonzero(probed[:, lists[a]])
+            if len(asked):
+                d = np.repeat(off[asked, lists[a], None], b - a, axis=1) + own[a:b]
+                for m, table in enumerate(tables):
+                    d -= table[asked[:, None], codes[a:b, m]]
+                d[q_ids[asked, None] == ids[a:b]] = np.inf
+                n = min(refine, b - a)
+                near = np.argpartition(d, n - 1, axis=1)[:, :n]
+                found.append((np.repeat(asked, n), (near + a).ravel(), np.take_along_axis(d, near, 1).ravel()))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, F4)
+        at, row, d = (np.concatenate(z) for z in zip(*found))
+        keep = V.best(at, d, ids[row], refine)
+        keep = keep[np.isfinite(d[keep])]
+        return at[keep], row[keep], d[keep]
+
+
+def groups(sizes: dict[int, int], most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Lists laid out in groups of at most ``most`` rows: each list's first group, and over how many it is dealt; and the number of groups."""
+    first, number = np.zeros(max(sizes, default=0) + 1, np.int64), np.ones(max(sizes, default=0) + 1, np.int64)
+    group, room = 0, most
+    for i, n in sorted(sizes.items()):
+        if n > room and room < most:
+            group, room = group + 1, most
+        number[i] = max(1, -(-n // most))
+        first[i] = group
+        if number[i] > 1:
+            group, room = group + int(number[i]), most
+        else:
+            room -= n
+    return first, number, group + 1
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, settings: Settings | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): of each query the k nearest rows found, by Euclidean distance, ties to the smaller vec_id.
 
     A row with the query's own vec_id is no candidate. Vectors that are null, empty or zero or hold null or
-    non-finite components take no part, nor do those of another length than most of the sample's. Queries that
-    share a vec_id count once; rows that share one count each. A table without usable vectors gives no rows.
+    non-finite components take no part, nor do those of another length than most of the sample's. Of queries that
+    share a vec_id the one with the lowest hash counts; rows that share one count each. A table without usable vectors gives no rows. Other columns are not read.
     """
     s = settings or Settings()
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "ivf-pq")
-    own = lambda df: df.select(df[vec_id].cast("long").alias("id"), df[embedding].alias("x"))
-    rows, queries = own(rows), own(queries).where("id is not null and x is not null").dropDuplicates(["id"])
-
-    sampled = rows.where("x is not null and size(x) > 0").orderBy(F.xxhash64("id"), "id").limit(s.sample)
-    found = [(d, x) for b in sampled.toArrow().combine_chunks().to_batches() for d, (_, x) in V.matrices(b, "id", "x").items() if len(x)]
-    if not found:
+    rows, queries = V.hashed(rows, vec_id, embedding).where("size(x) > 0"), V.one_each(V.hashed(queries, vec_id, embedding))
+
+    total = rows.count()
+    wanted = int(min(s.sample, s.rows_a_list * max(64, min(s.lists, total**0.5)) + 64 * s.codes))
+    # Rows whose hash is below a threshold, so that no task sorts or merges the samples of all others; the limit only guards the driver.
+    share = min(1.0, wanted / max(1, total))
+    sampled = rows.where(F.pmod(F.xxhash64("id", "h1"), F.lit(1 << 30)) < int(share * (1 << 30))).select("id", "x").limit(int(1.2 * wanted) + 64)
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for b in sampled.toArrow().to_batches():
+        for d, (ids, x, _) in V.matrices(b, "id", "x").items():
+            found.setdefault(d, []).append((ids, x.astype(F4)))
+    if not any(len(x) for parts in found.values() for _, x in parts):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, sample = max(found, key=lambda f: len(f[1]))
-    index = spark.sparkContext.broadcast(Index(sample, rows.count(), s))
-    number = max(1, -(-queries.count() // s.query_block))
+    dim, parts = max(found.items(), key=lambda f: sum(len(x) for _, x in f[1]))
+    ids, sample = (np.concatenate(z) for z in zip(*parts))
+    index = spark.sparkContext.broadcast(Index(sample[np.argsort(ids, kind="stable")], total, s))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, x = V.matrices(batch, "id", "x").get(dim, (np.zeros(0, np.int64), np.zeros((0, dim))))
-            for i in range(0, len(ids), 4096):
-                home, code = index.value.encode(x[i : i + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(ids[i : i + 4096]), _binary(code), _binary(x[i : i + 4096])], ["list", "id", "code", "x"])
-
-    listed = scratch.table(rows.mapInArrow(assign, "list int, id long, code binary, x binary"), "index")
-    sizes = np.ones(len(index.value.centroids), np.int64)
-    for r in listed.groupBy("list").count().collect():  # a row for each list, at most settings.lists
-        sizes[r.list] = -(-r["count"] // s.list_block)
-    cuts = spark.sparkContext.broadcast(sizes)
-    parts = F.element_at(F.lit(sizes.tolist()), F.col("list") + 1)
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
-    data = listed.select("list", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), blocks.alias("block"), "id", "code", "x")
+            for d, (ids, x, place) in V.matrices(batch, "id", "x").items():
+                if d == dim and len(ids):
+                    home, code, own = index.value.encode(x)
+                    h1, h2 = (batch.column(c).take(pa.array(place)) for c in ("h1", "h2"))
+                    yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(ids), h1, h2, pa.array(own), V.binary(code)], ["list", "id", "h1", "h2", "own", "data"])
+
+    listed = rows.mapInArrow(assign, "list int, id long, h1 long, h2 long, own float, data binary")
+    listed = scratch.table(V.representatives(listed, k), "index")
+    sizes = {r.list: r["count"] for r in listed.groupBy("list").count().collect()}  # a row for each list, at most settings.lists
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = min(s.group, max(4096, -(-sum(sizes.values()) // spread)))
+    first, number, n_groups = groups(sizes, most)
+    layout = spark.sparkContext.broadcast((first, number, n_groups))
+    at = lambda a: F.element_at(F.lit(a.tolist()), F.col("list") + 1)
+    data = listed.withColumn("part", at(first) + F.pmod(F.xxhash64("id", "h1"), at(number)))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, number, n_groups = layout.value
         for batch in batches:
-            ids, x = V.matrices(batch, "id", "x").get(dim, (np.zeros(0, np.int64), np.zeros((0, dim))))
-            for i in range(0, len(ids), 256):
-                q = x[i : i + 256]
-                lists = index.value.probe(q)
-                which = np.repeat(np.arange(len(q)), lists.shape[1])
-                lists = lists.ravel()
-                n = cuts.value[lists]
-                part = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                which, lists = np.repeat(which, n), np.repeat(lists, n)
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(part, pa.int32()), pa.array(ids[i : i + 256][which]), _binary(q[which])], ["list", "part", "id", "x"])
-
-    asked = queries.mapInArrow(probe, "list int, part int, id long, x binary")
-    asked = asked.select("list", "part", F.pmod(F.xxhash64("id"), F.lit(number)).cast("int").alias("block"), "id", "x")
-
-    def search(key, mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        if not (mine.num_rows and theirs.num_rows):
-            q, ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-            q_ids = np.zeros(0, np.int64)
-        else:
-            q_ids = mine["id"].to_numpy()
-            q, ids, score = index.value.search(key[0].as_py(), q_ids, _unpack(mine["x"], float), theirs["id"].to_numpy(), _unpack(theirs["code"], np.uint8), _unpack(theirs["x"], float), k, s.refine)
-        return pa.table([pa.array(q_ids[q], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
-
-    keys = ["list", "part", "block"]
-    near = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
+            for d, (ids, x, _) in V.matrices(batch, "id", "x").items():
+                for i in range(0, len(ids) if d == dim else 0, 256):
+                    q = x[i : i + 256].astype(F4)
+                    lists = index.value.probe(q)
+                    which = np.repeat(np.arange(len(q)), lists.shape[1])
+                    lists = lists.ravel()
+                    known = lists < len(first)
+                    which, lists = which[known], lists[known]
+                    n = number[lists]
+                    part = np.repeat(first[lists], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    sent = np.unique(np.repeat(which, n) * n_groups + part)  # once to each group, however many of its lists are probed
+                    which, part = sent // n_groups, sent % n_groups
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(ids[i : i + 256][which]), V.binary(q[which])], ["part", "id", "data"])
+
+    none = {"list": "int", "h1": "long", "h2": "long", "own": "float"}
+    sent = queries.mapInArrow(probe, "part long, id long, data binary").select("*", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+
+    def load(held: list[pa.RecordBatch]) -> tuple:
+        whole = pa.Table.from_batches(held).sort_by([("list", "ascending"), ("id", "ascending")]).combine_chunks()
+        return (*(whole[c].to_numpy() for c in ("list", "id", "h1", "h2", "own")), V.matrix(whole["data"].combine_chunks(), np.uint8))
+
+    def search(part: tuple, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lists, ids, h1, h2, own, codes = part
+        for i in range(0, asked.num_rows, 256):
+            mine = asked.slice(i, 256)
+            q_ids = mine.column("id").to_numpy()
+            q, row, d = index.value.search(q_ids, V.matrix(mine.column("data"), F4), lists, ids, codes, own, s.refine)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q_ids[q], ids[row], h1[row], h2[row], d)], ["query_id", "id", "h1", "h2", "d"])
+
+    near = V.past(data, sent, n_groups, load, search, "query_id long, id long, h1 long, h2 long, d float")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))
+    near = scratch.table(near.withColumn("place", place).where(F.col("place") <= s.refine).drop("place", "d").distinct(), "near")
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, x, place in V.matrices(batch, "id", "x").values():
+                own = batch.take(pa.array(place))
+                q = V.matrices(own, "id", "q")[dim][1] if len(ids) else x
+                score = np.sqrt(((q - x) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([own.column("query_id"), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    exact = rows.join(near, ["id", "h1", "h2"]).join(queries.select(F.col("id").alias("query_id"), F.col("x").alias("q")), "query_id")
+    scored = exact.select("query_id", "id", "x", "q").mapInArrow(rerank, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).alias("rank")
-    return near.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
+    return scored.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
 
 
 def op1_ivf_pq(spark, sf_dir: str) -> DataFrame:
