@@ -1,7 +1,6 @@
 """Toxicity of whole texts: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as the vector of its hash bucket beside the mean vector of its character 4-grams, and with three
-figures of how often the labels go with its bucket and its grams (of training texts: in the other folds). Two gated
+A word enters as the vector of its hash bucket beside the mean vector of its character 4-grams. Two gated
 recurrent layers read a window of words, one in each direction; attention pools their states; a logistic unit
 scores the window. Windows overlap and cover the whole text, and the highest window gives the document's score.
 The driver trains on a bounded sample of labelled texts; executors score batches of windows.
@@ -19,12 +18,14 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 
-WORDS, GRAMS, DIM_W, DIM_C, EXTRA, HIDDEN, ATTEND = 1 << 17, 1 << 16, 12, 12, 3, 12, 8
-#: Folds of the training texts, how many texts the prior weighs in a bucket's figure, and in how many a bucket must be to have a vector.
-FOLDS, PRIOR, COMMON = 5, 4.0, 10
+WORDS, GRAMS, DIM_W, DIM_C, HIDDEN, ATTEND = 1 << 17, 1 << 16, 12, 12, 12, 8
+#: In how many training texts a bucket must be to have a vector: a share of them, within bounds.
+COMMON_SHARE, COMMON = 1 / 300, (6, 10)
 #: Words of a window, and from one window's start to the next.
 SPAN, STRIDE = 48, 24
 F4 = np.float32
+#: Steps of training at least, how fast vectors learn beside the other weights, and how fast they shrink: the faster the fewer texts there are, as then most of what they hold is chance.
+LEAST_STEPS, PACE, SHRINK, SHRINK_TEXTS = 240, 3.0, 32.0, 9600
 #: From this score on a document counts as toxic.
 THRESHOLD = 0.3
 
@@ -64,24 +65,9 @@ def window_starts(n: int) -> np.ndarray:
     return np.arange(0, max(n - SPAN + STRIDE, 1), STRIDE)
 
 
-def extras(word_odds: np.ndarray, gram_odds: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A word's three figures: its bucket's, and the mean and highest of its grams'."""
-    if not len(first):
-        return np.zeros((0, EXTRA), F4)
-    sizes = np.diff(np.append(first, len(gram_odds)))
-    return np.stack([word_odds, np.add.reduceat(gram_odds, first) / sizes, np.maximum.reduceat(gram_odds, first)], axis=1).astype(F4)
-
-
-def log_odds(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
-    """Log odds of label 1 among the texts of each bucket over those of all texts, held to the prior where texts are few."""
-    q = (toxic + PRIOR * share) / (toxic + clean + PRIOR)
-    return (0.5 * np.clip(np.log(q / (1 - q)) - np.log(share / (1 - share)), -4, 8)).astype(F4)
-
-
 @dataclass
 class Network:
     p: dict[str, np.ndarray]
-    odds: tuple[np.ndarray, np.ndarray] | None = None
     common: tuple[np.ndarray, np.ndarray] | None = None
     scale: float = 1.0
     shift: float = 0.0
@@ -90,20 +76,18 @@ class Network:
 
     @staticmethod
     def new(rng: np.random.Generator) -> Network:
-        d, h = DIM_W + DIM_C + EXTRA, HIDDEN
+        d, h = DIM_W + DIM_C, HIDDEN
         g = lambda *s, k=1.0: (rng.standard_normal(s) * k).astype(F4)
-        p = {"word": np.zeros((WORDS, DIM_W), F4), "gram": g(GRAMS, DIM_C, k=0.05), "att": g(2 * h, ATTEND, k=0.3), "attv": g(ATTEND, k=0.3), "out": g(2 * h, k=0.3), "bias": np.array([-1.0], F4)}
+        p = {"word": np.zeros((WORDS, DIM_W), F4), "gram": np.zeros((GRAMS, DIM_C), F4), "att": g(2 * h, ATTEND, k=0.3), "attv": g(ATTEND, k=0.3), "out": g(2 * h, k=0.3), "bias": np.array([-1.0], F4)}
         for way in "fb":
             p |= {f"wx{way}": g(d, 3 * h, k=d**-0.5), f"wh{way}": g(h, 3 * h, k=h**-0.5), f"bx{way}": np.zeros(3 * h, F4)}
         return Network(p)
 
-    def inputs(self, bucket: np.ndarray, gram: np.ndarray, first: np.ndarray, extra: np.ndarray | None = None) -> np.ndarray:
+    def inputs(self, bucket: np.ndarray, gram: np.ndarray, first: np.ndarray) -> np.ndarray:
         sizes = np.diff(np.append(first, len(gram)))[:, None].astype(F4)
-        if extra is None:
-            extra = extras(self.odds[0][bucket], self.odds[1][gram], first)
         word = self.p["word"][bucket] * self.common[0][bucket, None]
         grams = self.p["gram"][gram] * self.common[1][gram, None]
-        return np.concatenate([word, np.add.reduceat(grams, first, axis=0) / sizes, extra], axis=1)
+        return np.concatenate([word, np.add.reduceat(grams, first, axis=0) / sizes], axis=1)
 
     def forward(self, x: np.ndarray, at: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Scores of windows; ``at``: (windows, SPAN) rows of x, ``mask``: which of them count."""
@@ -212,7 +196,7 @@ def train(texts: list[str], labels: list[int], sample: Sample) -> Network:
     first = (np.cumsum(size) - size).astype(np.int32)
     del parts, data, offsets, start, end, batch
     counts = np.concatenate(counts)
-    extra = _folded(net, bucket, gram, first, counts, y)
+    net.common = _common(bucket, gram, first, counts)
     begin, limit, owner = _places(counts)
     filled = begin < limit
     begin, limit, owner = begin[filled], limit[filled], owner[filled]
@@ -221,13 +205,13 @@ def train(texts: list[str], labels: list[int], sample: Sample) -> Network:
     apart = has[(has % 5 == 4)] if min((y[has] > 0).sum(), (y[has] == 0).sum()) >= 20 else has  # sets the scale, without being learned from
     has = np.setdiff1d(has, apart) if len(apart) < len(has) else has
     m1, m2 = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
-    steps = 0
+    steps, scale, shrink = 0, {"word": 0.0, "gram": 0.0}, min(SHRINK, SHRINK_TEXTS / len(y))
     weight = np.where(y > 0, 0.5 * len(y) / max(1, (y > 0).sum()), 0.5 * len(y) / max(1, (y == 0).sum())).astype(F4)
     rate0, batches = 0.01, 0
-    total = max(120, sample.epochs * (len(has) // 64 + 1))
+    total = max(LEAST_STEPS, sample.epochs * (len(has) // 64 + 1))
     while batches < total:
-        highest = _text_logits(net, bucket, gram, first, begin, limit, extra)
-        order = rng.permutation(has)
+        highest = _text_logits(net, bucket, gram, first, begin, limit)
+        order = np.concatenate([rng.permutation(has) for _ in range(max(1, 960 // len(has)))])
         for b in range(0, len(order), 64):
             part = order[b : b + 64]
             pick = []
@@ -243,7 +227,7 @@ def train(texts: list[str], labels: list[int], sample: Sample) -> Network:
             ends = np.cumsum(lengths)
             places = np.arange(int(ends[-1])) + np.repeat(first[words] - (ends - lengths), lengths)
             grams, firsts = gram[places], ends - lengths
-            x = net.inputs(bucket[words], grams, firsts, extra[words])
+            x = net.inputs(bucket[words], grams, firsts)
             dropped = rng.random(len(words)) < 0.3  # a word's own vector, so that its characters count as well
             x[dropped, :DIM_W] = 0
             logit, tape = net.forward(x, local, mask, keep=True)
@@ -262,53 +246,46 @@ def train(texts: list[str], labels: list[int], sample: Sample) -> Network:
                 own, inverse = np.unique(ids, return_inverse=True)
                 v = np.zeros((len(own), dv.shape[1]), F4)
                 np.add.at(v, inverse, dv)
-                m2[k][own] += v * v
-                net.p[k][own] -= (4 * rate * v / (np.sqrt(m2[k][own]) + 1e-8)).astype(F4)
+                # One scale for all vectors: words that are often in texts of one label move further than chance ones.
+                scale[k] = 0.95 * scale[k] + 0.05 * float((v * v).mean())
+                net.p[k][own] = net.p[k][own] * F4(1 - shrink * rate) - (PACE * rate * np.clip(v / (np.sqrt(scale[k] / (1 - 0.95**steps)) + 1e-12), -8, 8)).astype(F4)
             if batches >= total:
                 break
     top = np.full(len(y), -np.inf)
-    np.maximum.at(top, owner, _text_logits(net, bucket, gram, first, begin, limit, extra))
+    np.maximum.at(top, owner, _text_logits(net, bucket, gram, first, begin, limit))
     _calibrate(net, top[apart], y[apart])
     return net
 
 
-def _folded(net: Network, bucket: np.ndarray, gram: np.ndarray, first: np.ndarray, counts: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The three figures of all words of the training texts, each from the texts of other folds; and those of all texts, for the network."""
+def _common(bucket: np.ndarray, gram: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which buckets of words and of grams are in enough training texts to have a vector of their own."""
     words = np.concatenate([[0], np.cumsum(counts)])
     ends = np.append(first, len(gram))[words]
-    tables = [np.zeros((FOLDS, 2, n), np.int32) for n in (WORDS, GRAMS)]
-    for i in range(len(y)):
+    tables = [np.zeros(n, np.int32) for n in (WORDS, GRAMS)]
+    for i in range(len(counts)):
         for table, ids in zip(tables, (bucket[words[i] : words[i + 1]], gram[ends[i] : ends[i + 1]])):
-            table[i % FOLDS, 0 if y[i] else 1, np.unique(ids)] += 1
-    share = float(np.clip(y.mean(), 0.02, 0.98))
-    net.odds = tuple(log_odds(*t.sum(0), share) for t in tables)
-    net.common = tuple((t.sum((0, 1)) >= COMMON).astype(F4) for t in tables)
-    others = [[log_odds(*(t.sum(0) - t[f]), share) for t in tables] for f in range(FOLDS)]
-    extra = np.zeros((len(bucket), EXTRA), F4)
-    for i in np.flatnonzero(counts > 0):
-        a, b = words[i], words[i + 1]
-        word, g = others[i % FOLDS]
-        extra[a:b] = extras(word[bucket[a:b]], g[gram[ends[i] : ends[i + 1]]], first[a:b] - ends[i])
-    return extra
-
-
-def _text_logits(net: Network, bucket: np.ndarray, gram: np.ndarray, first: np.ndarray, begin: np.ndarray, limit: np.ndarray, extra: np.ndarray | None = None) -> np.ndarray:
+            table[np.unique(ids)] += 1
+    least = np.clip(round(COMMON_SHARE * len(counts)), *COMMON)
+    return tuple((t >= least).astype(F4) for t in tables)
+
+
+def _text_logits(net: Network, bucket: np.ndarray, gram: np.ndarray, first: np.ndarray, begin: np.ndarray, limit: np.ndarray) -> np.ndarray:
     """Scores of all windows, some thousand at a time; windows are in the order of their words."""
     out, ends = [np.zeros(0, F4)], np.append(first, len(gram))
     for i in range(0, len(begin), 2048):
         at, mask = _rows(begin[i : i + 2048], limit[i : i + 2048])
         lo, hi = int(at[0, 0]), int(at[:, -1].max()) + 1
-        x = net.inputs(bucket[lo:hi], gram[ends[lo] : ends[hi]], first[lo:hi] - ends[lo], None if extra is None else extra[lo:hi])
+        x = net.inputs(bucket[lo:hi], gram[ends[lo] : ends[hi]], first[lo:hi] - ends[lo])
         out.append(net.forward(x, at - lo, mask))
     return np.concatenate(out)
 
 
 def _calibrate(net: Network, logit: np.ndarray, y: np.ndarray) -> None:
-    """Scale and shift of the texts' highest logits: if a threshold parts all but a hundredth of label 0 and a twentieth of label 1, it comes between them; else by logistic regression, mildly held to 1 and 0."""
-    low, high = (np.quantile(logit[y == c], q) if (y == c).any() else np.nan for c, q in ((0, 0.99), (1, 0.05)))
+    """Scale and shift of the texts' highest logits: if a threshold parts all but a fiftieth of label 0 and a fifth of label 1 (labels err), it comes between them; else by logistic regression, mildly held to 1 and 0."""
+    low, high = (np.quantile(logit[y == c], q) if (y == c).any() else np.nan for c, q in ((0, 0.98), (1, 0.2)))
     if low < high:
         net.scale = float(min(8 / (high - low), 2.0))
-        net.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - net.scale * (0.3 * low + 0.7 * high))  # clean texts are many more and vary more
+        net.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - net.scale * (0.6 * low + 0.4 * high))
         return
     a, b = 1.0, 0.0
     for _ in range(200):
