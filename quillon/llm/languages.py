@@ -28,12 +28,12 @@ SPAN, FILTERS, WIDTHS, DIM = 192, 12, (2, 3, 4), 8
 
 @dataclass
 class Sample:
-    """The bound of what is learned from: texts of each language, texts in total (but one of each language at least), and characters of each text."""
+    """The bound of what is learned from: windows of each language, windows in total (but one of each language at least), windows of one text, and steps of training (batches of 256 windows) for each language."""
 
-    texts: int = 400
-    total: int = 25_600
-    chars: int = 2000
-    epochs: int = 6
+    windows: int = 3000
+    total: int = 200_000
+    each: int = 12
+    steps: int = 120
     seed: int = 3
 
 
@@ -117,20 +117,21 @@ def windows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.where(inside, _FOLD[data[np.minimum(places, len(data) - 1)]], 0).astype(np.uint8), owner
 
 
-def train(texts: list[str], languages: list[str], sample: Sample) -> Network:
-    known = sorted(set(languages))
+def train(windows: np.ndarray, y: list[str], sample: Sample) -> Network:
+    """A network for windows and their languages, each language drawn as often as any other."""
+    known = sorted(set(y))
     net = Network(known, sample.seed)
     if not known:
         return net
     rng = np.random.default_rng(sample.seed)
-    windows, owner = windows_of(pa.array(texts, pa.large_string()))
-    y = np.array([known.index(x) for x in languages])[owner]
+    place = {x: i for i, x in enumerate(known)}
+    y = np.array([place[x] for x in y])
     share = np.bincount(y, minlength=len(known))
-    chance = (1 / share[y]) / (1 / share[y]).sum()
-    total = max(150, sample.epochs * len(windows) // 256)
+    chance = np.cumsum(1 / share[y])
+    total = max(150, sample.steps * len(known))
     m1, m2 = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
-    for t in range(1, min(total, 1200) + 1):
-        part = rng.choice(len(windows), 256, p=chance)
+    for t in range(1, total + 1):
+        part = np.minimum(np.searchsorted(chance, rng.random(256) * chance[-1], "right"), len(y) - 1)
         for k, v in net.step(windows[part], y[part]).items():
             m1[k] = 0.9 * m1[k] + 0.1 * v
             m2[k] = 0.99 * m2[k] + 0.01 * v * v
@@ -138,19 +139,41 @@ def train(texts: list[str], languages: list[str], sample: Sample) -> Network:
     return net
 
 
-def labelled_sample(docs: DataFrame, learn, lang: str, sample: Sample) -> tuple[list[str], list[str]]:
-    """Texts and languages to learn from: of every language, fewer of each if there are many, the texts of lowest hash, from the middle of each one some characters."""
-    rank = F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id"))
-    texts = docs.where(learn & F.col(lang).isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", F.col(lang).alias("y"), F.xxhash64("doc_id").alias("h"))
-    # Ids alone are ranked; those taken are bounded by the sample and sent to all.
-    number = texts.agg(F.count_distinct("y")).first()[0]
-    each = max(1, min(sample.texts, sample.total // max(1, number)))
-    taken = texts.withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id", "y", "rank")
-    from_ = F.greatest(F.lit(1), F.floor((F.length("text") - sample.chars) / 2).cast("int"))
-    rows = docs.join(F.broadcast(taken), "doc_id").where(F.col(lang) == F.col("y")).select("doc_id", "y", "rank", F.substr("text", from_, F.lit(sample.chars)).alias("text")).collect()
-    rows.sort(key=lambda r: (r.rank, r.y, r.doc_id))
-    rows = rows[: 2 * each * max(1, number)]
-    return [r.text for r in rows], [r.y for r in rows]
+def labelled_sample(docs: DataFrame, learn, lang: str, sample: Sample) -> tuple[np.ndarray, list[str]]:
+    """Windows and languages to learn from: of every language some (fewer of each if there are many), from all over the whole texts of lowest hash.
+
+    No task ranks a whole language: a hash threshold for each language, from its number of texts, leaves about as
+    many texts as are needed, and those alone are ranked.
+    """
+    texts = docs.where(learn & F.col(lang).isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col(lang).alias("y"), F.xxhash64("doc_id", "text").alias("h"), "text")
+    counts = {r.y: r["count"] for r in texts.groupBy("y").count().collect()}  # a row for each language, as the network has a column for each
+    if not counts:
+        return np.zeros((0, SPAN), np.uint8), []
+    wanted = max(1, min(sample.windows, sample.total // len(counts)))
+    # With one window a text at least, ``wanted`` texts are enough; half as many again, as hashes fall by chance.
+    share = docs.sparkSession.createDataFrame([(y, min(1.0, (1.5 * wanted + 30) / n)) for y, n in counts.items()], "y string, share double")
+    low = F.pmod(F.col("h"), F.lit(1 << 40)) < F.col("share") * float(1 << 40)
+    some = texts.join(F.broadcast(share), "y").where(low)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.chunks(iter([batch]), limit=1 << 20):
+                win, owner = windows_of(part.column("text"))
+                h = part.column("h").to_numpy().view(T.U)[owner]
+                first = np.searchsorted(owner, owner)
+                order = T.splitmix(h + (np.arange(len(owner)) - first).astype(T.U))
+                rank = np.lexsort((order, owner))
+                nth = np.zeros(len(owner), np.int64)
+                nth[rank] = np.arange(len(owner)) - first
+                kept = nth < sample.each
+                flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), int(kept.sum()), [None, pa.py_buffer(np.arange(int(kept.sum()) + 1, dtype=np.int64) * SPAN), pa.py_buffer(np.ascontiguousarray(win[kept]))])
+                yield pa.RecordBatch.from_arrays([part.column("y").take(pa.array(owner[kept])), pa.array(T.int64(order[kept])), flat.cast(pa.binary())], ["y", "h", "window"])
+
+    rank = F.row_number().over(Window.partitionBy("y").orderBy("h", "window"))
+    rows = some.mapInArrow(cut, "y string, h long, window binary").withColumn("rank", rank).where(F.col("rank") <= wanted).toArrow().sort_by([("rank", "ascending"), ("y", "ascending")])
+    if not rows.num_rows:
+        return np.zeros((0, SPAN), np.uint8), []
+    return np.frombuffer(b"".join(rows["window"].to_pylist()), np.uint8).reshape(-1, SPAN), rows["y"].to_pylist()
 
 
 def languages(docs: DataFrame, sample: Sample | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

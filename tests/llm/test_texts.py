@@ -380,7 +380,7 @@ def _languages(n):
 
 def test_languages(spark):
     rows = _languages(240) + [(900, None, None, "xx"), (901, "", None, "xx"), (902, "12 34 !!", None, "yy"), (903, "bake", None, None), (904, "bake lomi " * 20000, None, None)]
-    got = {r.doc_id: r for r in languages.languages(table(spark, rows), languages.Sample(texts=60, epochs=2)).collect()}
+    got = {r.doc_id: r for r in languages.languages(table(spark, rows), languages.Sample(windows=300, steps=60)).collect()}
     known = [(r, got[r[0]]) for r in rows[:240]]
     assert all(g.held_out == _held(r[0]) for r, g in known)
     held = [r[3] == g.lang_pred for r, g in known if g.held_out]
@@ -388,7 +388,7 @@ def test_languages(spark):
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902)) and got[904].lang_pred == "xx"
     assert languages.languages(table(spark, rows[:0])).count() == 0
     blind = [(i, t, s, "qq" if _held(i) else lang) for i, t, s, lang in rows]  # labels that are held out change nothing
-    other = {r.doc_id: r for r in languages.languages(table(spark, blind), languages.Sample(texts=60, epochs=2)).collect()}
+    other = {r.doc_id: r for r in languages.languages(table(spark, blind), languages.Sample(windows=300, steps=60)).collect()}
     assert all(other[i].lang_pred == got[i].lang_pred for i in got)
     none = languages.languages(table(spark, [(1, "bake", None, None)])).collect()
     assert none[0].lang_pred == "und"
@@ -408,11 +408,22 @@ def test_languages_are_all_learned(spark):
     assert set(few) == set(langs) and len(few) == 140
     _, least = languages.labelled_sample(own, ~languages.held_out(F.col("doc_id")), "lang", languages.Sample(total=10))
     assert sorted(least) == langs
-    got = {r.doc_id: r.lang_pred for r in languages.languages(docs).collect()}
+    got = {r.doc_id: r.lang_pred for r in languages.languages(docs, languages.Sample(steps=12)).collect()}
     rare = [got[i] == x for i, _, _, x in rows if x in langs[64:]]
     assert sum(rare) >= 0.9 * len(rare)
 
 
+def test_languages_learn_from_whole_texts(spark):
+    """Windows come from all over a long text, not from its beginning or middle; a frequent language is cut down before it is ranked."""
+    long = "".join(chr(0x4E00 + i // 64) for i in range(64 * 900))
+    rows = [(i, long, None, "long") for i in range(12)] + [(100 + i, "short text", None, "short") for i in range(3000)]
+    own = table(spark, rows).select("doc_id", "text", "lang")
+    win, y = languages.labelled_sample(own, F.lit(True), "lang", languages.Sample(windows=100))
+    assert y.count("short") == y.count("long") == 100
+    places = sorted((w.tobytes()[:3].decode("utf-8", "ignore") or "\u4e00") for w, x in zip(win, y) if x == "long")
+    assert ord(places[5]) < 0x4E00 + 200 and ord(places[-5]) > 0x4E00 + 700
+
+
 def test_toxicity_learns_from_whole_texts(spark):
     long = "plain words " * 20000 + "zorkface"
     rows = [(i, long if i % 2 else f"short {i}") for i in range(60)] + [(77, None), (78, "é" * 40), (78, "twice"), (78, "twice")]
@@ -480,7 +491,7 @@ def test_gradients():
 
     rng = np.random.default_rng(1)
     toxicity_net = toxicity.Network.new(rng)
-    x = rng.standard_normal((30, toxicity.DIM_W + toxicity.DIM_C + toxicity.EXTRA)).astype(np.float32)
+    x = rng.standard_normal((30, toxicity.DIM_W + toxicity.DIM_C)).astype(np.float32)
     at, mask, _ = toxicity._windows(np.array([30]))
     loss = lambda: float(toxicity_net.forward(x, at, mask).sum())
     _, tape = toxicity_net.forward(x, at, mask, keep=True)
