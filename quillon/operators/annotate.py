@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import scalar as S
+from quillon.operators.numbering import numbered, numbered_within
 
 
 def holdout(df: DataFrame, order: list[Column], every: int = 5) -> DataFrame:
     """df with ordinal (from 0) and split: val where the ordinal is a multiple of ``every``, else train.
 
-    One task numbers the rows: meant for listings of documents, not for their contents.
+    Rows are numbered by ranges of the order, so that no task sees all of them.
     """
-    placed = df.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)) - 1)
+    placed = numbered(df, order, "ordinal").withColumn("ordinal", F.col("ordinal").cast("int"))
     return placed.withColumn("split", F.when(F.col("ordinal") % every == 0, "val").otherwise("train"))
 
 
@@ -22,6 +23,11 @@ def holdout_of_existing(df: DataFrame, existing: DataFrame, key: str, order: lis
     return holdout(df.join(existing.select(key).distinct(), key, "left_semi"), order, every)
 
 
+def first_examples(split: DataFrame, count: int = 8) -> DataFrame:
+    """The first ``count`` val rows of a split (see holdout), to look at."""
+    return split.where("split = 'val'").orderBy("ordinal").limit(count)
+
+
 def require_existing(df: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """df; a row whose key doesn't exist raises."""
     known = existing.select(key).distinct().withColumn("_known", F.lit(True))
@@ -31,7 +37,8 @@ def require_existing(df: DataFrame, existing: DataFrame, key: str) -> DataFrame:
 
 def image_ids(df: DataFrame, order: list[Column]) -> DataFrame:
     """image_id from 1 within each split."""
-    return df.withColumn("image_id", F.row_number().over(Window.partitionBy("split").orderBy(*order)))
+    placed = numbered_within(df, ["split"], order, "image_id", "_images").drop("_images")
+    return placed.select(*df.columns, (F.col("image_id") + 1).cast("int").alias("image_id"))
 
 
 def shapes(documents: DataFrame, roi: tuple[int, int, int, int] | None = None) -> DataFrame:
@@ -53,13 +60,10 @@ def shapes(documents: DataFrame, roi: tuple[int, int, int, int] | None = None) -
 def annotation_ids(kept: DataFrame) -> DataFrame:
     """id from 1 within each split over the shapes that are left, in the order of images and positions.
 
-    Offsets of whole images are summed up first, so that only image counts pass through one task of a split.
+    Shapes are numbered by ranges of images and positions, so that no task sees all shapes of a split.
     """
-    counts = kept.groupBy("split", "image_id").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("split").orderBy("image_id").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("split", "image_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
-    own = F.row_number().over(Window.partitionBy("split", "image_id").orderBy("position"))
-    return kept.join(offsets, ["split", "image_id"]).withColumn("id", F.col("_offset") + own).drop("_offset")
+    placed = numbered_within(kept, ["split"], ["image_id", "position"], "id", "_shapes")
+    return placed.select(*kept.columns, (F.col("id") + 1).alias("id"))
 
 
 def coco_documents(images: DataFrame, annotations: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import scalar as S
+from quillon.operators.numbering import numbered_within
 
 #: A column counts as active above this share of its pixels.
 ACTIVE = 0.05
@@ -27,6 +28,11 @@ def state_summary(metrics: DataFrame) -> DataFrame:
     )
 
 
+def error_bars(summary: DataFrame) -> DataFrame:
+    """(state_label, state_voltage, vapor_area_fraction_mean, error) for drawing: a state of one frame, without a deviation, has an error of 0."""
+    return summary.select("state_label", "state_voltage", "vapor_area_fraction_mean", F.coalesce("vapor_area_fraction_std", F.lit(0.0)).alias("error"))
+
+
 def profile(frames: DataFrame, bins: int = 64, pixel_size_mm: float | None = None) -> DataFrame:
     """A row for each frame and bin of columns that isn't empty; bin_index keeps the gaps of empty ones."""
     if bins <= 0:
@@ -63,13 +69,11 @@ def even_positions(n: Column, count: int) -> Column:
 
 def sample_evenly(df: DataFrame, by: list[str], order: list, count: int) -> DataFrame:
     """Of each group ``count`` rows spread evenly over its order."""
-    own = Window.partitionBy(*by)
-    placed = df.withColumn("_i", F.row_number().over(own.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(own))
+    placed = numbered_within(df, by, order)
     return placed.where(F.array_contains(even_positions(F.col("_n"), count), F.col("_i").cast("long"))).drop("_i", "_n")
 
 
 def middle(df: DataFrame, by: list[str], order: list) -> DataFrame:
     """The row in the middle of each group's order (of an even number the later one)."""
-    own = Window.partitionBy(*by)
-    placed = df.withColumn("_i", F.row_number().over(own.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(own))
+    placed = numbered_within(df, by, order)
     return placed.where(F.col("_i") == F.floor(F.col("_n") / 2)).drop("_i", "_n")

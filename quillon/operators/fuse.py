@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import scalar as S
+from quillon.operators.numbering import numbered, numbered_within
 from quillon.operators.range_join import in_ranges
 
 
@@ -29,8 +30,11 @@ def resolve_thermal(columns: Sequence[str]) -> dict:
     return found
 
 
-def thermal_frame(log: DataFrame) -> DataFrame:
-    """The log under common names: row_idx, time_s, power_w, heat_flux_w_cm2, subcooling_c, pressure_drop_kpa, htc, quality; NaN is null."""
+def thermal_frame(log: DataFrame, **also: Column) -> DataFrame:
+    """The log under common names: row_idx, time_s, power_w, heat_flux_w_cm2, subcooling_c, pressure_drop_kpa, htc, quality; NaN is null.
+
+    ``also`` are further columns of the log itself, which then need no positional join.
+    """
     names = resolve_thermal(log.columns)
     value = lambda c: S.no_nan(F.col(f"`{c}`").cast("double"))
     none = F.lit(None).cast("double")
@@ -43,6 +47,7 @@ def thermal_frame(log: DataFrame) -> DataFrame:
         (value(names["p_in"]) - value(names["p_out"])).alias("pressure_drop_kpa"),
         (S.row_mean([value(c) for c in names["htc"]]) if names["htc"] else none).alias("htc"),
         (value(names["quality"]) if names["quality"] else none).alias("quality"),
+        *[c.alias(n) for n, c in also.items()],
     )
 
 
@@ -105,6 +110,5 @@ def multimodal_summary(frames: DataFrame, thermal: DataFrame, hits: DataFrame, s
 
 
 def ordinal(df: DataFrame, *order, by: Sequence[str] = ()) -> DataFrame:
-    """df with _i, the place of each row from 0, within ``by`` if given. Without ``by`` one task sorts: for listings and dimensions."""
-    window = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-    return df.withColumn("_i", F.row_number().over(window) - 1)
+    """df with _i, the place of each row from 0 in ascending order, within ``by`` if given."""
+    return numbered_within(df, by, order).drop("_n") if by else numbered(df, order)

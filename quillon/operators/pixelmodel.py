@@ -50,3 +50,8 @@ def iou(pairs: DataFrame, by: list[str], predicted: Column, target: Column) -> D
     """Intersection over union of two flags in each group; 1 where neither is ever set. Null counts as not set."""
     a, b = F.coalesce(predicted, F.lit(False)), F.coalesce(target, F.lit(False))
     return pairs.groupBy(*by).agg(F.coalesce(F.count_if(a & b) / F.nullif(F.count_if(a | b), F.lit(0)), F.lit(1.0)).alias("iou"))
+
+
+def iou_summary(each: DataFrame, split: str = "split") -> DataFrame:
+    """Of each split the number of images, and the mean and the median of their ``iou``."""
+    return each.groupBy(split).agg(F.count("*").alias("images"), F.avg("iou").alias("iou_mean"), F.median("iou").alias("iou_median"))

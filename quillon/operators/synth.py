@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions import scalar as S
 
-#: Metrics of the state map, in order, with their titles.
-MAP_METRICS = (("heat_flux_mean_w_cm2", "Heat flux"), ("vapor_area_fraction_mean", "Vapor area"), ("active_length_fraction_mean", "Active length"), ("ae_abs_energy_rate", "AE energy"), ("htc_mean_w_m2k", "HTC"))
+#: The metrics of the state map, in order.
+MAP_METRICS = ("heat_flux_mean_w_cm2", "vapor_area_fraction_mean", "active_length_fraction_mean", "ae_abs_energy_rate", "htc_mean_w_m2k")
 
 
 def with_case(summary: DataFrame, label) -> DataFrame:
@@ -25,7 +25,7 @@ def combined(cases: list[DataFrame]) -> DataFrame:
     return every.orderBy(F.asc_nulls_last("mass_flow_g_s"), F.asc_nulls_last("state_voltage"), F.asc_nulls_last("state_label"))
 
 
-def state_map(data: DataFrame, metrics: tuple[str, ...] = tuple(m for m, _ in MAP_METRICS)) -> DataFrame:
+def state_map(data: DataFrame, metrics: tuple[str, ...] = MAP_METRICS) -> DataFrame:
     """Each metric scaled by its least and largest value over all rows. The two are one row, sent to all."""
     ends = data.agg(*[F.min(m).alias(f"_lo_{m}") for m in metrics], *[F.max(m).alias(f"_hi_{m}") for m in metrics])
     wide = data.join(F.broadcast(ends))
@@ -44,7 +44,7 @@ def key_numbers(data: DataFrame) -> DataFrame:
 
 
 def key_number_lines(numbers: DataFrame) -> DataFrame:
-    """Key numbers as text: (mass_flow_g_s, case_label, i, line), five lines a case; figures are rounded half to even."""
+    """Key numbers as text (the words and digits are fixed values): (mass_flow_g_s, case_label, i, line), five lines a case; figures are rounded half to even."""
     text = lambda c, d: F.bround(F.col(c).cast("decimal(30,12)"), d).cast(f"decimal(30,{d})").cast("string")
     lines = F.array(
         F.col("case_label"),

@@ -36,8 +36,7 @@ def sql_rounded(columns: str, source: str) -> str:
 
 
 def thermal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = I.thermal(spark, sf_dir)
-    return fuse.positional_zip(fuse.thermal_frame(log), log.select("row_idx", F.abs("Voltage [V]").alias("abs_voltage")))
+    return fuse.thermal_frame(I.thermal(spark, sf_dir), abs_voltage=F.abs("Voltage [V]"))
 
 
 HEAT = "state_label state_voltage thermal_rows time_start_s~ time_end_s~ voltage_mean_v~ power_mean_w~ heat_flux_mean_w_cm2~ inlet_subcooling_mean_c~ pressure_drop_mean_kpa~ htc_mean_w_m2k~ quality_x7_mean~"
@@ -86,6 +85,11 @@ def frame_state_summary(spark, sf_dir):
     return rounded(frames.state_summary(frames.mask_metrics(I.frames(spark, sf_dir))))
 
 
+@query(f"WITH {CTES}\nSELECT state_label, state_voltage, round(vapor_area_fraction_mean, 6) AS vapor_area_fraction_mean, round(coalesce(vapor_area_fraction_std, 0), 6) AS error FROM image")
+def state_error_bars(spark, sf_dir):
+    return rounded(frames.error_bars(frames.state_summary(frames.mask_metrics(I.frames(spark, sf_dir)))))
+
+
 PROFILE_SQL = """, edges AS (
   SELECT *, unnest(range(0, {bins})) AS bin_index FROM frames
 ), bins AS (
@@ -134,7 +138,7 @@ def outer_merge(spark, sf_dir):
 def left_merge_nulls_last(spark, sf_dir):
     s = I.table(spark, sf_dir, "supplier").where("s_nationkey % 4 <> 0").groupBy("s_nationkey").agg(F.count("*").alias("n"))
     joined = I.table(spark, sf_dir, "nation").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left")
-    return fuse.ordinal(joined, F.asc_nulls_last("n"), "n_name").select((F.col("_i") + 1).alias("place"), "n_name", "n")
+    return fuse.ordinal(joined, F.col("n").isNull(), "n", "n_name").select((F.col("_i") + 1).cast("int").alias("place"), "n_name", "n")
 
 
 @query("SELECT o_orderkey AS row_idx, o_totalprice AS a, abs(o_totalprice) AS b FROM orders")
@@ -189,13 +193,13 @@ def union_cases(spark, sf_dir):
     return synth.combined([synth.with_case(c, F.col("case_label")) for c in cases])
 
 
-MAP_SQL = ", ".join(f"round(({m} - min({m}) OVER ()) / CASE WHEN max({m}) OVER () > min({m}) OVER () THEN max({m}) OVER () - min({m}) OVER () ELSE 1 END, 6) AS {m}" for m, _ in synth.MAP_METRICS)
+MAP_SQL = ", ".join(f"round(({m} - min({m}) OVER ()) / CASE WHEN max({m}) OVER () > min({m}) OVER () THEN max({m}) OVER () - min({m}) OVER () ELSE 1 END, 6) AS {m}" for m in synth.MAP_METRICS)
 
 
 @query(f"WITH {STATE_TABLE_SQL} SELECT case_label || ' | ' || state_label AS label, {MAP_SQL} FROM states")
 def minmax_state_map(spark, sf_dir):
     data = synth.state_map(state_table(spark, sf_dir))
-    return rounded(data.select(S.display_label(F.col("case_label"), F.col("state_label")).alias("label"), *[m for m, _ in synth.MAP_METRICS]))
+    return rounded(data.select(S.display_label(F.col("case_label"), F.col("state_label")).alias("label"), *[m for m in synth.MAP_METRICS]))
 
 
 @query(f"WITH {STATE_TABLE_SQL} SELECT case_label, round(min(heat_flux_mean_w_cm2), 6) AS flux_min, round(max(heat_flux_mean_w_cm2), 6) AS flux_max, round(min(vapor_area_fraction_mean), 6) AS vapor_min, round(max(vapor_area_fraction_mean), 6) AS vapor_max, arg_min(state_label, state_voltage) AS first_state, round(arg_min(vapor_area_fraction_mean, state_voltage), 6) AS first_vapor, round(arg_min(ae_abs_energy_rate, state_voltage), 6) AS first_energy_rate, arg_max(state_label, state_voltage) AS last_state, round(arg_max(vapor_area_fraction_mean, state_voltage), 6) AS last_vapor, round(arg_max(ae_abs_energy_rate, state_voltage), 6) AS last_energy_rate FROM states GROUP BY 1")
@@ -247,6 +251,12 @@ def holdout_of_existing(spark, sf_dir):
     return annotate.holdout_of_existing(docs, labels, "doc_id", [F.col("doc_id")])
 
 
+@query("SELECT doc_id, i AS ordinal FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INT) AS i FROM documents) WHERE i % 5 = 0 AND i < 40")
+def validation_examples(spark, sf_dir):
+    split = annotate.holdout(I.table(spark, sf_dir, "documents").select("doc_id"), [F.col("doc_id")])
+    return annotate.first_examples(split, 8).select("doc_id", "ordinal")
+
+
 @query("SELECT 'with' AS side, count(*) AS n FROM documents SEMI JOIN labels USING (doc_id) UNION ALL SELECT 'without', count(*) FROM documents ANTI JOIN labels USING (doc_id)")
 def semi_anti_missing(spark, sf_dir):
     docs, labels = (I.table(spark, sf_dir, t) for t in ("documents", "labels"))
@@ -362,3 +372,14 @@ def iou_by_group(spark, sf_dir):
 def json_scalar(spark, sf_dir):
     k = F.from_json("props", "k int")["k"]
     return I.table(spark, sf_dir, "events").groupBy(k.alias("tenth")).agg(F.count("*").alias("n"))
+
+
+IOU_SQL = "each AS (SELECT CASE WHEN lang IN ('en', 'de') THEN 'train' ELSE 'val' END AS split, source, lang, coalesce(count(*) FILTER (quality = 1 AND toxic = 1) / nullif(count(*) FILTER (quality = 1 OR toxic = 1), 0), 1.0) AS iou FROM documents JOIN labels USING (doc_id) GROUP BY ALL)"
+
+
+@query(f"WITH {IOU_SQL} SELECT split, count(*) AS images, round(avg(iou), 6) AS iou_mean, round(median(iou), 6) AS iou_median FROM each GROUP BY 1")
+def iou_report(spark, sf_dir):
+    """A report of overlaps by image and its summary by split; here an image is a source's documents of one language."""
+    d = I.table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(I.table(spark, sf_dir, "labels"), "doc_id")
+    d = d.withColumn("split", F.when(F.col("lang").isin("en", "de"), "train").otherwise("val"))
+    return rounded(pixelmodel.iou_summary(pixelmodel.iou(d, ["split", "source", "lang"], F.col("quality") == 1, F.col("toxic") == 1)))

@@ -19,7 +19,7 @@ MODEL = "feature_names array<string>, foreground_mean array<double>, foreground_
 
 def path_order(path: str = "path") -> Column:
     """The order of paths by their components."""
-    return F.split(path, "/").asc()
+    return F.split(path, "/")
 
 
 def plain_path(uri: Column) -> Column:
