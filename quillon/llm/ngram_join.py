@@ -14,7 +14,10 @@ fourth order (by hash) as well; only then are the whole sets compared.
 Copies are joined as one class, by their set. Within the documents that share a token no list of all pairs
 is made: each is compared with three leaders of that token, the links found so far are merged into
 components, and only documents of different components are compared further. That finds the components of
-all links, since a link within a component adds nothing to it.
+all links, since a link within a component adds nothing to it. What two such documents must pass first is a
+comparison of a few words of bits: a token flips one bit of its document's, so that bits in which two documents
+differ are a lower bound of the tokens that only one of them has. Texts made of the same blocks, which share
+tokens under any order, part there.
 """
 
 from __future__ import annotations
@@ -34,8 +37,9 @@ from .scratch import Scratch
 CHUNK, BLOOM_BITS = 1 << 20, 24
 #: The range of hashes whose frequencies are counted, as a multiple of a prefix's share of a set.
 RANGE = 1.75
-#: How much of a document's order goes along where documents of different components are compared, a bound on the rows' size.
-BEGINNING = 64
+#: Words of 64 bits in which each token flips one bit.
+BIT_WORDS = 8
+BITS = [f"bits{i}" for i in range(BIT_WORDS)]
 _ORDERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -92,13 +96,17 @@ def second_order(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     return docs.select("doc_id", "n", "unique", "take", F.slice("ranks", F.lit(1), F.col("take")).alias("ranks"))
 
 
-def may_link(percent: int) -> Column:
-    """Whether rows x and y can still be similar enough: what the beginnings of their orders show to be in either set alone leaves enough for both."""
-    last = F.least(F.element_at("ranks_x", -1), F.element_at("ranks_y", -1))
-    a, b = (F.filter(f"ranks_{c}", lambda r: r < last) for c in "xy")
-    most = F.least(F.col("n_x") - F.col("unique_x") - F.size(F.array_except(a, b)), F.col("n_y") - F.col("unique_y") - F.size(F.array_except(b, a)))
-    # An intersection of i and sizes x and y: i >= t (x + y - i).
-    return (100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y"))
+def few_bits_differ(percent: int) -> Column:
+    """Whether the bits of rows x and y differ in no more places than so similar sets have tokens that only one holds."""
+    differ = sum(F.bit_count(F.col(f"bits{i}_x").bitwiseXOR(F.col(f"bits{i}_y"))) for i in range(BIT_WORDS))
+    # A union of u and an intersection of t u at least differ by (1 - t) / (1 + t) of both sizes at most.
+    return (100 + percent) * differ <= (100 - percent) * (F.col("n_x") + F.col("n_y"))
+
+
+def flipped_bits(tokens: np.ndarray) -> np.ndarray:
+    """BIT_WORDS words: a bit is set if an odd number of tokens fall on it."""
+    odd = np.bincount((T.splitmix(tokens ^ _ORDERS[0]) % np.uint64(64 * BIT_WORDS)).astype(np.int64), minlength=64 * BIT_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
@@ -129,9 +137,11 @@ def _candidates(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFr
             for part in T.chunks(iter([batch]), limit=CHUNK):
                 own = _sets(part, k)
                 lists = [own, *([prefix(x, order) for x in own] for order in _ORDERS)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in own], pa.int64()), *(T.list_column(np.concatenate(x), [len(y) for y in x]) for x in lists)], ["doc_id", "n", "tokens", "p2", "p3"])
+                words = np.stack([flipped_bits(x) for x in own], axis=1)
+                columns = [part.column("doc_id"), pa.array([len(x) for x in own], pa.int64()), *(T.list_column(np.concatenate(x), [len(y) for y in x]) for x in lists), *(pa.array(w) for w in words)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "tokens", "p2", "p3", *BITS])
 
-    found = docs.select("doc_id", "text", place(1).alias("a"), place(2).alias("b")).mapInArrow(sets, "doc_id long, n long, tokens array<long>, p2 array<long>, p3 array<long>")
+    found = docs.select("doc_id", "text", place(1).alias("a"), place(2).alias("b")).mapInArrow(sets, "doc_id long, n long, tokens array<long>, p2 array<long>, p3 array<long>, " + ", ".join(f"{b} long" for b in BITS))
     return found.join(ids, "doc_id", "left_semi")
 
 
@@ -179,14 +189,14 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "do
     rest = rest.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     parts = rest.groupBy("token", "component").agg(F.count("*").alias("c"))
     mixed = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("component", "c").alias("main")).where("parts > 1")
-    begin = orders.select("doc_id", "n", "unique", F.slice("ranks", 1, BEGINNING).alias("ranks"))
+    begin = orders.select("doc_id", "n", "unique").join(sets.select("doc_id", *BITS), "doc_id")
     rest = scratch.table(rest.join(mixed.select("token", "main"), "token").join(begin, "doc_id"), "rest")
-    side = lambda c: [F.col(n).alias(f"{n}_{c}") for n in ("doc_id", "component", "n", "unique", "ranks")]
+    side = lambda c: [F.col(n).alias(f"{n}_{c}") for n in ("doc_id", "component", "n", "unique", *BITS)]
     x = rest.where("component != main").select("token", *side("x"))
     y = rest.select("token", "main", *side("y"))
     cross = x.join(y, "token").where("component_x != component_y and (component_y = main or doc_id_x < doc_id_y)")
-    few = lambda c: (100 + percent) * (F.col(f"n_{c}") - F.col(f"unique_{c}")) >= percent * (F.col("n_x") + F.col("n_y"))  # noqa: E731  the cheap part of may_link
-    cross = cross.where((100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & few("x") & few("y") & may_link(percent))
+    few = lambda c: (100 + percent) * (F.col(f"n_{c}") - F.col(f"unique_{c}")) >= percent * (F.col("n_x") + F.col("n_y"))  # noqa: E731  tokens that no other document has aren't in the intersection
+    cross = cross.where((100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & few("x") & few("y") & few_bits_differ(percent))
     cross = cross.select(F.least("doc_id_x", "doc_id_y").alias("u"), F.greatest("doc_id_x", "doc_id_y").alias("v")).distinct()
     second = _links(cross, sets, percent, scratch, "cross")
     scratch.drop("shared", "rest", "sets", "orders")

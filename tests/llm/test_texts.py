@@ -153,6 +153,39 @@ def test_ngram_join_of_one_large_group(spark):
     assert all(closed) and len(set(got.values())) == len(set(parent))
 
 
+def test_flipped_bits_bound_the_difference():
+    """Bits that differ are never more than tokens that only one set holds, so that no link is lost."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        every = rng.integers(0, 2**63, 400).astype(np.uint64)
+        a, b = (every[rng.random(400) < rng.random()] for _ in range(2))
+        differ = int(np.unpackbits((ngram_join.flipped_bits(a) ^ ngram_join.flipped_bits(b)).view(np.uint8)).sum())
+        assert differ <= len(np.setxor1d(a, b))
+
+
+def test_ngram_join_of_texts_of_the_same_blocks(spark):
+    """Texts that share tokens under any order, most of them without being linked."""
+    rng = random.Random(6)
+    blocks = [[" ".join(f"{chr(97 + b)}{v}{i}" for i in range(9)) for v in range(3)] for b in range(8)]
+    rows = [(i, " ".join(rng.choice(b) for b in blocks)) for i in range(240)]
+    for i in range(240, 300):
+        w = rows[i - 240][1].split()
+        w[rng.randrange(len(w))] = "z"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[j : j + 3]) for j in range(len(w) - 2)} for w in (words(t) for _, t in rows)]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((group[a], group[b]))
+                group = [x if g == y else g for g in group]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(table(spark, rows), 3, 90).collect()}
+    assert [got[i] for i in range(len(rows))] == group and len(set(group)) < 250
+
+
 def test_shared_passages(spark, corpus):
     where = defaultdict(set)
     for i, t, *_ in corpus:
