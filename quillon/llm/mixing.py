@@ -3,19 +3,22 @@
 Every word of a document carries the document's rate. The rates r minimise the relative entropy of the mix to
 the corpus, sum of size * (r log r - r), under one constraint for each source: sum of size * r = target. The
 convex dual has one multiplier for each source, and its solution is the exponential tilt r = exp(lambda). Newton
-steps solve it; their gradient and curvature are sums over all documents, taken in Spark. Rates then become
-whole copies: floor(r) of every document and one more of a part of them, so chosen that each source's words
-come to its target.
+steps solve it for all sources side by side. Their gradient and curvature are sums over documents; as documents of
+a source share its multiplier, both follow from one sum that Spark takes once, and the limit is also known in
+closed form, log(target / size), which tests hold the steps against. Rates then become whole copies: floor(r) of
+every document and one more of a part of them, so chosen that each source's words come to its target.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from quillon.operators.numbering import numbered
+
 from .scratch import Scratch
 
 #: Hash buckets within a size class of a source, a bound on the rows that choose the extra copies.
@@ -27,49 +30,44 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: tuple[float, ...], cap: float, scratch: Scratch) -> DataFrame:
     """(source, source_size, target) from (source, size), a row for each source.
 
     Sources in code-point order, null last, take the weights in turn; together they share the sum of all
     sizes. A target stops at ``cap`` times its source's size, and the others share the excess by weight until
-    none is above: those whose cap a unit of weight reaches first stop, one after the other.
+    none is above. The driver sees sums over sources, a row a round.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = by_source.withColumn("i", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1)
+    by_source = scratch.table(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "by-source")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("i") % len(weights) + 1).cast("int"))
-    ranked = ranked.withColumn("w", weight).withColumn("most", cap * F.col("source_size"))
-    rising = Window.orderBy(F.col("most") / F.col("w"), "i")
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    levels = ranked.select(
-        "*",
-        ((F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))).alias("level"),
-    )
-    stops = levels.withColumn("open", F.col("level") * F.col("w") <= F.col("most"))
-    level = F.min(F.when(F.col("open"), F.struct(F.col("most") / F.col("w"), "i", "level"))).over(everything)["level"]
-    return stops.withColumn("final", level).select("source", "source_size", F.when(F.col("final").isNull(), F.col("most")).otherwise(F.least("most", F.col("final") * F.col("w"))).alias("target"))
-
-
-def balance(targets: DataFrame, cap: float, scratch: Scratch, tolerance: float = 1e-12, most_steps: int = 60) -> DataFrame:
-    """The rows of targets with ``rate``, by Newton steps on the dual of all sources at once.
-
-    A source's gradient is (sum of size * exp(lambda)) - target and its curvature sum of size * exp(lambda);
-    as its documents share lambda, the sum over its documents, taken once, suffices for both. Steps are cut
-    to 1 in either direction, so that they converge from 0 to any target. The driver sees one number a step.
-    Sources without words, or with target 0, keep rate 1 or come to 0.
-    """
-    solvable = (F.col("source_size") > 0) & (F.col("target") > 0)
-    at = scratch.table(targets.withColumn("lam", F.lit(0.0)), "newton-0")
-    for k in range(1, most_steps + 1):
-        mass = F.col("source_size") * F.exp("lam")
-        step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (mass - F.col("target")) / mass))
-        at = scratch.table(at.withColumn("lam", F.when(solvable, F.col("lam") - step).otherwise(F.lit(0.0))), f"newton-{k}")
-        scratch.drop(f"newton-{k - 1}")
-        off = at.agg(F.max(F.when(solvable, F.abs(F.col("source_size") * F.exp("lam") / F.col("target") - 1)))).first()[0]
-        if off is None or off < tolerance:
+    ranked = numbered(by_source, [F.col("source").isNull(), "source"], "i").withColumn("w", weight).withColumn("most", cap * F.col("source_size").cast("double"))
+    ranked = scratch.table(ranked.select("source", "source_size", "w", "most"), "weights")
+    level, stopped = 0.0, -1
+    while True:
+        stops = F.col("most") < F.lit(level) * F.col("w")
+        sums = ranked.agg(F.sum("source_size").alias("total"), F.sum(F.when(stops, F.col("most"))).alias("held"), F.sum(F.when(~stops, F.col("w"))).alias("free"), F.count_if(stops).alias("stopped")).first()
+        if sums.stopped == stopped or not sums.free:
             break
-    rate = F.when(solvable, F.least(F.exp("lam"), F.lit(float(cap)))).when(F.col("target") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    return at.withColumn("rate", F.when(F.col("source_size") > 0, rate).otherwise(F.lit(1.0)))
+        level, stopped = (sums.total - (sums.held or 0.0)) / sums.free, sums.stopped
+    share = F.least("most", F.lit(level) * F.col("w")) if sums.free else F.col("most")
+    return ranked.select("source", "source_size", share.alias("target"))
+
+
+def balance(targets: DataFrame, cap: float, steps: int = 60) -> DataFrame:
+    """The rows of targets with ``rate``, by Newton steps on the dual.
+
+    A source's gradient is its documents' sum of size * exp(lambda), less the target, and its curvature that sum.
+    Steps are cut to 1 in either direction, so that they converge from 0 to any target. Sources without words
+    keep rate 1; where the target is 0 the rate is.
+    """
+    size, target = F.col("source_size").cast("double"), F.col("target")
+
+    def step(lam: Column, _: Column) -> Column:
+        mass = size * F.exp(lam)
+        return lam - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (mass - target) / mass))
+
+    lam = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step)
+    rate = F.when(size <= 0, F.lit(1.0)).when(target <= 0, F.lit(0.0)).otherwise(F.least(F.exp(lam), F.lit(float(cap))))
+    return targets.withColumn("rate", rate)
 
 
 def _cuts(cap: int):
@@ -112,13 +110,14 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float =
     )
     sized = sized.withColumn("cls", F.when(F.col("size") > 0, F.floor(F.log2("size")).cast("int")).otherwise(-1))
     hist = scratch.table(sized.groupBy("source", "cls", "bucket").agg(F.sum("size").alias("size")), "sizes")
-    rates = balance(source_targets(hist, weights, cap), cap, scratch).select(F.col("source").alias("s"), "source_size", "target", "rate")
+    rates = balance(source_targets(hist, weights, cap, scratch), cap).select(F.col("source").alias("s"), "source_size", "target", "rate")
     by_class = hist.join(rates, F.col("source").eqNullSafe(F.col("s"))).select("source", "cls", "bucket", "size", "rate").where("cls >= 0")
     cuts = by_class.groupBy("source").applyInPandas(_cuts(int(cap)), hist.select("source").schema.add("cls", IntegerType()).add("whole", IntegerType()).add("cut", IntegerType()))
     every = hist.select("source", "cls").distinct().join(rates, F.col("source").eqNullSafe(F.col("s")))
     cuts = cuts.select(F.col("source").alias("c_source"), F.col("cls").alias("c_cls"), "whole", "cut")
     every = every.join(cuts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("cls") == F.col("c_cls")), "left")
     every = scratch.table(every.select("s", F.col("cls").alias("s_cls"), "source_size", "target", "rate", "whole", "cut"), "cuts")
+    scratch.drop("sizes", "by-source", "weights")
     found = sized.join(every, F.col("source").eqNullSafe(F.col("s")) & (F.col("cls") == F.col("s_cls")), "left")
     extra = F.when(F.col("bucket") < F.col("cut"), F.lit(1)).otherwise(F.lit(0))
     number = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("whole") + extra)

@@ -241,6 +241,25 @@ def test_mixing(spark, corpus):
     assert [r.copies for r in alone] == [1, 1]
 
 
+def test_mixing_newton_and_rounding(spark):
+    """Newton's limit against the closed form; copies against the rates, class by class; many sources at once."""
+    rows = spark.createDataFrame([(f"s{i}", 10 * i, float(i * i)) for i in range(40)], "source string, source_size long, target double")
+    for r in mixing.balance(rows, 1e9).collect():
+        assert r.rate == (1.0 if not r.source_size else pytest.approx(r.target / r.source_size, rel=1e-9))
+    rng = random.Random(12)
+    docs = [(i, " ".join(["w"] * rng.choice([1, 3, 10, 40, 200])), f"s{rng.choice(range(25)):02}") for i in range(6000)]
+    got = mixing.copies(table(spark, docs)).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    for source, own in by.items():
+        rate, size = own[0].rate, own[0].source_size
+        assert rate == pytest.approx(min(3.0, own[0].target / size), rel=1e-9)
+        assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 0.01 * own[0].target + 2
+        for r in own:
+            assert r.copies <= 3 and abs(r.copies - rate) < 2  # what a larger size class can't round passes to the next one
+
+
 def test_pieces(spark, corpus):
     import sentencepiece
 
