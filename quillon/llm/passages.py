@@ -2,11 +2,15 @@
 
 Of all suffixes of all texts (from a word on) only those at minimiser positions are retained: positions whose
 next ANCHOR words have the lowest hash in some stretch of the words of one passage. Any two occurrences of a
-passage of ``min_words`` words retain suffixes at the same places. The retained suffixes are sorted by the hash
-of their beginning and compared with their neighbours; a beginning that only one document has is dropped.
-Around what is left, matches are extended to the left and the right: every stretch of ``min_words`` words whose
-own minimiser is left is sorted and compared with its neighbours in the same way. Stretches that another
-document has too are united to the longest passages.
+passage of ``min_words`` words retain suffixes at the same places. First the suffixes go by the hash of their
+beginning, and those whose beginning only one document has are dropped. The others are sorted by what follows,
+word by word, dealt by range over all tasks. Each is compared with its neighbours of other documents: the common
+words that follow and, from the suffix to the left, those before it. A match of ``min_words`` words in all gives
+the starts of all stretches within it.
+
+The neighbour with the longest match to the right need not have the longest to the left. Where the two come from
+different documents, or a range ends within a beginning, the few stretches left open are compared by their hash.
+Stretches that another document has too are united to the longest passages.
 """
 
 from __future__ import annotations
@@ -15,37 +19,152 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
+from . import vectors as V
 from .scratch import Scratch
 
 #: Words of a suffix's beginning that are compared first.
 ANCHOR = 16
-CHUNK = 1 << 20
-
-
-def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
-    """best (np.minimum or np.maximum) of each ``width`` neighbouring values."""
-    out, done = values, 1
-    while 2 * done <= width:
-        out = best(out[:-done], out[done:])
-        done *= 2
-    rest = width - done
-    return best(out[: len(out) - rest], out[rest:]) if rest else out
+#: Bytes of text that are cut into words at a time, and suffixes that are compared at a time.
+CHUNK, PIECE = 1 << 20, 1 << 14
 
 
-def _grams(batch: pa.RecordBatch, text) -> list[np.ndarray]:
-    data, offsets = T.text_buffer(batch.column(text))
+def _words(batch: pa.RecordBatch) -> list[np.ndarray]:
+    data, offsets = T.text_buffer(batch.column("text"))
     start, end, first = T.words(data, offsets, T.NOT_SPACE)
     hashes = T.word_hashes(data, start, end)
     return [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
 
 
-def minimisers(words: np.ndarray, min_words: int) -> np.ndarray:
-    """The lowest ANCHOR-word hash of each stretch of min_words words, from the first stretch to the last."""
-    return _sliding(T.shingle_hashes(words, ANCHOR), min_words - ANCHOR + 1, np.minimum)
+def minimisers(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ANCHOR words from each word on, and the place of the lowest of them (the first, of equals) in each stretch of min_words words."""
+    anchors = T.shingle_hashes(words, ANCHOR)
+    return anchors, np.lib.stride_tricks.sliding_window_view(anchors, min_words - ANCHOR + 1).argmin(1) + np.arange(len(words) - min_words + 1)
+
+
+def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """In how many words rows of a and b agree from the beginning."""
+    return np.minimum(np.where((same := a == b).all(1), a.shape[1], same.argmin(1)), most)
+
+
+class Neighbours:
+    """A run of retained suffixes in order: contexts to the right and to the left (nearest word first), compared with neighbours of other documents."""
+
+    def __init__(self, rows: pa.Table, min_words: int):
+        self.key, self.doc, self.at, self.low, self.high, self.n_left, self.n_right = (rows[c].to_numpy() for c in ("key", "doc_id", "at", "low", "high", "n_left", "n_right"))
+        side = lambda c: V.matrix(rows[c].combine_chunks(), np.uint32)
+        self.right, self.left, self.min_words = side("right"), side("left"), min_words
+
+    def _of_others(self, order: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Rows and their nearest row of another document before and after them in an order, within their key."""
+        key, doc = self.key[order], self.doc[order]
+        opens = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+        begin = np.flatnonzero(opens)
+        run = np.cumsum(opens) - 1
+        before, after = begin[run] - 1, np.append(begin[1:], len(key))[run]
+        out = []
+        for near in (before, after):
+            inside = (near >= 0) & (near < len(key))
+            inside[inside] = key[near[inside]] == key[inside]
+            out.append((order[inside], order[near[inside]]))
+        return out
+
+    def matches(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """(row, words to the left, words to the right) of matches with neighbours in the order of what follows; and each row's longest match either way with any other document."""
+        wide, n = self.left.shape[1], len(self.key)
+        longest = [np.full(n, -1), np.full(n, -1)]
+        found = []
+        by_left = np.lexsort((self.doc, *self.left.T[::-1], self.key))
+        for a, b in self._of_others(np.arange(n)):
+            right = ANCHOR + _common(self.right[a], self.right[b], np.minimum(self.n_right[a], self.n_right[b]))
+            left = _common(self.left[a], self.left[b], np.minimum(self.n_left[a], self.n_left[b]))
+            np.maximum.at(longest[1], a, right)
+            found.append((a, left, right))
+        for a, b in self._of_others(by_left):
+            np.maximum.at(longest[0], a, _common(self.left[a], self.left[b], np.minimum(self.n_left[a], self.n_left[b])))
+        assert wide == self.right.shape[1]
+        return [np.concatenate(z) for z in zip(*found)], *longest
+
+    def results(self, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Kind 0: (doc_id, a, b), the first and last start of stretches that match. Kind 1: (key, doc_id, a), by their hash, stretches of which
+        it isn't known, and those that they may equal.
+
+        ``cut``: rows whose key may go on elsewhere.
+        """
+        w, wide = self.min_words, self.left.shape[1]
+        (row, left, right), far_left, far_right = self.matches()
+        hit = left + right >= w
+        row, left, right = row[hit], left[hit], right[hit]
+        yield _batch(0, self.key[row], self.doc[row], self.at[row] - left, self.at[row] + right - w)
+        known = np.zeros((len(self.key), wide + 2), np.int32)  # offsets of a stretch's start before its suffix that are settled
+        np.add.at(known, (row, np.maximum(0, w - right)), 1)
+        np.add.at(known, (row, left + 1), -1)
+        offset = np.arange(wide + 1)
+        own = (offset >= self.low[:, None]) & (offset <= self.high[:, None])
+        known = (np.cumsum(known, axis=1)[:, :-1] > 0) & own
+        # Where the longest matches either way are with one neighbour, there is no other; else they bound what there may be.
+        open_ = own & ~known & (cut[:, None] | ((offset >= w - far_right[:, None]) & (offset <= far_left[:, None])))
+        group = np.cumsum(np.concatenate([[False], self.key[1:] != self.key[:-1]]))
+        asked = np.bincount(group, cut | open_.any(1))[group] > 0
+        yield self._by_hash(*np.nonzero(open_))
+        # Open ones must find those that are settled; of equal ones two, of different documents, are enough.
+        r, o = np.nonzero(known & asked[:, None])
+        settled = self._by_hash(r, o)
+        key, doc = settled["key"].to_numpy(), settled["doc_id"].to_numpy()
+        order = np.lexsort((doc, key))
+        opens = np.concatenate([[True], key[order][1:] != key[order][:-1]])[: len(order)]
+        ends = np.concatenate([opens[1:], [True]])[: len(order)]
+        yield settled.take(pa.array(order[opens | ends]))
+
+    def _by_hash(self, r: np.ndarray, o: np.ndarray) -> pa.RecordBatch:
+        """Stretches that start o words before the suffixes r."""
+        wide = self.left.shape[1]
+        place = T.splitmix(np.arange(1, 2 * wide + 3, dtype=T.U)) | T.U(1)
+        rows, r_ = np.unique(r, return_inverse=True)
+        left, right = (np.concatenate([np.zeros((len(rows), 1), T.U), np.cumsum(side[rows].astype(T.U) * place[i * wide : (i + 1) * wide], axis=1, dtype=T.U)], axis=1) for i, side in enumerate((self.left, self.right)))
+        whole = T.splitmix(self.key[r].view(T.U) + left[r_, o] + right[r_, wide - o] + place[-1] * o.astype(T.U))
+        return _batch(1, T.int64(whole), self.doc[r], self.at[r] - o, self.at[r] - o)
+
+
+def _batch(kind: int, key, doc, a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), *(pa.array(x, pa.int64()) for x in (key, doc, a, b))], ["kind", "key", "doc_id", "a", "b"])
+
+
+def compared(suffixes: DataFrame, min_words: int) -> DataFrame:
+    """(kind, key, doc_id, a, b) from the retained suffixes, dealt by range and sorted by what follows them; see Neighbours.results."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        number, opening, went_on = 0, None, None
+
+        def settle(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, number, opening, went_on
+            whole = pa.Table.from_batches(held).combine_chunks()
+            key = whole["key"].to_numpy()
+            opening = key[0] if opening is None else opening
+            # The last key waits for the next batch, unless it alone fills a piece.
+            end = len(key) if last or key[0] == key[-1] else int(np.flatnonzero(key != key[-1])[-1]) + 1
+            own = key[:end]
+            cut = (own == opening) | (own == key[-1]) | (own == (own[0] if went_on is None else went_on))
+            went_on = key[-1] if end == len(key) else None
+            yield from Neighbours(whole.slice(0, end), min_words).results(cut)
+            rest = whole.slice(end)
+            held, number = rest.to_batches(), rest.num_rows
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, PIECE):
+                held.append(batch.slice(i, PIECE))
+                number += held[-1].num_rows
+                if number >= PIECE:
+                    yield from settle(False)
+        if number:
+            yield from settle(True)
+
+    ranged = suffixes.repartitionByRange("key", "right").sortWithinPartitions("key", "right", "left", "doc_id")
+    return ranged.mapInArrow(run, "kind int, key long, doc_id long, a long, b long")
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
@@ -113,39 +232,52 @@ def shared_passages(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id"
     scratch = Scratch(docs.sparkSession, "passages")
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
 
+    wide = min_words - ANCHOR
+
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.chunks(batches, limit=CHUNK):
-            found = [np.unique(minimisers(w, min_words)) if len(w) >= min_words else np.zeros(0, T.U) for w in _grams(batch, "text")]
+            found = []
+            for w in _words(batch):
+                every, at = minimisers(w, min_words) if len(w) >= min_words else (np.zeros(0, T.U), np.zeros(0, np.int64))
+                found.append(np.unique(every[at]))
             doc = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(T.int64(np.concatenate(found))), pa.array(doc, pa.int64()), pa.array(np.zeros(len(doc), np.int64))], ["key", "doc_id", "at"])
 
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def retained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.chunks(batches, limit=CHUNK):
-            keys, starts, ids = [np.zeros(0, T.U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            left = batch.column("keys")
-            for i, w in enumerate(_grams(batch, "text")):
-                if len(w) >= min_words:
-                    own = left[i].values.to_numpy(zero_copy_only=False).view(T.U)
-                    at = np.flatnonzero(np.isin(minimisers(w, min_words), own))
-                    keys.append(T.stretch_hashes(w, min_words)[at])
-                    starts.append(at)
-                    ids.append(np.full(len(at), batch.column("doc_id")[i].as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(T.int64(np.concatenate(keys))), pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts))], ["key", "doc_id", "at"])
+            left, ids = batch.column("keys"), batch.column("doc_id").to_numpy()
+            rows: list[tuple[np.ndarray, ...]] = []
+            for i, w in enumerate(_words(batch)):
+                if len(w) < min_words:
+                    continue
+                every, at = minimisers(w, min_words)
+                kept = np.flatnonzero(np.isin(every[at], left[i].values.to_numpy(zero_copy_only=False).view(T.U)))
+                m, begin, number = np.unique(at[kept], return_index=True, return_counts=True)  # the stretches of a minimiser are neighbours
+                first = kept[begin]
+                padded = np.concatenate([np.zeros(wide, np.uint32), (w >> T.U(32)).astype(np.uint32) | np.uint32(1), np.zeros(wide, np.uint32)])
+                sides = padded[(m + wide - 1)[:, None] - np.arange(wide)], padded[(m + wide + ANCHOR)[:, None] + np.arange(wide)]
+                rows.append((T.int64(every[m]), np.full(len(m), ids[i]), m, m - first - number + 1, m - first, np.minimum(m, wide), np.minimum(len(w) - m - ANCHOR, wide), *sides))
+            if rows:
+                *plain, back, after = (np.concatenate(z) for z in zip(*rows))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in plain), V.binary(back), V.binary(after)], ["key", "doc_id", "at", "low", "high", "n_left", "n_right", "left", "right"])
 
     whole = docs.where("doc_id is not null and text is not null")
-    suffixes = scratch.table(whole.mapInArrow(anchors, "key long, doc_id long, at long"), "suffixes")
-    compared = scratch.table(shared_keys(suffixes), "compared")
-    scratch.drop("suffixes")
-    left = _resolved(compared).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    around = scratch.table(whole.join(left, "doc_id").mapInArrow(stretches, "key long, doc_id long, at long"), "around")
-    matched = scratch.table(shared_keys(around), "matched")
-    scratch.drop("compared", "around")
-    by_doc = _resolved(matched).groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    at = F.col("at")
-    begins = F.filter(at, lambda x, i: (i == 0) | (x - F.get(at, i - 1) > min_words))
-    ends = F.filter(at, lambda x, i: (i == F.size(at) - 1) | (F.get(at, i + 1) - x > min_words))
-    spans = by_doc.select("doc_id", F.explode(F.arrays_zip(begins.alias("a"), ends.alias("b"))).alias("s"))
-    return spans.select("doc_id", F.col("s.a").alias("start_word"), (F.col("s.b") - F.col("s.a") + min_words).alias("n_words"))
+    beginnings = scratch.table(whole.mapInArrow(anchors, "key long, doc_id long, at long"), "beginnings")
+    several = scratch.table(shared_keys(beginnings), "several")
+    scratch.drop("beginnings")
+    left = _resolved(several).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    schema = "key long, doc_id long, at long, low long, high long, n_left long, n_right long, left binary, right binary"
+    suffixes = scratch.table(whole.join(left, "doc_id").mapInArrow(retained, schema), "suffixes")
+    found = scratch.table(compared(suffixes, min_words), "found")
+    scratch.drop("several", "suffixes")
+    rest = scratch.table(shared_keys(found.where("kind = 1").select("key", "doc_id", F.col("a").alias("at"))), "rest")
+    hits = found.where("kind = 0").select("doc_id", "a", "b").unionAll(_resolved(rest).select("doc_id", "at", "at"))
+    # Hits of a document in order; one further than min_words from all before it opens a passage.
+    order = Window.partitionBy("doc_id").orderBy("a", "b")
+    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = hits.distinct().withColumn("opens", (reach.isNull() | (F.col("a") - reach > min_words)).cast("int"))
+    spans = opens.withColumn("span", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return spans.groupBy("doc_id", "span").agg(F.min("a").alias("start_word"), (F.max("b") - F.min("a") + min_words).alias("n_words")).drop("span")
 
 
 def op7_shared_passages(spark, sf_dir: str) -> DataFrame:

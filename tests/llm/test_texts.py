@@ -186,6 +186,39 @@ def test_ngram_join_of_texts_of_the_same_blocks(spark):
     assert [got[i] for i in range(len(rows))] == group and len(set(group)) < 250
 
 
+@pytest.mark.parametrize("piece", [1 << 14, 5])
+def test_shared_passages_with_different_surroundings(spark, monkeypatch, piece):
+    """Passages whose longest matches to the left and to the right are with different documents, in groups cut at any place."""
+    monkeypatch.setattr(passages, "PIECE", piece)
+    rng = random.Random(21)
+    lefts, rights = ([[f"{c}{v}{i}" for i in range(70)] for v in range(4)] for c in "lr")
+    middle = [[f"m{v}{i}" for i in range(20)] for v in range(3)]
+    docs = []
+    for i in range(90):
+        t = []
+        for _ in range(rng.randint(1, 3)):
+            a, b = rng.choice(lefts), rng.choice(rights)
+            t += a[-rng.randint(0, 60) :] + rng.choice(middle) + b[: rng.randint(0, 60)] + [f"x{rng.random()}"]
+        docs.append((i, " ".join(t)))
+    where = defaultdict(set)
+    for i, t in docs:
+        w = t.split()
+        for j in range(len(w) - 49):
+            where[tuple(w[j : j + 50])].add(i)
+    want = set()
+    for i, t in docs:
+        w, spans = t.split(), []
+        for j in range(len(w) - 49):
+            if len(where[tuple(w[j : j + 50])]) > 1:
+                if spans and j <= spans[-1][1]:
+                    spans[-1][1] = j + 50
+                else:
+                    spans.append([j, j + 50])
+        want |= {(i, a, b - a) for a, b in spans}
+    got = [tuple(r) for r in passages.shared_passages(table(spark, docs)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
 def test_shared_passages(spark, corpus):
     where = defaultdict(set)
     for i, t, *_ in corpus:
