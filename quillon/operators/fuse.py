@@ -71,11 +71,11 @@ THERMAL_MEANS = (("abs_voltage", "voltage_mean_v"), ("power_w", "power_mean_w"),
 
 def thermal_summary(thermal: DataFrame, states: DataFrame, tolerance: float = 0.75) -> DataFrame:
     """A row for each state: number of matched rows (0 if none), first and last time, means."""
-    matched = band_join(thermal, states, tolerance).groupBy("state_label", "state_voltage").agg(
+    # The states themselves go along as rows without a measurement, so that one aggregate serves and no join brings back those without rows.
+    matched = band_join(thermal, states, tolerance).unionByName(states.select("state_label", "state_voltage"), allowMissingColumns=True)
+    return matched.groupBy("state_label", "state_voltage").agg(
         F.count("row_idx").alias("thermal_rows"), F.min("time_s").alias("time_start_s"), F.max("time_s").alias("time_end_s"), *[F.avg(a).alias(b) for a, b in THERMAL_MEANS]
     )
-    out = states.select("state_label", "state_voltage").join(matched, ["state_label", "state_voltage"], "left")
-    return out.withColumn("thermal_rows", F.coalesce("thermal_rows", F.lit(0)))
 
 
 def acoustic_summary(hits: DataFrame, windows: DataFrame, stretch_s: float = 60.0) -> DataFrame:
@@ -84,13 +84,14 @@ def acoustic_summary(hits: DataFrame, windows: DataFrame, stretch_s: float = 60.
     Without hits numbers and rates are 0 and the amplitude null; lengths count as 1e-9 s at least.
     """
     windows = windows.dropna(how="any", subset=["state_label", "time_start_s", "time_end_s"]).select("state_label", "time_start_s", "time_end_s")
-    inside = in_ranges(hits, F.col("time_s"), windows, "time_start_s", "time_end_s", stretch_s)
-    sums = inside.groupBy("state_label").agg(
+    # As in thermal_summary, windows go along as rows without a hit.
+    inside = in_ranges(hits, F.col("time_s"), windows, "time_start_s", "time_end_s", stretch_s).unionByName(windows, allowMissingColumns=True)
+    sums = inside.groupBy("state_label", "time_start_s", "time_end_s").agg(
         F.count("time_s").alias("n"), F.sum("abs_energy").alias("energy"), F.avg("amp").alias("ae_amp_mean_db"), F.count_if(F.col("ch") == 1).alias("n1"), F.count_if(F.col("ch") == 2).alias("n2")
     )
     length = F.greatest(F.col("time_end_s") - F.col("time_start_s"), F.lit(1e-9))
     rate = lambda c: F.coalesce(c, F.lit(0)) / length
-    return windows.join(sums, "state_label", "left").select(
+    return sums.select(
         "state_label", F.coalesce("n", F.lit(0)).alias("ae_hits"), rate("n").alias("ae_hit_rate_hz"), rate("energy").alias("ae_abs_energy_rate"), "ae_amp_mean_db", rate("n1").alias("ae_ch1_hit_rate_hz"), rate("n2").alias("ae_ch2_hit_rate_hz")
     )
 
