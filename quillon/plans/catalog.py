@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import scalar as S
 from quillon.operators import annotate, frames, fuse, pixelmodel, synth
 from quillon.plans import standins as I
+from quillon.sources import tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -383,3 +384,45 @@ def iou_report(spark, sf_dir):
     d = I.table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(I.table(spark, sf_dir, "labels"), "doc_id")
     d = d.withColumn("split", F.when(F.col("lang").isin("en", "de"), "train").otherwise("val"))
     return rounded(pixelmodel.iou_summary(pixelmodel.iou(d, ["split", "source", "lang"], F.col("quality") == 1, F.col("toxic") == 1)))
+
+
+@query("SELECT label, count(*) AS n FROM (SELECT split_part(c_mktsegment || '_192.168.' || c_nationkey, '_192.', 1) AS label FROM customer) GROUP BY 1")
+def contact_label(spark, sf_dir):
+    """Labels from file names of a camera, which end in its address."""
+    name = F.concat("c_mktsegment", F.lit("_192.168."), F.col("c_nationkey").cast("string"))
+    return I.table(spark, sf_dir, "customer").groupBy(S.contact_label(name).alias("label")).agg(F.count("*").alias("n"))
+
+
+PATH_SQL = "paths AS (SELECT '/data/' || o_orderpriority || '/' || o_orderkey || '.png' AS path FROM orders UNION ALL SELECT '/data/none/1.png')"
+
+
+def image_paths(spark, sf_dir) -> DataFrame:
+    path = F.concat(F.lit("/data/"), "o_orderpriority", F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".png")).alias("path")
+    return I.table(spark, sf_dir, "orders").select(path).unionAll(spark.range(1).select(F.lit("/data/none/1.png")))
+
+
+@query(f"WITH {PATH_SQL} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS place FROM paths")
+def path_order(spark, sf_dir):
+    return fuse.ordinal(image_paths(spark, sf_dir), tables.path_order()).select("path", F.col("_i").alias("place"))
+
+
+@query(f"WITH {PATH_SQL} SELECT l AS state_label, CAST(regexp_extract(l, '[0-9]+(?:[.][0-9]+)?') AS DOUBLE) AS state_voltage FROM (SELECT DISTINCT string_split(path, '/')[-2] AS l FROM paths) WHERE l <> 'none'")
+def states_of_paths(spark, sf_dir):
+    return tables.states_of(image_paths(spark, sf_dir))
+
+
+@query(f"""WITH {STATE_TABLE_SQL}, k AS (SELECT case_label, min(heat_flux_mean_w_cm2) AS a, max(heat_flux_mean_w_cm2) AS b, min(vapor_area_fraction_mean) AS c, max(vapor_area_fraction_mean) AS d, arg_min(state_label, state_voltage) AS s, arg_min(vapor_area_fraction_mean, state_voltage) AS e, arg_min(ae_abs_energy_rate, state_voltage) AS f, arg_max(state_label, state_voltage) AS t, arg_max(vapor_area_fraction_mean, state_voltage) AS g, arg_max(ae_abs_energy_rate, state_voltage) AS h FROM states GROUP BY 1)
+SELECT case_label, CAST(unnest(range(0, 5)) AS INT) AS i, unnest([case_label, format('  heat flux range: {{:.2f}} to {{:.2f}} W/cm2', a, b), format('  vapor area fraction range: {{:.3f}} to {{:.3f}}', c, d), format('  first state {{}}: vapor={{:.3f}}, AE energy rate={{:.1f}}', s, e, f), format('  final state {{}}: vapor={{:.3f}}, AE energy rate={{:.1f}}', t, g, h)]) AS line FROM k""")
+def key_number_text(spark, sf_dir):
+    data = state_table(spark, sf_dir)
+    return synth.key_number_lines(synth.key_numbers(synth.with_case(data, F.col("case_label")))).select("case_label", "i", "line")
+
+
+@query(f"""WITH {FIT_SQL}, prior AS (SELECT max(n) FILTER (foreground) / (max(n) FILTER (foreground) + max(n) FILTER (NOT foreground)) AS p FROM fit),
+x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+d AS (SELECT vec_id, foreground, -0.5 * sum(pow((v - mean) / std, 2) + 2 * ln(std) + ln(2 * pi())) AS l FROM x JOIN fit USING (i) GROUP BY 1, 2),
+o AS (SELECT vec_id, max(l) FILTER (foreground) + ln(p + 1e-9) AS f, max(l) FILTER (NOT foreground) + ln(1 - p + 1e-9) AS b FROM d, prior GROUP BY vec_id, p)
+SELECT vec_id AS pixel, b - f <= ln(1 / 0.45 - 1) AS predicted FROM o""")
+def pixel_decision(spark, sf_dir):
+    x = pixels(spark, sf_dir)
+    return pixelmodel.score(x, pixelmodel.fit(x), threshold=0.45).select("pixel", "predicted")
