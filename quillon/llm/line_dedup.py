@@ -66,8 +66,8 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
 
     A key is a line without blanks at both ends, A-Z lower-cased. Keys of at least ``min_chars`` code
     points that at least ``min_docs`` documents hold lose all their lines except in the largest doc_id
-    that holds them. ``keep_runs`` is the keep bitmap, run-length coded: lengths of alternating runs of
-    kept and dropped lines, kept first; what comes after the last run is kept.
+    that holds them. ``keep_runs`` is the keep bitmap, run-length coded: the runs of kept lines, each a struct of its
+    start and its end (exclusive; null of the last run, which goes on to the text's end).
 
     Null and empty texts have one empty line and lose nothing, nor do rows without a doc_id, which count as no
     document. Rows that share a doc_id count as one document for the keys' counts, and keep or lose a key's lines
