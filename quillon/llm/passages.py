@@ -163,7 +163,9 @@ def compared(suffixes: DataFrame, min_words: int) -> DataFrame:
         if number:
             yield from settle(True)
 
-    ranged = suffixes.repartitionByRange("key", "right").sortWithinPartitions("key", "right", "left", "doc_id")
+    # Copies of a frequent passage are alike up to the document, so that is part of the range.
+    order = ["key", "right", "left", "doc_id", "at"]
+    ranged = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
     return ranged.mapInArrow(run, "kind int, key long, doc_id long, a long, b long")
 
 
