@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ivf_pq, languages, licenses, line_dedup, mixing, ngram_join, passages, pieces, toxicity, va_file
+from . import filter_audit, fim, ivf_pq, languages, licenses, line_dedup, mixing, ngram_join, passages, pieces, toxicity, url_rules, va_file
 
 QUERIES = {
     "op1_ivf_pq": ivf_pq.op1_ivf_pq,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_va_file": va_file.op10_va_file,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_url_rules": url_rules.op13_url_rules,
 }
 ORACLE_SQL = {
     "op6_ngram_jaccard_join": ngram_join.ORACLE,
     "op7_shared_passages": passages.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op10_va_file": va_file.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op12_fill_in_middle": fim.ORACLE,
+    "op13_url_rules": url_rules.ORACLE,
 }

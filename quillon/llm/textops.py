@@ -21,6 +21,8 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_VALUE = splitmix(_LOWER.astype(U) + U(1) + U(0x9E3779B97F4A7C15))
+#: Values of bytes for hashes that tell A-Z from a-z.
+EXACT = splitmix(np.arange(256, dtype=U) + U(1) + U(0x9E3779B97F4A7C15))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of words between white space, and of words of letters and digits (every byte of a non-ASCII character counts).
@@ -67,8 +69,8 @@ def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tuple[n
 _PLACE = splitmix(np.arange(1, 257, dtype=U)) | U(1)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z lower-cased."""
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = _BYTE_VALUE) -> np.ndarray:
+    """A 64-bit hash of each word, with A-Z lower-cased unless ``values`` are EXACT."""
     global _PLACE
     if not len(start):
         return np.zeros(0, U)
@@ -77,7 +79,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         _PLACE = splitmix(np.arange(1, 2 * longest + 1, dtype=U)) | U(1)
     first = np.concatenate([[0], np.cumsum(length)[:-1]])
     place = np.arange(int(length.sum())) - np.repeat(first, length)
-    values = _BYTE_VALUE[data[place + np.repeat(start, length)]] * _PLACE[place]
+    values = values[data[place + np.repeat(start, length)]] * _PLACE[place]
     return splitmix(np.add.reduceat(values, first) + length.astype(U) * U(0xD6E8FEB86659FD93))
 
 

@@ -22,6 +22,9 @@ CONTRACTS = {
     "op8_line_dedup": ("doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string", True),
     "op9_toxicity": ("doc_id bigint, held_out boolean, score double, predicted int", True),
     "op10_va_file": ("query_id bigint, rank int, vec_id bigint, score bigint", False),
+    "op11_filter_audit": ("part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint", False),
+    "op12_fill_in_middle": ("doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string", True),
+    "op13_url_rules": ("page_id bigint, host string, path string, rule string, verdict string", False),
 }
 
 
@@ -42,7 +45,7 @@ def test_entry(spark, name):
         assert sorted(r.doc_id for r in rows) == ids
     if name in queries.ORACLE_SQL:
         duck = duckdb.connect()
-        for t in ("documents", "embeddings"):
+        for t in ("documents", "embeddings", "pages", "labels"):
             duck.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
         want = duck.execute(f"select {', '.join(df.columns)} from ({queries.ORACLE_SQL[name]})").fetchall()
         assert sorted(map(tuple, rows), key=repr) == sorted(want, key=repr)
