@@ -82,6 +82,19 @@ def odd(spark, tmp_path, monkeypatch):
     return str(tmp_path)
 
 
+def test_near_duplicates_of_documents_with_several_texts(spark, tmp_path):
+    """A near copy goes although another text stands under the id of what it copies; documents stay or go with all their texts."""
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choice("abdeilmnorstu") for _ in range(4)) for _ in range(80))
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    a, b, c = text(), text(), text()
+    rows = [(7, a), (8, near(a)), (9, b), (7, text()), (5, text()), (12, text()), (12, near(b)), (13, c), (20, near(c)), (20, text()), (20, None), (21, near(near(c))), (None, near(a)), (30, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stayed = corpus_pipeline.without_near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted({r.doc_id for r in stayed if r.doc_id is not None}) == [5, 7, 9, 13, 30]
+    assert sum(r.doc_id == 7 for r in stayed) == 2 and sum(r.doc_id is None for r in stayed) == 1
+
+
 def test_stages_on_clashing_columns_and_repeated_ids(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     rows = [tuple(r) for r in docs.collect()]

@@ -153,6 +153,36 @@ def test_ngram_join_of_one_large_group(spark):
     assert all(closed) and len(set(got.values())) == len(set(parent))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_ngram_join_of_different_texts_under_one_id(spark, seed):
+    """A document may have several texts: links of each count for it, and none is lost to another's tokens."""
+    rng = random.Random(seed)
+    text = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 40)}" for _ in range(n))
+    rows = [(rng.randint(0, 40), text(rng.randint(30, 60))) for _ in range(50)]
+    for _ in range(40):
+        w = rng.choice(rows)[1].split()
+        w[rng.randrange(len(w))] = "other"
+        rows.append((rng.randint(0, 60), " ".join(w)))
+    rows += [rng.choice(rows) for _ in range(10)] + [(rng.randint(0, 60), rng.choice([None, "", " ", "a", "a b"])) for _ in range(12)]
+    if seed == 0:
+        a, b = text(40), text(40)
+        rows = [(7, a), (8, a.replace(a.split()[20], "other", 1)), (9, b), (7, text(40)), (7, None)]
+    k, percent = ((3, 90), (5, 80))[seed % 2]
+    if seed == 0:
+        percent = 60
+    sets = [{tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set() for w in (words(t) for _, t in rows)]
+    group = {i: i for i, _ in rows}
+    for x, (i, _) in enumerate(rows):
+        for y, (j, _) in enumerate(rows[:x]):
+            both = len(sets[x] & sets[y])
+            if both and 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                low, high = sorted((group[i], group[j]))
+                group = {n: low if g == high else g for n, g in group.items()}
+    got = ngram_join.ngram_join(table(spark, rows), k, percent).collect()
+    assert sorted(tuple(r) for r in got) == sorted((i, len(s), group[i]) for s, (i, _) in zip(sets, rows))
+    assert seed or group[8] == 7
+
+
 def test_flipped_bits_bound_the_difference():
     """Bits that differ are never more than tokens that only one set holds, so that no link is lost."""
     import numpy as np
