@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import random
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import scalar as S
 from quillon.operators import annotate, frames, fuse, imaging, pixelmodel, synth
+from quillon.operators.scratch import Scratch
 from quillon.sources import tables
 
 
@@ -33,10 +35,20 @@ def segmenter(a: argparse.Namespace, spark: SparkSession) -> imaging.Segmenter:
     return imaging.PixelModel(tuple(m.foreground_mean), tuple(m.foreground_std), tuple(m.background_mean), tuple(m.background_std), m.foreground_prior, m.threshold, roi, m.min_area_px, m.clear_top_px)
 
 
-def segmented(a: argparse.Namespace, spark: SparkSession, root: str) -> DataFrame:
-    label = F.element_at(F.split("path", "/"), -2)
-    counts = imaging.column_counts(tables.read_images(spark, root), segmenter(a, spark))
-    return counts.select(label.alias("state_label"), S.parse_voltage(label).alias("state_voltage"), F.element_at(F.split("path", "/"), -1).alias("frame_name"), "height", "width", "col_counts")
+def segmented(a: argparse.Namespace, spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """Frames below a root, or those listed, as counts of vapour pixels a column."""
+    counts = imaging.column_counts(tables.read_images(spark, root if paths is None else paths), segmenter(a, spark))
+    label = tables.state_folder(os.path.abspath(root) if "://" not in root else root)
+    return counts.select("path", label.alias("state_label"), S.parse_voltage(label).alias("state_voltage"), F.element_at(F.split("path", "/"), -1).alias("frame_name"), "height", "width", "col_counts")
+
+
+def sampled_paths(a: argparse.Namespace, spark: SparkSession) -> list[str] | None:
+    """Of each state the paths of so many frames, spread evenly over its listing: names are chosen before any image is read. None: all."""
+    if a.frames_per_state <= 0:
+        return None
+    label = tables.state_folder(os.path.abspath(a.images) if "://" not in a.images else a.images)
+    listed = tables.list_images(spark, a.images).select("path", label.alias("state_label")).where(S.parse_voltage(F.col("state_label")).isNotNull())
+    return [r.path for r in frames.sample_evenly(listed, ["state_label"], [tables.path_order()], a.frames_per_state).collect()]
 
 
 def list_images(a, spark) -> None:
@@ -92,16 +104,16 @@ def inside_pixels(images: DataFrame, roi: tuple) -> DataFrame:
 
 
 def profile(a, spark) -> None:
-    tables.write_csv(frames.profile(segmented(a, spark, a.images), a.bins, a.pixel_size_mm), a.out)
+    tables.write_csv(frames.profile(segmented(a, spark, a.images).drop("path"), a.bins, a.pixel_size_mm), a.out)
 
 
 def analyse(a, spark) -> None:
-    thermal = spark.read.csv(a.thermal, header=True, inferSchema=True)
-    power = spark.read.csv(a.thermal_input, header=True, inferSchema=True)
+    thermal, power = (tables.read_log(spark, path) for path in (a.thermal, a.thermal_input))
     volts = power.select("row_idx", F.abs(F.col(f"`{fuse.find_column(power.columns, ['Voltage'])}`")).alias("abs_voltage"))
     log = fuse.positional_zip(fuse.thermal_frame(thermal), volts)
-    every = segmented(a, spark, a.images).where("state_voltage is not null")
-    metrics = frames.mask_metrics(frames.sample_evenly(every, ["state_label"], ["frame_name"], a.frames_per_state)).drop("height", "width", "col_counts").cache()
+    every = segmented(a, spark, a.images, sampled_paths(a, spark)).where("state_voltage is not null").drop("path")
+    # Written, so that each image is segmented once.
+    metrics = Scratch(spark, "frames").table(frames.mask_metrics(every).drop("height", "width", "col_counts"), "metrics")
     states = metrics.select("state_label", "state_voltage").distinct()
     hits = tables.read_hits(spark, a.hits)
     tables.write_csv(metrics.orderBy("state_voltage", "frame_name"), f"{a.out}/{a.case}_image_frame_metrics")

@@ -14,7 +14,7 @@ def holdout(df: DataFrame, order: list[Column], every: int = 5) -> DataFrame:
 
     Rows are numbered by ranges of the order, so that no task sees all of them.
     """
-    placed = numbered(df, order, "ordinal").withColumn("ordinal", F.col("ordinal").cast("int"))
+    placed = numbered(df, order, "ordinal")
     return placed.withColumn("split", F.when(F.col("ordinal") % every == 0, "val").otherwise("train"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import scalar as S
-from quillon.operators.numbering import numbered_within
+from quillon.operators.selection import selected
 
 #: A column counts as active above this share of its pixels.
 ACTIVE = 0.05
@@ -68,12 +68,18 @@ def even_positions(n: Column, count: int) -> Column:
 
 
 def sample_evenly(df: DataFrame, by: list[str], order: list, count: int) -> DataFrame:
-    """Of each group ``count`` rows spread evenly over its order."""
-    placed = numbered_within(df, by, order)
-    return placed.where(F.array_contains(even_positions(F.col("_n"), count), F.col("_i").cast("long"))).drop("_i", "_n")
+    """Of each group ``count`` rows spread evenly over its order; all rows if count <= 0."""
+    return df if count <= 0 else selected(df, by, order, lambda n: even_positions(n, count))
 
 
 def middle(df: DataFrame, by: list[str], order: list) -> DataFrame:
     """The row in the middle of each group's order (of an even number the later one)."""
-    placed = numbered_within(df, by, order)
-    return placed.where(F.col("_i") == F.floor(F.col("_n") / 2)).drop("_i", "_n")
+    return selected(df, by, order, lambda n: F.array(F.floor(n / 2).cast("long")))
+
+
+def seeded_sample(df: DataFrame, key: str, count: int, seed: int = 7) -> DataFrame:
+    """``count`` rows without replacement, those whose key has the smallest digests with the seed; all if there are no more.
+
+    Each task keeps so many rows at most, and these are merged. The same rows come out for the same keys, wherever they are read.
+    """
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(count)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import scalar as S
 from quillon.operators.numbering import numbered, numbered_within
 from quillon.operators.range_join import in_ranges
+from quillon.operators.scratch import Scratch
 
 
 def find_column(columns: Sequence[str], fragments: Sequence[str]) -> str:
@@ -106,7 +107,8 @@ def multimodal_summary(frames: DataFrame, thermal: DataFrame, hits: DataFrame, s
     """The fused table of one case from frame metrics, thermal log, hits and states."""
     from quillon.operators.frames import state_summary
 
-    heat = thermal_summary(thermal, states, tolerance)
+    # Written, as it is read twice, once as a table of windows: a row a state.
+    heat = Scratch(thermal.sparkSession, "states").table(thermal_summary(thermal, states, tolerance), "heat")
     return fused(state_summary(frames), heat, acoustic_summary(hits, heat, stretch_s))
 
 

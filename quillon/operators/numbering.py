@@ -3,37 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows sampled for each range.
-SAMPLED = 32
+from quillon.operators.scratch import Scratch
+
+#: Bits of monotonically_increasing_id that count rows within a partition.
+WITHIN = 33
+
+
+def order_key(df: DataFrame, order: Sequence[Column | str]) -> Column:
+    """The columns of the order as one struct; ties by the row's hash, and of rows alike in all columns by where they are read."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.xxhash64(*columns).alias("tie"), F.monotonically_increasing_id().alias("at"))
 
 
 def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "_i") -> DataFrame:
     """df with ``name``, each row's place from 0 in ascending order (nulls first) of the columns given; ties by the row's hash.
 
-    Ranges of the order, as many as shuffle partitions, are laid out from a sample; rows are numbered within their
-    range, and the ranges' sizes (all that reaches the driver) give the offsets. Rows that are alike in all
-    columns share a range.
+    The rows are dealt by ranges of the order, sorted there and written once, each with its range and its place in it.
+    Sizes of the ranges, read from that same table, give the offsets; a number for each range is all that reaches the driver.
     """
-    keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    keyed = df.withColumn("_key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.xxhash64(*df.columns).alias("tie")))
-    fields = keyed.schema["_key"].dataType.fields
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sample = keyed.select("_key").orderBy(F.rand(7)).limit(SAMPLED * ranges).orderBy("_key").collect()
-    edges = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r["_key"], fields)]) for r in sample[SAMPLED::SAMPLED]]
-    below = F.size(F.filter(F.array(*edges), lambda e: e <= F.col("_key"))) if edges else F.lit(0)
-    placed = keyed.withColumn("_range", below)
-    sizes = {r["_range"]: r["count"] for r in placed.groupBy("_range").count().collect()}
-    offsets, total = [], 0
-    for i in range(len(edges) + 1):
-        offsets.append(total)
-        total += sizes.get(i, 0)
-    own = F.row_number().over(Window.partitionBy("_range").orderBy("_key")) - 1
-    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("_range") + 1)
-    return placed.withColumn(name, own + start).drop("_key", "_range")
+    scratch = Scratch(df.sparkSession, "numbered")
+    dealt = df.withColumn("_key", order_key(df, order)).repartitionByRange("_key").sortWithinPartitions("_key")
+    written = scratch.table(dealt.drop("_key").withColumn("_at", F.monotonically_increasing_id()), "rows")
+    number = F.shiftright("_at", WITHIN).cast("int")
+    sizes = {r["r"]: r["n"] for r in written.groupBy(number.alias("r")).agg(F.count("*").alias("n")).collect()}
+    offsets = list(accumulate((sizes.get(i, 0) for i in range(max(sizes, default=0))), initial=0))
+    start = F.get(F.array(*[F.lit(x).cast("long") for x in offsets]), number)
+    return written.withColumn(name, start + F.col("_at").bitwiseAND(F.lit((1 << WITHIN) - 1))).drop("_at")
 
 
 def numbered_within(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str = "_i", number: str = "_n") -> DataFrame:

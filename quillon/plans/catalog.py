@@ -148,6 +148,14 @@ def positional_zip(spark, sf_dir):
     return fuse.positional_zip(o.select(F.col("o_orderkey").alias("row_idx"), F.col("o_totalprice").alias("a")), o.select(F.col("o_orderkey").alias("row_idx"), F.abs("o_totalprice").alias("b")))
 
 
+@query("SELECT row_number() OVER () - 1 AS row_idx, ts AS a, abs(value) AS b FROM events")
+def ingest_zip(spark, sf_dir):
+    """Two logs without a column in common, zipped by the order in which their rows stand in the files."""
+    left = tables.in_file_order(I.table(spark, sf_dir, "events").select(F.col("ts").alias("a"), "_metadata"))
+    right = tables.in_file_order(I.table(spark, sf_dir, "events").select(F.abs("value").alias("b"), "_metadata"))
+    return fuse.positional_zip(left.drop("_metadata"), right.drop("_metadata")).select("row_idx", "a", "b")
+
+
 @query("""SELECT l_returnflag, round(avg(m), 6) AS mean_of_means FROM (SELECT l_returnflag, CASE WHEN l_discount <> 0 AND l_tax <> 0 THEN (l_discount + l_tax) / 2 WHEN l_discount <> 0 THEN l_discount WHEN l_tax <> 0 THEN l_tax END AS m FROM lineitem) GROUP BY 1""")
 def row_mean_of_columns(spark, sf_dir):
     zero = lambda c: F.nullif(F.col(c), F.lit(0.0))
@@ -241,18 +249,18 @@ def canonical_label(spark, sf_dir):
     return l.groupBy(S.canonical_label(F.col("l")).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, i AS ordinal, CASE WHEN i % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INT) AS i FROM documents)")
+@query("SELECT doc_id, i AS ordinal, CASE WHEN i % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)")
 def holdout_split(spark, sf_dir):
     return annotate.holdout(I.table(spark, sf_dir, "documents").select("doc_id"), [F.col("doc_id")])
 
 
-@query("SELECT doc_id, i AS ordinal, CASE WHEN i % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INT) AS i FROM documents SEMI JOIN labels USING (doc_id))")
+@query("SELECT doc_id, i AS ordinal, CASE WHEN i % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents SEMI JOIN labels USING (doc_id))")
 def holdout_of_existing(spark, sf_dir):
     docs, labels = (I.table(spark, sf_dir, t).select("doc_id") for t in ("documents", "labels"))
     return annotate.holdout_of_existing(docs, labels, "doc_id", [F.col("doc_id")])
 
 
-@query("SELECT doc_id, i AS ordinal FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INT) AS i FROM documents) WHERE i % 5 = 0 AND i < 40")
+@query("SELECT doc_id, i AS ordinal FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) WHERE i % 5 = 0 AND i < 40")
 def validation_examples(spark, sf_dir):
     split = annotate.holdout(I.table(spark, sf_dir, "documents").select("doc_id"), [F.col("doc_id")])
     return annotate.first_examples(split, 8).select("doc_id", "ordinal")
@@ -294,6 +302,11 @@ def seeded_sample(spark, sf_dir):
     return fuse.ordinal(I.table(spark, sf_dir, "documents").select("doc_id"), "doc_id").where(F.col("_i").isin(*SEEDED)).select("doc_id")
 
 
+@query("SELECT doc_id, source FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 40")
+def seeded_bottom_sample(spark, sf_dir):
+    return frames.seeded_sample(I.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 40)
+
+
 def polygons(spark, sf_dir) -> DataFrame:
     """Of each vector 32 points, in hundredths."""
     e = I.table(spark, sf_dir, "embeddings")

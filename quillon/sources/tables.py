@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.operators.scratch import Scratch
+
 # File name endings of images.
 IMAGE_SUFFIXES = (".bmp", ".jpg", ".jpeg", ".png", ".tif", ".tiff")
 
@@ -59,14 +62,38 @@ def read_annotations(spark: SparkSession, paths: list[str]) -> DataFrame:
     return docs.withColumn("image_path", F.concat(parent, F.coalesce("imagePath", F.concat(stem, F.lit(".bmp")))))
 
 
+def in_file_order(scan: DataFrame, name: str = "row_idx") -> DataFrame:
+    """The rows of a scan of files with ``name``, their place from 0: by path, then as they stand in the file.
+
+    A file is read in splits, in any order and by any task. Rows are written once with the start of their split and a
+    number that rises within it; prefix sums of the splits' sizes (a row a split) then give each row its place.
+    """
+    scratch = Scratch(scan.sparkSession, "file-order")
+    seen = scan.select(*[F.col(f"`{c}`") for c in scan.columns if c not in ("_metadata", name)], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    written = scratch.table(seen, "rows")
+    splits = written.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    files = splits.groupBy("_file").agg(F.sum("_n").alias("_rows"))
+    # A row a file.
+    before = files.select("_file", F.sum("_rows").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    offsets = splits.select("_file", "_start", "_first", F.coalesce(earlier, F.lit(0)).alias("_earlier")).join(before, "_file")
+    place = F.coalesce("_before", F.lit(0)) + F.col("_earlier") + F.col("_at") - F.col("_first")
+    return written.join(offsets, ["_file", "_start"]).withColumn(name, place).drop("_file", "_start", "_first", "_earlier", "_before", "_at")
+
+
+def read_log(spark: SparkSession, path: str, order: str = "row_idx") -> DataFrame:
+    """A log as CSV with a header, its rows numbered in their order; a column of that name in the file is replaced."""
+    return in_file_order(spark.read.csv(path, header=True, inferSchema=True), order)
+
+
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
     """Acoustic hits of a text file: ch, time_s, amp, abs_energy and every named column as text.
 
-    The header is the first line that starts with ID and holds SSSS; SIG STRENGTH is one name. Lines above it
-    and lines with fewer values are left out. The text is latin-1.
+    The header is the first line that starts with ID and holds SSSS; SIG STRENGTH is one name. Lines above it, whatever
+    they hold, and lines with fewer values are left out. The text is latin-1.
     """
-    lines = spark.read.csv(path, encoding="ISO-8859-1", sep="\u0001", quote="", schema="line string", mode="PERMISSIVE")
-    header = lines.where(F.ltrim("line").startswith("ID") & F.contains("line", F.lit("SSSS"))).head()
+    lines = in_file_order(spark.read.csv(path, encoding="ISO-8859-1", sep="\u0001", quote="", schema="line string", mode="PERMISSIVE"))
+    header = lines.where(F.ltrim("line").startswith("ID") & F.contains("line", F.lit("SSSS"))).orderBy("row_idx").limit(1).head()
     if header is None:
         raise ValueError(f"{path} has no header line")
     names: list[str] = []
@@ -76,7 +103,7 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
         else:
             names.append(name)
     values = F.split(F.btrim("line"), r"\s+")
-    rows = lines.select(values.alias("v")).where((F.size("v") >= len(names)) & F.get("v", F.lit(0)).rlike(r"^[0-9]+$"))
+    rows = lines.where(F.col("row_idx") > header.row_idx).select(values.alias("v")).where(F.size("v") >= len(names))
     rows = rows.select(*[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(names)])
     number = lambda n: F.col(f"`{n}`").try_cast("double") if n in names else F.lit(None).cast("double")
     return rows.withColumns({"ch": number("CH").cast("int"), "time_s": number("SSSSSSSS.mmmuuun"), "amp": number("AMP"), "abs_energy": number("ABS-ENERGY")})
@@ -97,14 +124,28 @@ def read_model(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MODEL).json(path, multiLine=True).withColumn("clear_top_px", F.coalesce("clear_top_px", F.lit(6)))
 
 
-def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """path, height, width, channels and bytes (BGR) of images; a file that can't be decoded raises."""
+def literal_path(path: str) -> str:
+    """A path that a reader takes as it stands, though it holds signs of a pattern."""
+    return re.sub(r"([\\\[\]{}*?,])", r"\\\1", path)
+
+
+def read_images(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """path, height, width, channels and bytes (BGR) of images below a folder, or of the files listed; a file that can't be decoded raises."""
     image = F.col("image")
-    found = spark.read.format("image").option("recursiveFileLookup", True).load(root)
+    reader = spark.read.format("image")
+    found = reader.option("recursiveFileLookup", True).load(root) if isinstance(root, str) else reader.load([literal_path(p) for p in root])
     ok = F.when(image["mode"] >= 0, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not an image: "), image["origin"])).cast("boolean"))
     return found.where(ok).select(plain_path(image["origin"]).alias("path"), image["height"].alias("height"), image["width"].alias("width"), image["nChannels"].alias("channels"), image["data"].alias("data"))
 
 
+def state_folder(root: str, path: str = "path") -> Column:
+    """The folder directly below a root that holds a path, at any depth; null for files of the root itself."""
+    scheme = r"^(?:file:/+(?=/)|[A-Za-z][A-Za-z0-9+.-]*://[^/]*)"
+    top = re.sub(scheme, "", root).rstrip("/")
+    parts = F.split(F.substring(F.regexp_replace(path, scheme, ""), len(top) + 2, 1 << 30), "/")
+    return F.when(F.size(parts) > 1, F.get(parts, F.lit(0)))
+
+
 def states_of(images: DataFrame) -> DataFrame:
     """(state_label, state_voltage) of the folders that hold images, by voltage; labels without a number go."""
     from quillon.functions.scalar import parse_voltage

@@ -44,6 +44,28 @@ def test_case_and_synthesis(spark, case):
     assert spark.read.text(f"{out}/all/key_numbers").count() == 5
 
 
+def test_only_sampled_images_are_read(spark, case, monkeypatch):
+    """Names are chosen first: the segmenter sees each sampled image once, and a file that can't be decoded does no harm unless it is sampled."""
+    (case / "img" / "25" / "nested").mkdir()
+    (case / "img" / "25" / "25_0x[1].bmp").write_bytes(b"no picture")
+    for i in range(6):
+        (case / "img" / "25" / "nested" / f"z{{{i}}}.bmp").write_bytes(picture(range(30)))
+    calls = case / "calls"
+    calls.mkdir()
+
+    def watched(image):
+        import tempfile
+
+        tempfile.mkstemp(dir=calls)
+        return image[..., 0] < 100
+
+    monkeypatch.setattr("quillon.__main__.segmenter", lambda a, spark: watched)
+    main(["analyse-case", "--case", "5gs_22C", "--images", f"{case}/img", "--thermal", f"{case}/thermal.csv", "--thermal-input", f"{case}/volts.csv", "--hits", f"{case}/hits.txt", "--out", f"{case}/out", "--frames-per-state", "2"])
+    rows = spark.read.csv(f"{case}/out/5gs_22C_image_frame_metrics", header=True).collect()
+    assert sorted((r.state_label, r.frame_name) for r in rows) == [("25", "25_0.bmp"), ("25", "z{5}.bmp"), ("50 CHF", "50 CHF_0.bmp"), ("50 CHF", "50 CHF_2.bmp")]
+    assert len(list(calls.iterdir())) == 4
+
+
 def test_model_and_profile(spark, case):
     main(["fit-pixel-model", "--annotation-root", f"{case}/ann", "--images", f"{case}/img", "--out", f"{case}/model"])
     main(["profile", "--images", f"{case}/img", "--out", f"{case}/profile", "--model", f"{case}/model", "--bins", "8"])

@@ -1,13 +1,14 @@
 """States, thermal log and hits fused, with figures worked out by hand."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import scalar as S
 from quillon.operators import frames, fuse, synth
-from quillon.operators.range_join import in_ranges
+from quillon.operators.range_join import FANOUT, in_ranges, pieces
 
 LOG = [  # row, time, voltage, power, flux (W/m2), subcooling, p in, p out, two transfer coefficients, quality
     (0, 0.0, -25.0, 10.0, 100000.0, 20.0, 110.0, 108.0, 1000.0, 3000.0, -0.2),
@@ -92,3 +93,26 @@ def test_synthesis(spark):
     assert lines == ["15gs_20C", "  heat flux range: 7.50 to 8.00 W/cm2", "  vapor area fraction range: 0.100 to 0.124", lines[3], lines[4]] and lines[4] is None  # the last state has no vapour figure
     constant = spark.createDataFrame([(2.0,), (2.0,)], "m double")
     assert [r.m for r in synth.state_map(constant, ("m",)).collect()] == [0.0, 0.0]
+
+
+def test_ranges_have_few_pieces_however_long(spark):
+    """A year over stretches of a minute, among short ranges: all matches, few rows added."""
+    year = 365 * 86400.0
+    rng = random.Random(5)
+    ranges = [("year", 0.0, year), ("point", 100.0, 100.0), ("back", 9.0, 1.0), ("open", None, 1.0), ("nan", float("nan"), 1.0)] + [(f"r{i}", a, a + 10 ** rng.uniform(0, 7)) for i in range(60) for a in [rng.uniform(-1e6, year)]]
+    values = [rng.uniform(-1e6, year + 1e6) for _ in range(800)] + [0.0, year, 100.0, 60.0, -60.0, None, float("nan")]
+    windows = spark.createDataFrame(ranges, "label string, a double, b double")
+    cut = pieces(windows, "a", "b", 60.0)
+    held = {r.label: r["count"] for r in cut.groupBy("label").count().collect()}
+    assert held["year"] <= FANOUT + 1 and max(held.values()) <= FANOUT + 1 and set(held) == {"year", "point"} | {f"r{i}" for i in range(60)}
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    got = in_ranges(rows, F.col("v"), windows, "a", "b", 60.0)
+    assert got.columns == ["i", "v", "label", "a", "b"]
+    want = sorted((i, n) for i, v in enumerate(values) if v is not None for n, a, b in ranges if a is not None and a <= v <= b)
+    assert sorted((r.i, r.label) for r in got.collect()) == want and len(want) > 900
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert in_ranges(rows, F.col("v"), windows, "a", "b", 60.0).count() == len(want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert in_ranges(rows, F.col("v"), windows.limit(0), "a", "b", 60.0).count() == 0
