@@ -1,61 +1,5 @@
-"""Intermediate tables in the folder that all executors share (spark.checkpoint.dir)."""
+"""Intermediate tables in the folder that all executors share; see quillon.operators.scratch."""
 
-from __future__ import annotations
+from quillon.operators.scratch import Scratch, released, shared_folder
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests), a folder of our own, set for the session."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-_scopes: list[list[Scratch]] = []
-
-
-@contextmanager
-def released() -> Iterator[None]:
-    """Operators' tables that are left when the block ends are deleted; what reads them must have been written by then."""
-    _scopes.append([])
-    try:
-        yield
-    finally:
-        for scratch in _scopes.pop():
-            scratch.drop("")
-
-
-class Scratch:
-    """Tables written by one run of an operator.
-
-    A written table cuts the lineage: after the loss of an executor, tasks read the files again
-    instead of recomputing what led to them. ``drop`` frees a table that nothing reads any more. Results are
-    lazy and read the last tables; ``released`` frees those too.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        for scope in _scopes[-1:]:
-            scope.append(self)
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Scratch", "released", "shared_folder"]

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import languages, licenses, line_dedup, mixing, ngram_join, passages, pieces, toxicity
+from quillon.llm.scratch import Scratch
 
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, rate string, row int, n string, token int, n_windows string, kept_text int, score int"
@@ -304,11 +305,67 @@ def test_mixing(spark, corpus):
     assert [r.copies for r in alone] == [1, 1]
 
 
-def test_mixing_newton_and_rounding(spark):
-    """Newton's limit against the closed form; copies against the rates, class by class; many sources at once."""
-    rows = spark.createDataFrame([(f"s{i}", 10 * i, float(i * i)) for i in range(40)], "source string, source_size long, target double")
-    for r in mixing.balance(rows, 1e9).collect():
-        assert r.rate == (1.0 if not r.source_size else pytest.approx(r.target / r.source_size, rel=1e-9))
+def plain_balance(sizes, targets, goal, cap, penalty):
+    """Rates by source and class from Newton's method on all multipliers of the dual at once, in one dense system."""
+    import numpy as np
+
+    s, k = sizes.shape
+    z, price = np.zeros(s + k), penalty * np.maximum(goal, 1.0)
+
+    def at(z):
+        tilt = z[:s, None] + z[None, s:]
+        over = tilt >= np.log(cap)
+        rate = np.where(over, cap, np.exp(np.minimum(tilt, np.log(cap))))
+        paid = (sizes * np.where(over, cap * (tilt - np.log(cap)) + cap, rate)).sum() - targets @ z[:s] - goal @ z[s:] + price @ z[s:] ** 2 / 2
+        bends = np.where(over, 0, sizes * rate)
+        gradient = np.concatenate([(sizes * rate).sum(1) - targets, (sizes * rate).sum(0) - goal + price * z[s:]])
+        return paid, gradient, np.block([[np.diag(bends.sum(1) + 1e-9), bends], [bends.T, np.diag(bends.sum(0) + price)]]), rate
+
+    for _ in range(500):
+        paid, gradient, hessian, rate = at(z)
+        if np.abs(gradient).max() < 1e-9 * targets.sum():
+            break
+        step = -np.linalg.solve(hessian, gradient)
+        step *= min(1, 1 / np.abs(step).max())
+        while at(z + step)[0] > paid and np.abs(step).max() > 1e-12:
+            step /= 2
+        z = z + step
+    return rate
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixing_newton(spark, seed):
+    """The distributed steps against a dense solver, with sources that differ in what classes they hold, some of them near the cap."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(0, 1000, (9, 5)) * (rng.random((9, 5)) < 0.7)
+    sizes[:, 2] += 5
+    targets = sizes.sum(1) * rng.choice([0.2, 0.7, 1.3, 2.5, 2.9], 9)
+    goal = targets.sum() * sizes.sum(0) / sizes.sum()
+    rows = [(f"s{i}", int(n.sum()), [(c, float(x)) for c, x in enumerate(n) if x], float(t)) for i, (n, t) in enumerate(zip(sizes, targets))]
+    rows += [("none", 0, [(-1, 0.0)], 0.0), ("full", 10, [(1, 10.0)], 30.0), ("not", 10, [(3, 10.0)], 0.0)]
+    df = spark.createDataFrame(rows, "source string, source_size long, cells array<struct<cls: int, size: double>>, target double")
+    got = {r.source: r for r in mixing.balance(df, 3, Scratch(spark, "t")).collect()}
+    want = plain_balance(sizes.astype(float), targets, goal, 3.0, mixing.PENALTY)
+    for i in range(9):
+        assert np.allclose([x for x, n in zip(got[f"s{i}"].rates, sizes[i]) if n], [x for x, n in zip(want[i], sizes[i]) if n], rtol=1e-4, atol=1e-6)
+        assert np.dot(got[f"s{i}"].rates, sizes[i]) == pytest.approx(targets[i], rel=1e-9)
+    assert got["none"].rates == [1.0] * 5 and got["full"].rates == [3.0] * 5 and got["not"].rates == [0.0] * 5
+    even = lambda rates: np.abs((rates * sizes).sum(0) / targets.sum() - sizes.sum(0) / sizes.sum()).sum()
+    assert even(np.array([got[f"s{i}"].rates for i in range(9)])) < even((targets / sizes.sum(1))[:, None])
+
+
+def test_mixing_closed_form(spark):
+    """With documents of one size class a source's rate is target / size."""
+    rows = [(f"s{i}", 10 * i, [(0, 10.0 * i)], float(i * i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "source string, source_size long, cells array<struct<cls: int, size: double>>, target double")
+    for r in mixing.balance(df, 1e9, Scratch(spark, "t")).collect():
+        assert r.rates[0] == (1.0 if not r.source_size else pytest.approx(r.target / r.source_size, rel=1e-9))
+
+
+def test_mixing_rounding(spark):
+    """Copies against the rates, class by class; many sources at once."""
     rng = random.Random(12)
     docs = [(i, " ".join(["w"] * rng.choice([1, 3, 10, 40, 200])), f"s{rng.choice(range(25)):02}") for i in range(6000)]
     got = mixing.copies(table(spark, docs)).collect()
@@ -316,11 +373,14 @@ def test_mixing_newton_and_rounding(spark):
     for r in got:
         by[r.source].append(r)
     for source, own in by.items():
-        rate, size = own[0].rate, own[0].source_size
-        assert rate == pytest.approx(min(3.0, own[0].target / size), rel=1e-9)
+        assert sum(r.rate * r.size for r in own) == pytest.approx(own[0].target, rel=1e-9)
         assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 0.01 * own[0].target + 2
         for r in own:
-            assert r.copies <= 3 and abs(r.copies - rate) < 2  # what a larger size class can't round passes to the next one
+            assert r.copies <= 3 and abs(r.copies - r.rate) < 2  # what a larger size class can't round passes to the next one
+    sized = table(spark, docs).withColumn("words", mixing.n_words(F.col("text")))
+    assert {r.doc_id: r.copies for r in mixing.copies(sized.drop("text"), sizes="words").collect()} == {r.doc_id: r.copies for r in got}
+    with pytest.raises(ValueError):
+        mixing.copies(sized, cap=2.5)
 
 
 def test_pieces(spark, corpus):
