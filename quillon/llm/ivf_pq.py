@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -106,15 +107,16 @@ class Index:
             own += 0.5 * (r * r).sum(1) + (r * middle[:, p]).sum(1)
         return home, code, own
 
-    def probe(self, q: np.ndarray) -> np.ndarray:
+    def probe(self, q: np.ndarray, every: bool = False) -> np.ndarray:
+        """The lists nearest to each query, or all."""
         off = self._off(q)
-        return np.argpartition(off, self.probes - 1, axis=1)[:, : self.probes] if self.probes < len(self.centroids) else np.tile(np.arange(len(self.centroids)), (len(q), 1))
+        return np.argpartition(off, self.probes - 1, axis=1)[:, : self.probes] if self.probes < len(self.centroids) and not every else np.tile(np.arange(len(self.centroids)), (len(q), 1))
 
-    def search(self, q_ids: np.ndarray, q: np.ndarray, lists: np.ndarray, ids: np.ndarray, codes: np.ndarray, own: np.ndarray, refine: int) -> tuple[np.ndarray, ...]:
+    def search(self, q_ids: np.ndarray, q: np.ndarray, lists: np.ndarray, ids: np.ndarray, codes: np.ndarray, own: np.ndarray, refine: int, every: bool = False) -> tuple[np.ndarray, ...]:
         """Of each query the ``refine`` nearest rows (in order of their lists) in lists it probes: its place, theirs, and asymmetric distances."""
         off = self._off(q)
         probed = np.zeros((len(q), len(self.centroids)), bool)
-        np.put_along_axis(probed, self.probe(q), True, 1)
+        np.put_along_axis(probed, self.probe(q, every), True, 1)
         tables = [q[:, p].astype(F4) @ book.T for p, book in zip(self.parts, self.books)]
         begin = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
         found: list[tuple[np.ndarray, ...]] = []
@@ -153,35 +155,42 @@ def groups(sizes: dict[int, int], most: int) -> tuple[np.ndarray, np.ndarray, in
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, settings: Settings | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): of each query the k nearest rows found, by Euclidean distance, ties to the smaller vec_id.
+    """(query_id, rank, vec_id, score): of each query the k nearest rows found (all candidates, if fewer), by Euclidean distance, ties to the smaller vec_id.
 
     A row with the query's own vec_id is no candidate. Vectors that are null, empty or zero or hold null or
-    non-finite components take no part, nor do those of another length than most of the sample's. Of queries that
-    share a vec_id the one with the lowest hash counts; rows that share one count each. A table without usable vectors gives no rows. Other columns are not read.
+    non-finite components take no part. Vectors are near to those of their own length alone; each length has an index of its own. Of queries that
+    share a vec_id the one with the lowest hash counts; rows that share one count each, also those that repeat a vector. A table without usable vectors gives no rows. Other columns are not read.
     """
     s = settings or Settings()
-    spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "ivf-pq")
     rows, queries = V.hashed(rows, vec_id, embedding).where("size(x) > 0"), V.one_each(V.hashed(queries, vec_id, embedding))
+    lengths = rows.groupBy(F.size("x").alias("d")).count().collect()
+    rows, many = V.once(rows)
+    found = [_nearest_of_length(rows.where(F.size("x") == r.d), queries.where(F.size("x") == r.d), int(r["count"]), many, k, s) for r in sorted(lengths)]
+    none = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionAll, found) if found else none
+
 
-    total = rows.count()
+def _nearest_of_length(rows: DataFrame, queries: DataFrame, total: int, many: DataFrame | None, k: int, s: Settings) -> DataFrame:
+    """nearest() among vectors of one length, each (id, x, h1, h2) once; ``many`` tells which count more than once."""
+    spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "ivf-pq")
     wanted = int(min(s.sample, s.rows_a_list * max(64, min(s.lists, total**0.5)) + 64 * s.codes))
     # Rows whose hash is below a threshold, so that no task sorts or merges the samples of all others; the limit only guards the driver.
     share = min(1.0, wanted / max(1, total))
     sampled = rows.where(F.pmod(F.xxhash64("id", "h1"), F.lit(1 << 30)) < int(share * (1 << 30))).select("id", "x").limit(int(1.2 * wanted) + 64)
-    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for b in sampled.toArrow().to_batches():
-        for d, (ids, x, _) in V.matrices(b, "id", "x").items():
-            found.setdefault(d, []).append((ids, x.astype(F4)))
-    if not any(len(x) for parts in found.values() for _, x in parts):
+    drawn = sampled.toArrow()
+    if not sum(len(x) for b in drawn.to_batches() for _, x, _ in V.matrices(b, "id", "x").values()):
+        # None of the sample can be used: the others are few in proportion, yet take part.
+        drawn = rows.select("id", "x").where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("x", lambda v: v != 0)).limit(wanted).toArrow()
+    found = [(ids, x.astype(F4)) for b in drawn.to_batches() for ids, x, _ in V.matrices(b, "id", "x").values() if len(ids)]
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, parts = max(found.items(), key=lambda f: sum(len(x) for _, x in f[1]))
-    ids, sample = (np.concatenate(z) for z in zip(*parts))
+    ids, sample = (np.concatenate(z) for z in zip(*found))
     index = spark.sparkContext.broadcast(Index(sample[np.argsort(ids, kind="stable")], total, s))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, (ids, x, place) in V.matrices(batch, "id", "x").items():
-                if d == dim and len(ids):
+            for ids, x, place in V.matrices(batch, "id", "x").values():
+                if len(ids):
                     home, code, own = index.value.encode(x)
                     h1, h2 = (batch.column(c).take(pa.array(place)) for c in ("h1", "h2"))
                     yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(ids), h1, h2, pa.array(own), V.binary(code)], ["list", "id", "h1", "h2", "own", "data"])
@@ -196,13 +205,13 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, settings: Settings
     at = lambda a: F.element_at(F.lit(a.tolist()), F.col("list") + 1)
     data = listed.withColumn("part", at(first) + F.pmod(F.xxhash64("id", "h1"), at(number)))
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probe(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
         first, number, n_groups = layout.value
         for batch in batches:
-            for d, (ids, x, _) in V.matrices(batch, "id", "x").items():
-                for i in range(0, len(ids) if d == dim else 0, 256):
+            for ids, x, _ in V.matrices(batch, "id", "x").values():
+                for i in range(0, len(ids), 256):
                     q = x[i : i + 256].astype(F4)
-                    lists = index.value.probe(q)
+                    lists = index.value.probe(q, every)
                     which = np.repeat(np.arange(len(q)), lists.shape[1])
                     lists = lists.ravel()
                     known = lists < len(first)
@@ -214,36 +223,50 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, settings: Settings
                     yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(ids[i : i + 256][which]), V.binary(q[which])], ["part", "id", "data"])
 
     none = {"list": "int", "h1": "long", "h2": "long", "own": "float"}
-    sent = queries.mapInArrow(probe, "part long, id long, data binary").select("*", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
 
     def load(held: list[pa.RecordBatch]) -> tuple:
         whole = pa.Table.from_batches(held).sort_by([("list", "ascending"), ("id", "ascending")]).combine_chunks()
         return (*(whole[c].to_numpy() for c in ("list", "id", "h1", "h2", "own")), V.matrix(whole["data"].combine_chunks(), np.uint8))
 
-    def search(part: tuple, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def search(part: tuple, asked: pa.RecordBatch, every: bool) -> Iterator[pa.RecordBatch]:
         lists, ids, h1, h2, own, codes = part
         for i in range(0, asked.num_rows, 256):
             mine = asked.slice(i, 256)
             q_ids = mine.column("id").to_numpy()
-            q, row, d = index.value.search(q_ids, V.matrix(mine.column("data"), F4), lists, ids, codes, own, s.refine)
+            q, row, d = index.value.search(q_ids, V.matrix(mine.column("data"), F4), lists, ids, codes, own, s.refine, every)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q_ids[q], ids[row], h1[row], h2[row], d)], ["query_id", "id", "h1", "h2", "d"])
 
-    near = V.past(data, sent, n_groups, load, search, "query_id long, id long, h1 long, h2 long, d float")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))
-    near = scratch.table(near.withColumn("place", place).where(F.col("place") <= s.refine).drop("place", "d").distinct(), "near")
+
+    def candidates(asked: DataFrame, every: bool) -> DataFrame:
+        """(query_id, id, h1, h2) of the refine nearest codes in the lists probed, or in every list."""
+        sent = asked.mapInArrow(lambda b: probe(b, every), "part long, id long, data binary").select("*", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+        near = V.past(data, sent, n_groups, load, lambda part, b: search(part, b, every), "query_id long, id long, h1 long, h2 long, d float")
+        near = near.withColumn("place", place).where(F.col("place") <= s.refine).drop("place", "d").distinct()
+        return scratch.table(near, "near-of-all" if every else "near")
+
+    near = candidates(queries, False)
+    # Queries that met fewer than k rows in the lists they probe go past all lists.
+    short = queries.join(near.groupBy("query_id").count().where(F.col("count") >= k).withColumnRenamed("query_id", "id"), "id", "left_anti")
+    if not short.isEmpty():
+        short = scratch.table(short, "short")
+        near = near.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(candidates(short, True))
+    scratch.drop("index")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, x, place in V.matrices(batch, "id", "x").values():
                 own = batch.take(pa.array(place))
-                q = V.matrices(own, "id", "q")[dim][1] if len(ids) else x
-                score = np.sqrt(((q - x) ** 2).sum(1))
-                yield pa.RecordBatch.from_arrays([own.column("query_id"), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
-
-    exact = rows.join(near, ["id", "h1", "h2"]).join(queries.select(F.col("id").alias("query_id"), F.col("x").alias("q")), "query_id")
-    scored = exact.select("query_id", "id", "x", "q").mapInArrow(rerank, "query_id long, vec_id long, score double")
+                if len(ids):
+                    ((_, q, _),) = V.matrices(own, "id", "q").values()
+                    score = np.sqrt(((q - x) ** 2).sum(1))
+                    yield pa.RecordBatch.from_arrays([own.column("query_id"), pa.array(ids), pa.array(score), own.column("copies")], ["query_id", "vec_id", "score", "copies"])
+
+    exact = rows.join(V.repeated(near, many, k), ["id", "h1", "h2"]).join(queries.select(F.col("id").alias("query_id"), F.col("x").alias("q")), "query_id")
+    scored = exact.select("query_id", "id", "x", "q", "copies").mapInArrow(rerank, "query_id long, vec_id long, score double, copies long")
+    each = scored if many is None else scored.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).alias("rank")
-    return scored.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
+    return each.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
 
 
 def op1_ivf_pq(spark, sf_dir: str) -> DataFrame:

@@ -225,7 +225,7 @@ _codecs: dict[int, Codec] = {}
 def _codec(shared) -> Codec:
     """The worker's automaton of a broadcast vocabulary."""
     v = shared.value
-    key = hash((len(v.pieces), v.pieces[-1], v.kinds, tuple(v.scores[:300])))
+    key = hash((tuple(v.pieces), v.kinds, tuple(v.scores)))
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(v)

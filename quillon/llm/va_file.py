@@ -100,7 +100,7 @@ def _scores(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.Reco
             q = V.matrix(own.column("q"), float) if len(place) else np.zeros((0, y.shape[1]))
             large = np.abs(q).max(initial=0) * np.abs(y).max(initial=0) * y.shape[1] * 2 >= _EXACT
             score = [min(max(sum(int(a) * int(b) for a, b in zip(*z)), -(2**63)), 2**63 - 1) for z in zip(q, y)] if large else np.einsum("ij,ij->i", q, y).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([own.column("query_id"), pa.array(ids), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([own.column("query_id"), pa.array(ids), pa.array(score, pa.int64()), own.column("copies")], ["query_id", "vec_id", "score", "copies"])
 
 
 def candidates(rows: DataFrame, asked: DataFrame, k: int, scale: float, scratch: Scratch) -> DataFrame:
@@ -137,10 +137,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024,
     A row with the query's own vec_id is no candidate. Vectors that are null, empty or hold null or non-finite
     components take no part, nor do those of another length than the query's. Scores beyond the range of long
     come to its ends, and tie there. Of queries that share a vec_id the one with the lowest hash counts; rows that
-    share one count each. Empty tables give no rows. Other columns are not read.
+    share one count each, also those that repeat a vector. Empty tables give no rows. Other columns are not read.
     """
     scratch = Scratch(rows.sparkSession, "va-file")
     rows, queries = V.hashed(rows, vec_id, embedding), V.one_each(V.hashed(queries, vec_id, embedding))
+    rows, many = V.once(rows)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,16 +153,27 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024,
 
     def read(pairs: DataFrame, name: str) -> DataFrame:
         """The exact scores of candidates."""
-        near = rows.join(pairs.select("query_id", "id", "h1", "h2"), ["id", "h1", "h2"]).join(asked.select(F.col("id").alias("query_id"), "q"), "query_id")
-        return scratch.table(near.select("query_id", "id", "x", "q").mapInArrow(lambda b: _scores(b, scale), "query_id long, vec_id long, score long"), name)
-
-    first = read(order.where(F.col("place") <= k), "first")
-    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
-    more = order.where(F.col("place") > k).join(kth, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("kth")))
-    out = first.unionAll(read(more, "more"))
+        near = rows.join(V.repeated(pairs.select("query_id", "id", "h1", "h2"), many, k), ["id", "h1", "h2"]).join(asked.select(F.col("id").alias("query_id"), "q"), "query_id")
+        return scratch.table(near.select("query_id", "id", "x", "q", "copies").mapInArrow(lambda b: _scores(b, scale), "query_id long, vec_id long, score long, copies long"), name)
+
+    # In the order of the bounds, twice as many each time; a query is done when no bound that is left reaches its k-th score.
+    out, done, size = None, 0, k
+    while True:
+        due = order.where((F.col("place") > done) & (F.col("place") <= done + size))
+        if out is not None:
+            top = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+            kth = out.withColumn("top", top).where(F.col("top") <= k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
+            held = order.where(F.col("place") > done).join(kth, "query_id", "left").where((F.coalesce("n", F.lit(0)) < k) | (F.col("upper") >= F.col("kth")))
+            if held.isEmpty():
+                break
+            due = held.where(F.col("place") <= done + size)
+        more = read(due, f"read-{done}")
+        out = more if out is None else out.unionAll(more)
+        done, size = done + size, 2 * size
+    each = out if many is None else out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     scratch.drop("candidates", "queries")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank")
-    return out.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
+    return each.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
 
 
 def op10_va_file(spark, sf_dir: str) -> DataFrame:

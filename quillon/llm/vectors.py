@@ -68,6 +68,19 @@ def one_each(queries: DataFrame) -> DataFrame:
     return queries.groupBy("id").agg(F.min_by(F.struct("x", "h1", "h2"), F.struct("h1", "h2")).alias("r")).select("id", "r.x", "r.h1", "r.h2")
 
 
+def once(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows (id, x, h1, h2), those that repeat both id and vector once, and (id, h1, h2, copies) of these; None if there are none."""
+    many = rows.groupBy("id", "h1", "h2").agg(F.count("*").alias("copies")).where("copies > 1")
+    return (rows, None) if many.isEmpty() else (rows.dropDuplicates(["id", "h1", "h2"]), many)
+
+
+def repeated(found: DataFrame, many: DataFrame | None, k: int) -> DataFrame:
+    """found (id, h1, h2 and more) with ``copies``: how often a row counts, k at most, as no result has more."""
+    if many is None:
+        return found.withColumn("copies", F.lit(1).cast("long"))
+    return found.join(many, ["id", "h1", "h2"], "left").withColumn("copies", F.least(F.coalesce("copies", F.lit(1)), F.lit(k)).cast("long"))
+
+
 def representatives(rows: DataFrame, k: int) -> DataFrame:
     """Of rows with equal vectors those of the k + 1 smallest ids: no search for k rows beside the query's own needs more of them, however many there are.
 

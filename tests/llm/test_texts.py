@@ -425,6 +425,14 @@ def test_pieces(spark, corpus):
     assert pieces.encode(table(spark, corpus[:0])).count() == 0
 
 
+def test_codecs_of_models_alike(spark):
+    """Two models of one size, last piece and scores are two models, in a reused worker too."""
+    made = [pieces.Vocabulary(["<unk>", "\u2581", *letters, "z"], [0.0, -1.0, *[-float(2 + i) for i in range(len(letters))], -50.0], "un" + "n" * len(letters) + "n") for letters in ("abcd", "abce")]
+    one, two = (type("Shared", (), {"value": v})() for v in made)
+    a, b = pieces._codec(one), pieces._codec(two)
+    assert a is not b and pieces._codec(two) is b and pieces._codec(type("Shared", (), {"value": made[1]})()) is b
+
+
 def test_license_scan(spark, corpus):
     exact = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     rows = [*corpus, (301, "Released under the MIT  License. And the MIT-License, gnu GENERAL public\nlicense; mitt license"), (302, "some words. Relesed under the MIT License."), (303, "Licensd under the Apache Licence, Version 2.0"),

@@ -121,3 +121,59 @@ def test_ivf_pq(spark):
     assert ivf_pq.nearest(df.limit(0), df).count() == 0
     few = table(spark, rows[130:134])
     assert ivf_pq.nearest(few, few).count() == 4 * 3
+
+
+def plain_nearest(rows, asked, k=10):
+    want = {}
+    for q, a in asked:
+        near = sorted((math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b))), i) for i, b in rows if i != q and len(b) == len(a))
+        want[q] = near[:k]
+    return want
+
+
+def found(rows):
+    by = {}
+    for r in sorted(rows, key=lambda r: r.rank):
+        by.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    return by
+
+
+def test_ivf_pq_of_several_lengths(spark):
+    """Each length has an index: no vector is left out for being of a rarer one."""
+    rng = np.random.default_rng(6)
+    single = lambda d: rng.standard_normal(d).astype(np.float32).astype(float).tolist()
+    rows = [(i, single(8)) for i in range(300)] + [(i, single(4)) for i in range(1000, 1200)] + [(5000, single(3)), (5001, single(3)), (6000, single(5))]
+    df = table(spark, rows)
+    got = found(ivf_pq.nearest(df, df.where("vec_id % 100 = 0")).collect())
+    want = plain_nearest(rows, [r for r in rows if r[0] % 100 == 0])
+    assert {q: len(x) for q, x in got.items()} == {q: len(x) for q, x in want.items() if x}
+    hit = sum(len({i for _, i in got[q]} & {i for _, i in x}) for q, x in want.items() if x)
+    assert hit >= 0.9 * sum(map(len, want.values())) and len(got[1100]) == 10 and [i for _, i in got[5000]] == [5001]
+
+
+def test_ivf_pq_finds_k_where_lists_are_short(spark):
+    """Queries whose probed lists hold fewer than k rows go past all."""
+    rng = np.random.default_rng(7)
+    rows = [(i, (1000.0 * (i // 3) + rng.standard_normal(6)).astype(np.float32).astype(float).tolist()) for i in range(90)]
+    df = table(spark, rows)
+    settings = ivf_pq.Settings(lists=30, sample=90, recall=0.1)
+    got = found(ivf_pq.nearest(df, df, settings=settings).collect())
+    assert all(len(got[q]) == 10 for q in range(90))
+    want = plain_nearest(rows, rows)
+    assert all({i for _, i in got[q][:2]} == {i for _, i in want[q][:2]} for q in range(90))
+
+
+def test_rows_that_repeat_id_and_vector(spark):
+    """Each counts, though one is kept."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(5).astype(np.float32).astype(float).tolist()) for i in range(40)]
+    rows += [rows[3]] * 25 + [rows[4]] * 2 + [rows[0]] * 3
+    df = table(spark, rows)
+    got = found(ivf_pq.nearest(df, df.where("vec_id % 10 = 0"), settings=ivf_pq.Settings(refine=40)).collect())
+    want = plain_nearest(rows, [rows[i] for i in (0, 10, 20, 30)])
+    assert {q: [i for _, i in x] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}
+    cell = lambda v: [math.floor(1024 * x) for x in v]
+    scores = found(va_file.top_k(df, df.where("vec_id % 10 = 0")).collect())
+    for q in (0, 10, 20, 30):
+        best = sorted((-sum(a * b for a, b in zip(cell(rows[q][1]), cell(v))), i) for i, v in rows if i != q)[:10]
+        assert scores[q] == [(-s, i) for s, i in best]
