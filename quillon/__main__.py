@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import scalar as S
-from quillon.operators import annotate, frames, fuse, imaging, pixelmodel, synth
+from quillon.operators import annotate, frames, fuse, imaging, pixelmodel, runs, synth
 from quillon.operators.scratch import Scratch
 from quillon.sources import tables
+from quillon.sources.copies import copy_files
 
 
 def region(text: str) -> tuple[int, ...]:
@@ -56,8 +57,11 @@ def list_images(a, spark) -> None:
 
 
 def sample_frames(a, spark) -> None:
-    listed = fuse.ordinal(tables.list_images(spark, a.root), tables.path_order())
-    listed.where(F.col("_i").isin(*seeded_positions(listed.count(), a.count, a.seed))).select("path").coalesce(1).write.mode("overwrite").text(a.out)
+    picked = frames.seeded_sample(tables.list_images(spark, a.root).select("path"), "path", a.count, a.seed)
+    picked = Scratch(spark, "frames").table(picked, "picked")
+    picked.orderBy(tables.path_order()).coalesce(1).write.mode("overwrite").text(a.out)
+    if a.copies:
+        copy_files(picked, a.root, a.copies)
 
 
 def to_coco(a, spark) -> None:
@@ -65,17 +69,33 @@ def to_coco(a, spark) -> None:
     docs = tables.read_annotations(spark, [r.path for r in listed.collect()])
     split = annotate.image_ids(annotate.holdout(docs, [tables.path_order("json_path")], a.holdout_every), [tables.path_order("json_path")])
     images = split.select("split", "image_id", F.col("image_path").alias("file_name"), *[F.lit(v).alias(n) if a.roi else F.col(c).alias(n) for n, c, v in (("width", "imageWidth", a.roi and a.roi[2]), ("height", "imageHeight", a.roi and a.roi[3]))])
-    annotate.coco_documents(images, annotate.annotation_ids(annotate.shapes(split, a.roi))).write.mode("overwrite").partitionBy("split").text(a.out)
+    annotate.write_documents(images, annotate.annotation_ids(annotate.shapes(split, a.roi)), a.out)
 
 
-def fit_pixels(a, spark) -> None:
+def annotated(a, spark) -> tuple[DataFrame, DataFrame]:
+    """Annotation documents (json_path, image_path, name, shapes), and the images that they name (path, name, height, width, channels, data)."""
     docs = tables.read_annotations(spark, [r.path for r in tables.list_annotations(spark, a.annotation_root).collect()])
-    name = F.element_at(F.split("image_path", "/"), -1)
-    shapes = docs.select(name.alias("name"), F.explode("shapes").alias("s")).where(S.canonical_label(F.col("s.label")).isin(*S.SHAPE_LABELS) & (F.size("s.points") >= 3))
+    docs = docs.withColumn("name", F.element_at(F.split("image_path", "/"), -1))
     images = tables.read_images(spark, a.images).withColumn("name", F.element_at(F.split("path", "/"), -1))
-    known = images.join(docs.select(name.alias("name")).distinct(), "name", "left_semi")
-    x0, y0, w, h = a.roi or (0, 0, None, None)
-    inside = inside_pixels(known.join(shapes.groupBy("name").agg(F.collect_list("s.points").alias("polygons")), "name", "left"), (x0, y0, w, h))
+    return docs, images.join(docs.select("name").distinct(), "name", "left_semi")
+
+
+def annotated_runs(docs: DataFrame, images: DataFrame, roi: tuple | None) -> DataFrame:
+    """The runs of what annotations cover of each image (path), relative to the region if there is one."""
+    shapes = docs.select("name", F.explode("shapes").alias("s")).where(S.canonical_label(F.col("s.label")).isin(*S.SHAPE_LABELS) & (F.size("s.points") >= 3))
+    points = F.transform("s.points", lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+    covered = runs.polygon_runs(shapes.select("name", points.alias("points")).join(images.select("path", "name", "height", "width"), "name"), ["path"], F.col("width"), F.col("height"))
+    if not roi:
+        return covered
+    x, y, w, h = roi
+    inside = covered.where(F.col("y").between(y, y + h - 1)).select("path", F.col("y") - y, F.greatest(F.col("x0") - x, F.lit(0)), F.least(F.col("x1") - x, F.lit(w - 1)))
+    return inside.toDF("path", "y", "x0", "x1").where("x0 <= x1")
+
+
+def fit_pixels(a, spark) -> None:
+    docs, known = annotated(a, spark)
+    wide = known.select("path", F.lit(a.roi[2]).alias("w") if a.roi else F.col("width").alias("w"))
+    inside = annotated_runs(docs, known, a.roi).join(wide, "path").select("path", F.explode(F.sequence(F.col("y").cast("long") * F.col("w") + F.col("x0"), F.col("y").cast("long") * F.col("w") + F.col("x1"))).alias("pixel"), F.lit(True).alias("foreground"))
     pixels = imaging.pixel_rows(known, a.roi).join(inside, ["path", "pixel"], "left").withColumn("foreground", F.coalesce("foreground", F.lit(False)))
     number = max(1, known.count())
     model = pixelmodel.fit(pixelmodel.capped(pixels, "path", "foreground", a.max_pixels // number, a.seed))
@@ -84,23 +104,27 @@ def fit_pixels(a, spark) -> None:
     tables.write_model(model.withColumns({"feature_names": names, "threshold": F.lit(a.threshold), "roi": roi, "min_area_px": F.lit(a.min_area_px)}), a.out)
 
 
-def inside_pixels(images: DataFrame, roi: tuple) -> DataFrame:
-    """(path, pixel, foreground) of the pixels of a region that a polygon covers."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
+def report(a, spark) -> None:
+    """Overlap of predicted with annotated masks, image by image, with the split each is in, and its summary by split."""
+    docs, known = annotated(a, spark)
+    found = segmenter(a, spark)
+    target = annotated_runs(docs, known, found.roi)
+    shared = runs.overlap(imaging.mask_runs(known, found), target, ["path"]).withColumn("iou", F.col("both") / (F.col("a") + F.col("b") - F.col("both")))
+    placed = annotate.holdout_of_existing(docs.select("json_path", "image_path", "name"), known.select("name"), "name", [tables.path_order("json_path")], a.holdout_every)
+    each = placed.join(known.select("name", "path"), "name").join(shared.select("path", "iou"), "path", "left").withColumn("iou", F.coalesce("iou", F.lit(1.0)))
+    each = Scratch(spark, "report").table(each.select("split", "ordinal", "json_path", "image_path", "iou"), "iou")
+    tables.write_csv(each.orderBy("split", "ordinal").drop("ordinal"), f"{a.out}/iou")
+    tables.write_csv(pixelmodel.iou_summary(each).orderBy("split"), f"{a.out}/summary")
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                mask = np.zeros((r["height"], r["width"]), bool)
-                for p in r["polygons"] or []:
-                    mask |= imaging.polygon_mask([tuple(q[:2]) for q in p], *mask.shape)
-                x, y, w, h = roi
-                at = np.flatnonzero(mask[y : y + h if h else None, x : x + w if w else None])
-                yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(np.ones(len(at), bool))], ["path", "pixel", "foreground"])
 
-    return images.select("path", "height", "width", "polygons").mapInArrow(run, "path string, pixel long, foreground boolean")
+def predict(a, spark) -> None:
+    """Masks of a folder's images as runs (Parquet), and their metrics (CSV)."""
+    listed = tables.list_images(spark, a.images)
+    paths = [r.path for r in listed.limit(a.limit).collect()] if a.limit is not None else a.images
+    found, images = segmenter(a, spark), tables.read_images(spark, paths)
+    imaging.mask_runs(images, found).write.mode("overwrite").parquet(f"{a.out}/masks")
+    metrics = frames.mask_metrics(imaging.column_counts(images, found)).drop("col_counts")
+    tables.write_csv(metrics.orderBy(tables.path_order()), f"{a.out}/metrics")
 
 
 def profile(a, spark) -> None:
@@ -143,9 +167,11 @@ def parser() -> argparse.ArgumentParser:
 
     model = (("--model", str, None), ("--roi", region, None))
     command("list-images", list_images, ("--root", str, ...), ("--limit", int, 1000))
-    command("sample-frames", sample_frames, ("--root", str, ...), ("--out", str, ...), ("--count", int, 100), ("--seed", int, 7))
+    command("sample-frames", sample_frames, ("--root", str, ...), ("--out", str, ...), ("--count", int, 100), ("--seed", int, 7), ("--copies", str, None))
     command("labels-to-coco", to_coco, ("--annotation-root", list, ...), ("--out", str, ...), ("--holdout-every", int, 5), ("--roi", region, None))
     command("fit-pixel-model", fit_pixels, ("--annotation-root", list, ...), ("--images", str, ...), ("--out", str, ...), ("--roi", region, None), ("--threshold", float, 0.5), ("--min-area-px", int, 20), ("--max-pixels", int, 300_000), ("--seed", int, 7))
+    command("iou-report", report, ("--annotation-root", list, ...), ("--images", str, ...), ("--out", str, ...), *model, ("--holdout-every", int, 5))
+    command("predict", predict, ("--images", str, ...), ("--out", str, ...), *model, ("--limit", int, None))
     command("profile", profile, ("--images", str, ...), ("--out", str, ...), *model, ("--bins", int, 64), ("--pixel-size-mm", float, None))
     command("analyse-case", analyse, ("--case", str, ...), ("--images", str, ...), ("--thermal", str, ...), ("--thermal-input", str, ...), ("--hits", str, ...), ("--out", str, ...), *model, ("--frames-per-state", int, 12), ("--voltage-tolerance", float, 0.75))
     command("synthesise", synthesise, ("--summary", list, ...), ("--out", str, ...))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +79,35 @@ def coco_documents(images: DataFrame, annotations: DataFrame) -> DataFrame:
         F.coalesce("annotations", none).alias("annotations"), F.array(F.struct(F.lit(1).alias("id"), F.lit("bubble").alias("name"), F.lit("bubble").alias("supercategory"))).alias("categories"),
     )
     return pictures.join(marks, "split", "left").select("split", F.to_json(document).alias("document"))
+
+
+def document_parts(images: DataFrame, annotations: DataFrame) -> DataFrame:
+    """(split, part, id, text): the documents of coco_documents in pieces, which by part and id make one of a split when put together.
+
+    No piece holds more than one image or shape; each but the first of its list, which has id 1, begins with a comma.
+    """
+    splits = images.select("split").distinct()
+    info = F.struct(F.lit("Annotated shapes").alias("description"), F.lit("0.1.0").alias("version"))
+    kinds = F.array(F.struct(F.lit(1).alias("id"), F.lit("bubble").alias("name"), F.lit("bubble").alias("supercategory")))
+    fixed = lambda part, *text: splits.select("split", F.lit(part).alias("part"), F.lit(0).cast("long").alias("id"), F.concat(*text).alias("text"))
+    listed = lambda df, part, item: df.select("split", F.lit(part).alias("part"), F.col("id").cast("long").alias("id"), F.concat(F.when(F.col("id") > 1, ",").otherwise(""), F.to_json(item)).alias("text"))
+    pictures = images.select("split", F.col("image_id").alias("id"), "file_name", "width", "height")
+    marks = F.struct("id", "image_id", F.lit(1).alias("category_id"), "segmentation", "bbox", "area", F.lit(0).alias("iscrowd"))
+    pieces = [
+        fixed(0, F.lit('{"info":'), F.to_json(info), F.lit(',"licenses":[],"images":[')),
+        listed(pictures, 1, F.struct("id", "file_name", "width", "height")),
+        fixed(2, F.lit('],"annotations":[')),
+        listed(annotations.join(splits, "split", "left_semi"), 3, marks),
+        fixed(4, F.lit('],"categories":'), F.to_json(kinds), F.lit("}")),
+    ]
+    return reduce(DataFrame.unionAll, pieces)
+
+
+def write_documents(images: DataFrame, annotations: DataFrame, path: str) -> None:
+    """The documents as files, a folder split=NAME for each: its files, one after the other by name, are the document.
+
+    Pieces are dealt by ranges of their order, so that a document may fill any number of tasks; Spark's commit
+    makes the folder whole or not at all.
+    """
+    ordered = document_parts(images, annotations).repartitionByRange("split", "part", "id").sortWithinPartitions("split", "part", "id")
+    ordered.select("split", "text").write.mode("overwrite").option("lineSep", " ").partitionBy("split").text(path)

@@ -49,10 +49,32 @@ def profile(frames: DataFrame, bins: int = 64, pixel_size_mm: float | None = Non
     return out.drop("_edges", "height", "width", "col_counts")
 
 
+#: Places of a bitmap.
+BLOCK = 1 << 15
+
+
+def mask_bitmaps(instances: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, block, bits): the places x >= 0 that any instance covers, as bitmaps of BLOCK places; a row a frame and block leaves a task."""
+    covered = instances.where("covered and x >= 0").select(*keys, F.floor(F.col("x") / BLOCK).alias("block"), (F.col("x") % BLOCK).cast("long").alias("_bit"))
+    return covered.groupBy(*keys, "block").agg(F.bitmap_construct_agg("_bit").alias("bits"))
+
+
+def united(bitmaps: DataFrame, keys: list[str]) -> DataFrame:
+    """Bitmaps (keys, block, bits) that share keys and block as one."""
+    return bitmaps.groupBy(*keys, "block").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def mask_areas(bitmaps: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, area): the number of covered places."""
+    return bitmaps.groupBy(*keys).agg(F.sum(F.bitmap_count("bits")).alias("area"))
+
+
 def union_masks(instances: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, x, mask) of every frame: whether any instance covers the place; frames without instances are empty."""
-    covered = instances.groupBy(*keys, "x").agg(F.bool_or("covered").alias("mask"))
-    return frames.join(covered, [*keys, "x"], "left").withColumn("mask", F.coalesce("mask", F.lit(False)))
+    places = frames.select(*keys, "x", F.floor(F.col("x") / BLOCK).alias("block"))
+    joined = places.join(mask_bitmaps(instances, keys), [*keys, "block"], "left")
+    byte = F.conv(F.hex(F.substring("bits", (F.col("x") % BLOCK / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    return joined.select(*keys, "x", (F.coalesce(byte, F.lit(0)).bitwiseAND(F.pow(F.lit(2), F.col("x") % 8).cast("int")) > 0).alias("mask"))
 
 
 def even_positions(n: Column, count: int) -> Column:

@@ -228,19 +228,35 @@ def overlay(image: np.ndarray, mask: np.ndarray, share: float = 0.22) -> np.ndar
     return np.clip(np.round(image * (1 - share) + red * share), 0, 255).astype(np.uint8)
 
 
+def _masks(batches: Iterator[pa.RecordBatch], segmenter: Segmenter) -> Iterator[tuple[str, np.ndarray]]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            image = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["channels"])
+            yield row["path"], segmenter(np.repeat(image, 3, axis=2) if row["channels"] == 1 else image[..., :3])
+
+
 def column_counts(images: DataFrame, segmenter: Segmenter) -> DataFrame:
     """(path, height, width, col_counts) of the mask of each image (path, height, width, channels, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                image = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["channels"])
-                mask = segmenter(np.repeat(image, 3, axis=2) if row["channels"] == 1 else image[..., :3])
-                yield pa.RecordBatch.from_pylist([{"path": row["path"], "height": mask.shape[0], "width": mask.shape[1], "col_counts": np.count_nonzero(mask, axis=0).tolist()}], schema=OUT)
+        for path, mask in _masks(batches, segmenter):
+            yield pa.RecordBatch.from_pylist([{"path": path, "height": mask.shape[0], "width": mask.shape[1], "col_counts": np.count_nonzero(mask, axis=0).tolist()}], schema=OUT)
 
     return images.select("path", "height", "width", "channels", "data").mapInArrow(run, "path string, height int, width int, col_counts array<int>")
 
 
+def mask_runs(images: DataFrame, segmenter: Segmenter) -> DataFrame:
+    """(path, y, x0, x1): the runs of the mask of each image, see runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, mask in _masks(batches, segmenter):
+            edge = np.diff(np.pad(mask.astype(np.int8), [(0, 0), (1, 1)]), axis=1)
+            (y, x0), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(y), pa.string()), *(pa.array(v, pa.int32()) for v in (y, x0, end - 1))], ["path", "y", "x0", "x1"])
+
+    return images.select("path", "height", "width", "channels", "data").mapInArrow(run, "path string, y int, x0 int, x1 int")
+
+
 def pixel_rows(images: DataFrame, roi: tuple[int, int, int, int] | None = None) -> DataFrame:
     """(path, pixel, features) of every pixel of each image: the input of a pixel model's fit."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +20,17 @@ def capped(pixels: DataFrame, image: str, foreground: str, per_image: int, seed:
 
 
 def moments(pixels: DataFrame, features: str = "features", foreground: str = "foreground") -> DataFrame:
-    """(foreground, i, n, mean, std) of each class and feature; std is that of the population and FLOOR."""
-    long = pixels.select(foreground, F.posexplode(features).alias("i", "value"))
-    value = F.col("value").cast("double")
-    return long.groupBy(foreground, "i").agg(F.count("value").alias("n"), F.avg(value).alias("mean"), (F.stddev_pop(value) + FLOOR).alias("std"))
+    """(foreground, i, n, mean, std) of each class and feature; std is that of the population and FLOOR.
+
+    A task keeps one vector of moments for each class and passes on only these, which are then merged. Pixels
+    with a null among their features take no part.
+    """
+    held = pixels.where(F.col(features).isNotNull() & ~F.exists(features, lambda v: v.isNull()))
+    vector = array_to_vector(F.transform(features, lambda v: v.cast("double")))
+    each = held.groupBy(foreground).agg(Summarizer.metrics("count", "mean", "variance").summary(vector).alias("m"))
+    long = each.select(foreground, F.col("m.count").alias("n"), F.posexplode(F.arrays_zip(vector_to_array("m.mean").alias("mean"), vector_to_array("m.variance").alias("var"))).alias("i", "v"))
+    # The sample's variance, as that is what is merged, to the population's.
+    return long.select(foreground, "i", "n", F.col("v.mean").alias("mean"), (F.sqrt(F.col("v.var") * (F.col("n") - 1) / F.col("n")) + FLOOR).alias("std"))
 
 
 def fit(pixels: DataFrame, features: str = "features", foreground: str = "foreground") -> DataFrame:

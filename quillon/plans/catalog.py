@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import scalar as S
-from quillon.operators import annotate, frames, fuse, pixelmodel, synth
+from quillon.operators import annotate, frames, fuse, pixelmodel, runs, synth
 from quillon.plans import standins as I
 from quillon.sources import tables
 
@@ -337,18 +337,20 @@ def polygon_roi_clamp(spark, sf_dir):
     return held.select("vec_id", *bbox_columns(p), F.round(S.polygon_area(p), 4).alias("area"), F.size(S.polygon_flat(p)).alias("n_flat"))
 
 
+# Twenty vectors are the shapes of an image; every ninth has two points, every fourth another label.
 ANNOTATED_SQL = f"""{POLYGON_SQL}, shapes AS (
-  SELECT CASE WHEN (o - 1) % 5 = 0 THEN 'val' ELSE 'train' END AS split, label, vec_id, list_transform(list_filter(p[:2 + vec_id % 9], lambda q: true), lambda q: {{'x': q.x, 'y': q.y}}) AS p FROM polygons JOIN embeddings USING (vec_id) JOIN (SELECT label AS l, row_number() OVER (ORDER BY label) AS o FROM (SELECT DISTINCT label FROM embeddings)) ON l = label WHERE vec_id % 4 <> 1
-), measured AS (SELECT *, abs({AREA_SQL.format(p='p')}) AS area, list_max(list_transform(p, lambda q: q.x)) - list_min(list_transform(p, lambda q: q.x)) AS w, list_max(list_transform(p, lambda q: q.y)) - list_min(list_transform(p, lambda q: q.y)) AS h FROM shapes WHERE len(p) >= 3)"""
+  SELECT CASE WHEN (o - 1) % 5 = 0 THEN 'val' ELSE 'train' END AS split, image, vec_id, p[:CASE WHEN vec_id % 9 = 0 THEN 2 ELSE 32 END] AS p FROM polygons JOIN (SELECT i AS image, row_number() OVER (ORDER BY i) AS o FROM (SELECT DISTINCT vec_id // 20 AS i FROM embeddings)) ON image = vec_id // 20 WHERE vec_id % 4 <> 1
+), measured AS (SELECT *, abs({AREA_SQL.format(p='p')}) AS area, list_max(list_transform(p, lambda q: q.x)) - list_min(list_transform(p, lambda q: q.x)) AS w, list_max(list_transform(p, lambda q: q.y)) - list_min(list_transform(p, lambda q: q.y)) AS h FROM shapes WHERE len(p) >= 3),
+images AS (SELECT image, split, CAST(row_number() OVER (PARTITION BY split ORDER BY image) AS INT) AS image_id FROM (SELECT DISTINCT image, split FROM shapes))"""
 
 
-@query(f"WITH {ANNOTATED_SQL} SELECT split, CAST(dense_rank() OVER (PARTITION BY split ORDER BY label) AS INT) AS image_id, row_number() OVER (PARTITION BY split ORDER BY label, vec_id) AS id, vec_id, round(area, 4) AS area FROM measured WHERE area > 1 AND w > 1 AND h > 1")
+@query(f"WITH {ANNOTATED_SQL} SELECT split, image_id, row_number() OVER (PARTITION BY split ORDER BY image_id, vec_id) AS id, vec_id, round(area, 4) AS area FROM measured JOIN images USING (image, split) WHERE area > 1 AND w > 1 AND h > 1")
 def coco_ids(spark, sf_dir):
-    """Annotation ids over the shapes left: a document for each label, a shape for each vector, a quarter of them labelled otherwise."""
-    e = I.table(spark, sf_dir, "embeddings").select("vec_id", "label").join(polygons(spark, sf_dir), "vec_id")
-    shape = F.struct(F.when(F.col("vec_id") % 4 == 1, "wall").otherwise(" Bubble ").alias("label"), F.transform(F.slice("points", F.lit(1), (2 + F.col("vec_id") % 9).cast("int")), lambda p: F.array(p["x"], p["y"])).alias("points"))
-    listed = e.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", shape.alias("shape")))).alias("s"))
-    docs = annotate.image_ids(annotate.holdout(listed, [F.col("label")]), [F.col("label")])
+    """Annotation ids over the shapes left, of documents of twenty shapes."""
+    points = F.transform(F.slice("points", F.lit(1), F.when(F.col("vec_id") % 9 == 0, 2).otherwise(32)), lambda p: F.array(p["x"], p["y"]))
+    shape = F.struct(F.when(F.col("vec_id") % 4 == 1, "wall").otherwise(" Bubble ").alias("label"), points.alias("points"))
+    listed = polygons(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / 20).alias("image")).agg(F.array_sort(F.collect_list(F.struct("vec_id", shape.alias("shape")))).alias("s"))
+    docs = annotate.image_ids(annotate.holdout(listed, ["image"]), ["image"])
     vec = docs.select("split", "image_id", F.posexplode(F.transform("s", lambda x: x["vec_id"])).alias("position", "vec_id"))
     kept = annotate.shapes(docs.select("split", "image_id", F.transform("s", lambda x: x["shape"]).alias("shapes")))
     return annotate.annotation_ids(kept).join(vec, ["split", "image_id", "position"]).select("split", "image_id", "id", "vec_id", F.round("area", 4).alias("area"))
@@ -439,3 +441,57 @@ SELECT vec_id AS pixel, b - f <= ln(1 / 0.45 - 1) AS predicted FROM o""")
 def pixel_decision(spark, sf_dir):
     x = pixels(spark, sf_dir)
     return pixelmodel.score(x, pixelmodel.fit(x), threshold=0.45).select("pixel", "predicted")
+
+
+# Masks out of vectors: fifty of them are the lines of a frame, covered where a component is above 0.1.
+RUNS_SQL = """cells AS (SELECT vec_id // 50 AS frame, vec_id % 50 AS y, generate_subscripts(embedding, 1) - 1 AS x, CAST(unnest(embedding) AS DOUBLE) > 0.1 AS covered FROM embeddings),
+runs AS (SELECT frame, y, min(x) AS x0, max(x) AS x1 FROM (SELECT frame, y, x, x - row_number() OVER (PARTITION BY frame, y ORDER BY x) AS island FROM cells WHERE covered) GROUP BY frame, y, island),
+edges AS (SELECT a.frame, a.y AS ay, a.x0 AS ax, b.y AS b_y, b.x0 AS bx FROM runs a JOIN runs b ON a.frame = b.frame AND abs(a.y - b.y) = 1 AND a.x0 <= b.x1 + 1 AND b.x0 <= a.x1 + 1),
+reach(frame, y, x0, ry, rx) AS (SELECT frame, y, x0, y, x0 FROM runs UNION SELECT r.frame, r.y, r.x0, e.b_y, e.bx FROM reach r JOIN edges e ON e.frame = r.frame AND e.ay = r.ry AND e.ax = r.rx),
+labels AS (SELECT frame, y, x0, min(ry * 1000 + rx) AS root FROM reach GROUP BY frame, y, x0),
+boxes AS (SELECT frame, root, sum(x1 - x0 + 1) AS area, min(x0) AS l, min(y) AS t, max(x1) AS r, max(y) AS b FROM runs JOIN labels USING (frame, y, x0) GROUP BY frame, root)"""
+
+
+def mask_runs(spark, sf_dir) -> DataFrame:
+    lines = I.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("frame"), (F.col("vec_id") % 50).alias("y"), F.transform("embedding", lambda v: v.cast("double") > 0.1).alias("cells"))
+    return runs.runs_of_lines(lines)
+
+
+@query(f"WITH RECURSIVE {RUNS_SQL} SELECT frame, CAST(area AS BIGINT) AS area, CAST(l AS BIGINT) AS l, CAST(t AS BIGINT) AS t, CAST(r AS BIGINT) AS r, CAST(b AS BIGINT) AS b FROM boxes")
+def mask_components(spark, sf_dir):
+    boxes = runs.component_table(runs.labelled(mask_runs(spark, sf_dir), ["frame"]), ["frame"])
+    return boxes.select("frame", "area", *[F.col(c).cast("long").alias(n) for c, n in (("left", "l"), ("top", "t"), ("right", "r"), ("bottom", "b"))])
+
+
+@query(f"WITH RECURSIVE {RUNS_SQL} SELECT frame, count(*) AS n_runs, CAST(sum(x1 - x0 + 1) AS BIGINT) AS places FROM runs JOIN labels USING (frame, y, x0) JOIN boxes USING (frame, root) WHERE area >= 12 AND NOT (r - l + 1 >= 0.8 * 64 AND b - t + 1 <= 12) GROUP BY frame")
+def mask_filters(spark, sf_dir):
+    """Masks without small components and without wide, low ones."""
+    labels = runs.labelled(mask_runs(spark, sf_dir), ["frame"])
+    left = runs.without_wall_lines(runs.without_small(labels, ["frame"], 12), ["frame"], 64)
+    return left.groupBy("frame").agg(F.count("*").alias("n_runs"), F.sum(F.col("x1") - F.col("x0") + 1).cast("long").alias("places"))
+
+
+@query("SELECT frame, list(n ORDER BY x) AS col_counts FROM (SELECT frame, x, CAST(count(*) FILTER (covered) AS INT) AS n FROM (SELECT vec_id // 50 AS frame, generate_subscripts(embedding, 1) - 1 AS x, CAST(unnest(embedding) AS DOUBLE) > 0.1 AS covered FROM embeddings) GROUP BY frame, x) GROUP BY frame")
+def mask_column_counts(spark, sf_dir):
+    return runs.column_counts(mask_runs(spark, sf_dir), ["frame"], 64)
+
+
+@query(f"""WITH {POLYGON_SQL}, edges AS (SELECT vec_id, p[i].x + 20 AS x1, p[i].y + 20 AS y1, p[i % 32 + 1].x + 20 AS x2, p[i % 32 + 1].y + 20 AS y2 FROM (SELECT vec_id, p, unnest(range(1, 33)) AS i FROM polygons)),
+grid AS (SELECT unnest(range(0, 40)) AS y),
+crossed AS (SELECT vec_id, y, (x2 - x1) * (y - y1) / (y2 - y1) + x1 AS c FROM edges JOIN grid ON (y1 > y) <> (y2 > y)),
+inside AS (SELECT vec_id, y, x FROM crossed, (SELECT unnest(range(0, 40)) AS x) WHERE x < c GROUP BY ALL HAVING count(*) % 2 = 1),
+outline AS (SELECT vec_id, CAST(round_even(CASE WHEN i = n THEN y2 ELSE y1 + i * ((y2 - y1) / n) END, 0) AS INT) AS y, CAST(round_even(CASE WHEN i = n THEN x2 ELSE x1 + i * ((x2 - x1) / n) END, 0) AS INT) AS x FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM (SELECT *, CAST(floor(greatest(abs(x2 - x1), abs(y2 - y1))) AS INT) + 1 AS n FROM edges))),
+covered AS (SELECT vec_id, y, x FROM inside UNION SELECT vec_id, y, x FROM outline WHERE x BETWEEN 0 AND 39 AND y BETWEEN 0 AND 39)
+SELECT vec_id, count(*) AS places, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y * y) AS BIGINT) AS sum_yy FROM covered GROUP BY 1""")
+def polygon_places(spark, sf_dir):
+    """Polygons as masks of 40 x 40 places."""
+    moved = polygons(spark, sf_dir).withColumn("points", F.transform("points", lambda p: F.struct((p["x"] + 20).alias("x"), (p["y"] + 20).alias("y"))))
+    each = runs.polygon_runs(moved, ["vec_id"], F.lit(40), F.lit(40)).withColumn("x", F.explode(F.sequence("x0", "x1")))
+    return each.groupBy("vec_id").agg(F.count("*").alias("places"), F.sum("x").cast("long").alias("sum_x"), F.sum(F.col("y") * F.col("y")).cast("long").alias("sum_yy"))
+
+
+@query("SELECT label, CAST(count(DISTINCT x) AS BIGINT) AS area FROM (SELECT label, generate_subscripts(embedding, 1) - 1 AS x, CAST(unnest(embedding) AS DOUBLE) > 0.2 AS covered FROM embeddings) WHERE covered GROUP BY 1")
+def mask_areas(spark, sf_dir):
+    """Bitmaps of each vector's mask, united by label."""
+    each = I.table(spark, sf_dir, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("x", "v")).select("label", "vec_id", "x", (F.col("v").cast("double") > 0.2).alias("covered"))
+    return frames.mask_areas(frames.united(frames.mask_bitmaps(each, ["label", "vec_id"]), ["label"]), ["label"])

@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.__main__ import main, seeded_positions
 from tests.test_sources import bitmap
@@ -77,6 +78,24 @@ def test_model_and_profile(spark, case):
     assert document["annotations"][0]["bbox"] == [10, 15, 9, 9] and document["images"][0]["width"] == 64
     main(["sample-frames", "--root", f"{case}/img", "--out", f"{case}/picked", "--count", "4"])
     assert spark.read.text(f"{case}/picked").count() == 4
+    main(["sample-frames", "--root", f"{case}/img", "--out", f"{case}/again", "--count", "4", "--copies", f"{case}/copies"])
+    names = [r.value for r in spark.read.text(f"{case}/again").collect()]
+    assert names == [r.value for r in spark.read.text(f"{case}/picked").collect()]
+    assert sorted(str(p) for p in (case / "copies").rglob("*.bmp")) == sorted(n.replace(f"{case}/img", f"{case}/copies") for n in names)
+
+
+def test_report_and_prediction(spark, case):
+    main(["fit-pixel-model", "--annotation-root", f"{case}/ann", "--images", f"{case}/img", "--out", f"{case}/model"])
+    main(["iou-report", "--annotation-root", f"{case}/ann", "--images", f"{case}/img", "--out", f"{case}/report", "--model", f"{case}/model", "--holdout-every", "2"])
+    rows = spark.read.csv(f"{case}/report/iou", header=True, inferSchema=True).collect()
+    assert [(r.split, r.image_path.rsplit("/", 1)[-1]) for r in rows] == [("train", "50 CHF_0.bmp"), ("val", "25_0.bmp")] and all(0.5 < r.iou <= 1 for r in rows)
+    summary = spark.read.csv(f"{case}/report/summary", header=True, inferSchema=True).collect()
+    assert [(r.split, r.images) for r in summary] == [("train", 1), ("val", 1)] and summary[1].iou_median == rows[1].iou
+    main(["predict", "--images", f"{case}/img", "--out", f"{case}/predicted", "--model", f"{case}/model", "--limit", "4"])
+    masks = spark.read.parquet(f"{case}/predicted/masks")
+    metrics = {r.path: r for r in spark.read.csv(f"{case}/predicted/metrics", header=True, inferSchema=True).collect()}
+    area = {r.path: r.n for r in masks.groupBy("path").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n")).collect()}
+    assert len(metrics) == 4 and all(area.get(p, 0) == round(r.vapor_area_fraction * r.height * r.width) for p, r in metrics.items())
 
 
 def test_seeded_positions():
