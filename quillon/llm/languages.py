@@ -28,12 +28,13 @@ SPAN, FILTERS, WIDTHS, DIM = 192, 12, (2, 3, 4), 8
 
 @dataclass
 class Sample:
-    """The bound of what is learned from: windows of each language, windows in total (but one of each language at least), windows of one text, and steps of training (batches of 256 windows) for each language."""
+    """The bound of what is learned from: windows of each language, windows in total (but one of each language at least), windows of one text, and steps of training (batches of 256 windows, with languages drawn evenly) for each language, and at most."""
 
     windows: int = 3000
     total: int = 200_000
     each: int = 12
     steps: int = 120
+    most_steps: int = 6000
     seed: int = 3
 
 
@@ -128,7 +129,7 @@ def train(windows: np.ndarray, y: list[str], sample: Sample) -> Network:
     y = np.array([place[x] for x in y])
     share = np.bincount(y, minlength=len(known))
     chance = np.cumsum(1 / share[y])
-    total = max(150, sample.steps * len(known))
+    total = min(max(150, sample.steps * len(known)), sample.most_steps)
     m1, m2 = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     for t in range(1, total + 1):
         part = np.minimum(np.searchsorted(chance, rng.random(256) * chance[-1], "right"), len(y) - 1)
@@ -197,8 +198,10 @@ def languages(docs: DataFrame, sample: Sample | None = None, doc_id: str = "doc_
             share, log, number = np.zeros((n, max(1, len(names)))), np.zeros((n, max(1, len(names)))), np.bincount(owner, minlength=n)
             for i in range(0, len(win) if names else 0, 256):
                 p = model.probabilities(win[i : i + 256]).astype(np.float64)
-                np.add.at(log, owner[i : i + 256], p)
-                np.add.at(share, owner[i : i + 256], np.exp(p))
+                of = owner[i : i + 256]
+                first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))  # windows of a text are neighbours
+                log[of[first]] += np.add.reduceat(p, first, axis=0)
+                share[of[first]] += np.add.reduceat(np.exp(p), first, axis=0)
             best = log.argmax(1)
             known = letters & (number > 0) & bool(names)
             score = np.where(known, share[np.arange(n), best] / np.maximum(number, 1), 0.0)
