@@ -105,3 +105,8 @@ def seeded_sample(df: DataFrame, key: str, count: int, seed: int = 7) -> DataFra
     Each task keeps so many rows at most, and these are merged. The same rows come out for the same keys, wherever they are read.
     """
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(count)
+
+
+def in_order_of_appearance(df: DataFrame, by: list[str], place: str = "row_idx") -> DataFrame:
+    """(by, first_place) of each group, that which appears first at the top; places of rows as numbered at ingest."""
+    return df.groupBy(*by).agg(F.min(place).alias("first_place")).orderBy("first_place")

@@ -156,6 +156,12 @@ def ingest_zip(spark, sf_dir):
     return fuse.positional_zip(left.drop("_metadata"), right.drop("_metadata")).select("row_idx", "a", "b")
 
 
+@query("SELECT user_id, min(i) AS first_place FROM (SELECT user_id, row_number() OVER () - 1 AS i FROM events) GROUP BY 1")
+def appearance_order(spark, sf_dir):
+    """Groups by where they appear first in a log's files."""
+    return frames.in_order_of_appearance(tables.in_file_order(I.table(spark, sf_dir, "events").select("user_id", "_metadata")), ["user_id"])
+
+
 @query("""SELECT l_returnflag, round(avg(m), 6) AS mean_of_means FROM (SELECT l_returnflag, CASE WHEN l_discount <> 0 AND l_tax <> 0 THEN (l_discount + l_tax) / 2 WHEN l_discount <> 0 THEN l_discount WHEN l_tax <> 0 THEN l_tax END AS m FROM lineitem) GROUP BY 1""")
 def row_mean_of_columns(spark, sf_dir):
     zero = lambda c: F.nullif(F.col(c), F.lit(0.0))
@@ -344,7 +350,7 @@ ANNOTATED_SQL = f"""{POLYGON_SQL}, shapes AS (
 images AS (SELECT image, split, CAST(row_number() OVER (PARTITION BY split ORDER BY image) AS INT) AS image_id FROM (SELECT DISTINCT image, split FROM shapes))"""
 
 
-@query(f"WITH {ANNOTATED_SQL} SELECT split, image_id, row_number() OVER (PARTITION BY split ORDER BY image_id, vec_id) AS id, vec_id, round(area, 4) AS area FROM measured JOIN images USING (image, split) WHERE area > 1 AND w > 1 AND h > 1")
+@query(f"WITH {ANNOTATED_SQL} SELECT split, image_id, row_number() OVER (PARTITION BY split ORDER BY image_id, vec_id) AS id, vec_id, round(area, 8) AS area FROM measured JOIN images USING (image, split) WHERE area > 1 AND w > 1 AND h > 1")
 def coco_ids(spark, sf_dir):
     """Annotation ids over the shapes left, of documents of twenty shapes."""
     points = F.transform(F.slice("points", F.lit(1), F.when(F.col("vec_id") % 9 == 0, 2).otherwise(32)), lambda p: F.array(p["x"], p["y"]))
@@ -353,7 +359,7 @@ def coco_ids(spark, sf_dir):
     docs = annotate.image_ids(annotate.holdout(listed, ["image"]), ["image"])
     vec = docs.select("split", "image_id", F.posexplode(F.transform("s", lambda x: x["vec_id"])).alias("position", "vec_id"))
     kept = annotate.shapes(docs.select("split", "image_id", F.transform("s", lambda x: x["shape"]).alias("shapes")))
-    return annotate.annotation_ids(kept).join(vec, ["split", "image_id", "position"]).select("split", "image_id", "id", "vec_id", F.round("area", 4).alias("area"))
+    return annotate.annotation_ids(kept).join(vec, ["split", "image_id", "position"]).select("split", "image_id", "id", "vec_id", F.round("area", 8).alias("area"))
 
 
 FIT_SQL = "fit AS (SELECT label = 0 AS foreground, i, count(*) AS n, avg(v) AS mean, stddev_pop(v) + 1e-4 AS std FROM (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY 1, 2)"

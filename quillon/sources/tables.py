@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import re
+from collections.abc import Iterator
+from functools import reduce
+from itertools import batched, count
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,28 +34,54 @@ def plain_path(uri: Column) -> Column:
     return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
 
 
-def _listed(spark: SparkSession, root: str) -> list[str]:
-    """All paths below a root of any Hadoop file system: names only, read by the driver."""
+#: What tasks list by themselves; other file systems are listed by Spark's own client, on the driver.
+LISTED_BY_TASKS = ("file", "hdfs", "s3", "gs")
+
+
+def _listed_by_tasks(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of all files below a root: a level of folders at a time, dealt over tasks, of which each lists its own."""
+    scratch = Scratch(spark, "listing")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                system, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+                head = folder[: len(folder) - len(at)] if folder.endswith(at) else ""
+                for few in batched(system.get_file_info(fs.FileSelector(at)), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array([head + i.path for i in few]), pa.array([i.type == fs.FileType.Directory for i in few])], ["path", "folder"])
+
+    frontier, found = spark.createDataFrame([(root,)], "path string"), []
+    for level in count():
+        seen = scratch.table(frontier.mapInArrow(run, "path string, folder boolean"), f"level-{level}")
+        found.append(seen.where("not folder").select("path"))
+        frontier = seen.where("folder").select("path").repartition(spark.sparkContext.defaultParallelism)
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionAll, found)
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of all files below a root: of local files without a scheme."""
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(root)
-    found, it = [], top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(top, True)
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = files.makeQualified(top).toUri()
+    if whole.getScheme() in LISTED_BY_TASKS:
+        return _listed_by_tasks(spark, whole.getPath() if whole.getScheme() == "file" else whole.toString())
+    names, it = [], files.listFiles(top, True)
     while it.hasNext():
-        path = it.next().getPath()
-        found.append(path.toUri().getPath() if path.toUri().getScheme() == "file" else path.toString())
-    return found
+        names.append((it.next().getPath().toString(),))
+    return spark.createDataFrame(names, "path string")
 
 
 def list_images(spark: SparkSession, root: str) -> DataFrame:
     """(path, name) of images below a root, empty files included, in the order of paths."""
-    rows = [(p, os.path.basename(p)) for p in _listed(spark, root)]
-    listed = spark.createDataFrame(rows, "path string, name string")
+    listed = _listed(spark, root).withColumn("name", F.element_at(F.split("path", "/"), -1))
     return listed.where(F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1)).isin(*IMAGE_SUFFIXES)).orderBy(path_order())
 
 
 def list_annotations(spark: SparkSession, roots: list[str]) -> DataFrame:
     """(path) of JSON documents below each root, repeated for overlapping roots."""
-    rows = [(p,) for root in roots for p in _listed(spark, root) if p.endswith(".json")]
-    return spark.createDataFrame(rows, "path string").orderBy(path_order())
+    return reduce(DataFrame.unionAll, [_listed(spark, root) for root in roots]).where(F.col("path").endswith(".json")).orderBy(path_order())
 
 
 def read_annotations(spark: SparkSession, paths: list[str]) -> DataFrame:

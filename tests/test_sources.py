@@ -16,6 +16,27 @@ def test_listing_of_images(spark, tmp_path):
     assert [r.name for r in tables.list_images(spark, str(tmp_path)).collect()] == ["a.bmp", "c.JPG"]
 
 
+def test_listing_by_tasks(spark, tmp_path):
+    """Folders of any depth, odd names, empty ones; in the order of path components."""
+    names = ["b/x.png", "a/z.bmp", "a b/c%20d/é[1].TIF", "a-/y.jpeg", "a/deep/deeper/deepest/w.jpg", "a/.hidden.png", "top.png"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(b"")
+    (tmp_path / "empty" / "inner").mkdir(parents=True)
+    (tmp_path / "folder.png").mkdir()
+    (tmp_path / "a" / "n.json").write_text("{}")
+    for root in (str(tmp_path), f"{tmp_path}/", f"file://{tmp_path}"):
+        got = [r.path for r in tables.list_images(spark, root).collect()]
+        assert got == [f"{tmp_path}/{n}" for n in sorted(names, key=lambda n: n.split("/"))]
+    assert [r.path for r in tables.list_annotations(spark, [str(tmp_path), f"{tmp_path}/a"]).collect()] == [f"{tmp_path}/a/n.json"] * 2
+    assert tables.list_images(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_order_of_appearance(spark):
+    df = spark.createDataFrame([("b", 3), ("a", 5), ("b", 9), ("c", 0), (None, 1)], "g string, row_idx long")
+    assert [tuple(r) for r in frames.in_order_of_appearance(df, ["g"]).collect()] == [("c", 0), (None, 1), ("b", 3), ("a", 5)]
+
+
 def test_hits(spark, tmp_path):
     text = "Some preamble \xb5V\n\n ID SSSSSSSS.mmmuuun CH RISE SIG STRENGTH AMP ABS-ENERGY\n\n  1   12.5  1  3  4.5e2  40 1.25\n  2  13.0001 2 3 1 41 2\n broken line\n"
     (tmp_path / "hits.txt").write_bytes(text.encode("latin-1"))
