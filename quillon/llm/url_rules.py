@@ -129,7 +129,10 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, mining:
     if number > mining.rows:
         share = int((1 << 32) * (mining.rows / number))
         labelled = labelled.where(F.pmod(F.xxhash64("row", F.lit(7)), F.lit(1 << 32)) < share)
-    learned = mined_rules(labelled.select("tokens", F.col("given.verdict").alias("verdict")), mining, scratch)
+    # Written, as learning goes over them several times.
+    labelled = scratch.table(labelled.select("tokens", F.col("given.verdict").alias("verdict")), "labelled")
+    learned = mined_rules(labelled, mining, scratch)
+    scratch.drop("labelled", "transactions")
     # A rule lies under its rarest token: the one with the fewest rows among all rules of one token, the smallest of equals.
     single = learned.where(F.size("antecedent") == 1).groupBy(F.get("antecedent", F.lit(0)).alias("token")).agg(F.sum("rows").alias("n"))
     each = learned.select("*", F.explode("antecedent").alias("token")).join(single, "token", "left").groupBy("antecedent", "verdict", "confidence", "support").agg(F.min(F.struct(F.coalesce("n", F.lit(1 << 62)).alias("n"), "token")).alias("rarest"))
