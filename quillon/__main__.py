@@ -118,12 +118,19 @@ def report(a, spark) -> None:
 
 
 def predict(a, spark) -> None:
-    """Masks of a folder's images as runs (Parquet), and their metrics (CSV)."""
-    listed = tables.list_images(spark, a.images)
-    paths = [r.path for r in listed.limit(a.limit).collect()] if a.limit is not None else a.images
-    found, images = segmenter(a, spark), tables.read_images(spark, paths)
-    imaging.mask_runs(images, found).write.mode("overwrite").parquet(f"{a.out}/masks")
-    metrics = frames.mask_metrics(imaging.column_counts(images, found)).drop("col_counts")
+    """Masks of a folder's images as runs (Parquet), and their metrics (CSV). A model's pixels are scored and cleaned up as tables."""
+    paths = [r.path for r in tables.list_images(spark, a.images).limit(a.limit).collect()] if a.limit is not None else a.images
+    images, found = tables.read_images(spark, paths), segmenter(a, spark)
+    shapes = imaging.frames_of(images, found.roi)
+    if a.model:
+        model = tables.read_model(spark, a.model)
+        scored = pixelmodel.score(imaging.pixel_rows(images, found.roi), model, threshold=found.threshold).where("predicted").join(shapes.select("path", "width"), "path")
+        places = scored.select("path", F.floor(F.col("pixel") / F.col("width")).cast("int").alias("y"), (F.col("pixel") % F.col("width")).cast("int").alias("x"))
+        masks = runs.cleaned(runs.runs_of_places(places, ["path"]), shapes, ["path"], found.min_area_px, found.clear_top_px)
+    else:
+        masks = imaging.mask_runs(images, found)
+    masks.write.mode("overwrite").parquet(f"{a.out}/masks")
+    metrics = frames.mask_metrics(runs.column_counts(spark.read.parquet(f"{a.out}/masks"), shapes, ["path"])).drop("col_counts")
     tables.write_csv(metrics.orderBy(tables.path_order()), f"{a.out}/metrics")
 
 

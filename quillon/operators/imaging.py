@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Segmenter = Callable[[np.ndarray], np.ndarray]
 
@@ -257,6 +258,11 @@ def mask_runs(images: DataFrame, segmenter: Segmenter) -> DataFrame:
     return images.select("path", "height", "width", "channels", "data").mapInArrow(run, "path string, y int, x0 int, x1 int")
 
 
+def frames_of(images: DataFrame, roi: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """(path, height, width) of the masks of images."""
+    return images.select("path", F.lit(roi[3]).alias("height") if roi else "height", F.lit(roi[2]).alias("width") if roi else "width")
+
+
 def pixel_rows(images: DataFrame, roi: tuple[int, int, int, int] | None = None) -> DataFrame:
     """(path, pixel, features) of every pixel of each image: the input of a pixel model's fit."""
 

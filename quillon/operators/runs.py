@@ -51,23 +51,61 @@ def component_table(labels: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _kept(labels: DataFrame, keys: list[str], keep: Column) -> DataFrame:
-    return labels.join(component_table(labels, keys).where(keep).select("component"), "component", "left_semi").select(*keys, "y", "x0", "x1", "component")
+def _kept(labels: DataFrame, keys: list[str], boxes: DataFrame, keep: Column) -> DataFrame:
+    return labels.join(boxes.where(keep).select("component"), "component", "left_semi").select(*keys, "y", "x0", "x1", "component")
 
 
 def without_small(labels: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Labelled runs without components of fewer places than ``least``."""
-    return labels if least <= 0 else _kept(labels, keys, F.col("area") >= least)
+    return labels if least <= 0 else _kept(labels, keys, component_table(labels, keys), F.col("area") >= least)
 
 
-def without_wall_lines(labels: DataFrame, keys: list[str], width: int, share: float = 0.80, most_height: int = 12) -> DataFrame:
-    """Labelled runs without components as wide as ``share`` of the mask and at most ``most_height`` high."""
-    wide = F.col("right") - F.col("left") + 1 >= share * width
-    return _kept(labels, keys, ~(wide & (F.col("bottom") - F.col("top") + 1 <= most_height)))
+def without_wall_lines(labels: DataFrame, keys: list[str], width: int | DataFrame, share: float = 0.80, most_height: int = 12) -> DataFrame:
+    """Labelled runs without components as wide as ``share`` of the mask and at most ``most_height`` high. ``width``: of all masks, or a table (keys, width)."""
+    boxes = component_table(labels, keys)
+    boxes = boxes.withColumn("width", F.lit(width)) if isinstance(width, int) else boxes.join(width.select(*keys, "width"), keys)
+    wide = F.col("right") - F.col("left") + 1 >= share * F.col("width")
+    return _kept(labels, keys, boxes, ~(wide & (F.col("bottom") - F.col("top") + 1 <= most_height)))
 
 
-def column_counts(runs: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """(keys, col_counts): covered places of each column, from the columns where runs begin and end."""
+def runs_of_places(places: DataFrame, keys: list[str]) -> DataFrame:
+    """The runs of covered places (keys, y, x), each given once."""
+    island = F.col("x") - F.row_number().over(Window.partitionBy(*keys, "y").orderBy("x"))
+    return places.withColumn("_island", island).groupBy(*keys, "y", "_island").agg(F.min("x").cast("int").alias("x0"), F.max("x").cast("int").alias("x1")).drop("_island")
+
+
+def flipped(runs: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """The runs of the places that are not covered, within frames (keys, height, width)."""
+    held = runs.groupBy(*keys, "y").agg(F.sort_array(F.collect_list(F.struct("x0", "x1"))).alias("r"))
+    lines = frames.select(*keys, F.col("width").alias("w"), F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
+    joined = lines.join(held, [*keys, "y"], "left").withColumn("r", F.coalesce("r", F.array().cast("array<struct<x0: int, x1: int>>")))
+    begins = F.concat(F.array(F.lit(0)), F.transform("r", lambda x: x["x1"] + 1))
+    ends = F.concat(F.transform("r", lambda x: x["x0"] - 1), F.array(F.col("w") - 1))
+    return joined.select(*keys, "y", F.explode(F.arrays_zip(begins.alias("x0"), ends.alias("x1"))).alias("g")).select(*keys, "y", "g.x0", "g.x1").where("x0 <= x1")
+
+
+def grown(runs: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs with the places above, below and beside them that lie within frames."""
+    more = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x0") - dx).alias("x0"), (F.col("x1") + dx).alias("x1")) for dy, dx in ((-1, 0), (0, 1), (1, 0))]))
+    moved = runs.select(*keys, more.alias("m")).join(frames.select(*keys, "height", "width"), keys).where("m.y >= 0 and m.y < height")
+    held = moved.select(*keys, F.col("m.y").alias("y"), F.greatest("m.x0", F.lit(0)).alias("x0"), F.least("m.x1", F.col("width") - 1).alias("x1"))
+    return merged(held, keys)
+
+
+def closed(runs: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs after growing and shrinking by a place; what lies beyond the frame doesn't shrink them."""
+    return flipped(grown(flipped(grown(runs, frames, keys), frames, keys), frames, keys), frames, keys)
+
+
+def cleaned(runs: DataFrame, frames: DataFrame, keys: list[str], min_area: int, clear_top: int) -> DataFrame:
+    """A predicted mask without its top lines, closed, without small components (that touch by sides) and without wall lines."""
+    whole = closed(runs.where(F.col("y") >= clear_top), frames, keys)
+    left = without_small(labelled(whole, keys, diagonal=False), keys, min_area).drop("component")
+    return without_wall_lines(labelled(left, keys), keys, frames).drop("component")
+
+
+def column_counts(runs: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """frames (keys, height, width) with col_counts: covered places of each column, from the columns where runs begin and end."""
     steps = runs.select(*keys, F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("n")), F.struct((F.col("x1") + 1).alias("x"), F.lit(-1).alias("n")))).alias("s"))
     each = steps.groupBy(*keys, F.col("s.x").alias("x")).agg(F.sum("s.n").alias("n"))
     held = each.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("x", "n"))).alias("m"))
@@ -77,7 +115,8 @@ def column_counts(runs: DataFrame, keys: list[str], width: int) -> DataFrame:
         n = s["n"] + F.coalesce(F.try_element_at("m", x), F.lit(0))
         return F.struct(n.alias("n"), F.concat(s["c"], F.array(n.cast("int"))).alias("c"))
 
-    return held.select(*keys, F.aggregate(F.sequence(F.lit(0), F.lit(width - 1)), start, add)["c"].alias("col_counts"))
+    counts = F.aggregate(F.sequence(F.lit(0), F.col("width") - 1), start, add)["c"]
+    return frames.join(held, keys, "left").select(*frames.columns, counts.alias("col_counts"))
 
 
 def overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -463,6 +463,11 @@ def mask_runs(spark, sf_dir) -> DataFrame:
     return runs.runs_of_lines(lines)
 
 
+def mask_frames(spark, sf_dir) -> DataFrame:
+    lines = I.table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 50).alias("frame"))
+    return lines.agg(F.count("*").cast("int").alias("height"), F.lit(64).alias("width"))
+
+
 @query(f"WITH RECURSIVE {RUNS_SQL} SELECT frame, CAST(area AS BIGINT) AS area, CAST(l AS BIGINT) AS l, CAST(t AS BIGINT) AS t, CAST(r AS BIGINT) AS r, CAST(b AS BIGINT) AS b FROM boxes")
 def mask_components(spark, sf_dir):
     boxes = runs.component_table(runs.labelled(mask_runs(spark, sf_dir), ["frame"]), ["frame"])
@@ -479,7 +484,17 @@ def mask_filters(spark, sf_dir):
 
 @query("SELECT frame, list(n ORDER BY x) AS col_counts FROM (SELECT frame, x, CAST(count(*) FILTER (covered) AS INT) AS n FROM (SELECT vec_id // 50 AS frame, generate_subscripts(embedding, 1) - 1 AS x, CAST(unnest(embedding) AS DOUBLE) > 0.1 AS covered FROM embeddings) GROUP BY frame, x) GROUP BY frame")
 def mask_column_counts(spark, sf_dir):
-    return runs.column_counts(mask_runs(spark, sf_dir), ["frame"], 64)
+    return runs.column_counts(mask_runs(spark, sf_dir), mask_frames(spark, sf_dir), ["frame"]).select("frame", "col_counts")
+
+
+@query("""WITH cells AS (SELECT vec_id // 50 AS frame, vec_id % 50 AS y, generate_subscripts(embedding, 1) - 1 AS x, CAST(unnest(embedding) AS DOUBLE) > 0.1 AS covered FROM embeddings),
+grown AS (SELECT frame, y, x, covered OR coalesce(lag(covered) OVER h, false) OR coalesce(lead(covered) OVER h, false) OR coalesce(lag(covered) OVER v, false) OR coalesce(lead(covered) OVER v, false) AS c FROM cells WINDOW h AS (PARTITION BY frame, y ORDER BY x), v AS (PARTITION BY frame, x ORDER BY y)),
+shrunk AS (SELECT frame, y, x, c AND coalesce(lag(c) OVER h, true) AND coalesce(lead(c) OVER h, true) AND coalesce(lag(c) OVER v, true) AND coalesce(lead(c) OVER v, true) AS covered FROM grown WINDOW h AS (PARTITION BY frame, y ORDER BY x), v AS (PARTITION BY frame, x ORDER BY y))
+SELECT frame, count(*) AS places, CAST(sum(x * (y + 1)) AS BIGINT) AS moment FROM shrunk WHERE covered GROUP BY frame""")
+def mask_closing(spark, sf_dir):
+    whole = runs.closed(mask_runs(spark, sf_dir), mask_frames(spark, sf_dir), ["frame"])
+    each = whole.withColumn("x", F.explode(F.sequence("x0", "x1")))
+    return each.groupBy("frame").agg(F.count("*").alias("places"), F.sum(F.col("x") * (F.col("y") + 1)).cast("long").alias("moment"))
 
 
 @query(f"""WITH {POLYGON_SQL}, edges AS (SELECT vec_id, p[i].x + 20 AS x1, p[i].y + 20 AS y1, p[i % 32 + 1].x + 20 AS x2, p[i % 32 + 1].y + 20 AS y2 FROM (SELECT vec_id, p, unnest(range(1, 33)) AS i FROM polygons)),

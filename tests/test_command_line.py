@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.__main__ import main, seeded_positions
+from quillon.operators import imaging
+from quillon.sources import tables
 from tests.test_sources import bitmap
 
 
@@ -96,6 +98,11 @@ def test_report_and_prediction(spark, case):
     metrics = {r.path: r for r in spark.read.csv(f"{case}/predicted/metrics", header=True, inferSchema=True).collect()}
     area = {r.path: r.n for r in masks.groupBy("path").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n")).collect()}
     assert len(metrics) == 4 and all(area.get(p, 0) == round(r.vapor_area_fraction * r.height * r.width) for p, r in metrics.items())
+    # As the model behind the map over whole images.
+    m = tables.read_model(spark, f"{case}/model").head()
+    model = imaging.PixelModel(tuple(m.foreground_mean), tuple(m.foreground_std), tuple(m.background_mean), tuple(m.background_std), m.foreground_prior, m.threshold, None, m.min_area_px, m.clear_top_px)
+    counted = imaging.mask_runs(tables.read_images(spark, list(metrics)), model)
+    assert sorted(map(tuple, counted.collect())) == sorted(tuple(r[c] for c in ("path", "y", "x0", "x1")) for r in masks.collect())
 
 
 def test_seeded_positions():

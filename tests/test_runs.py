@@ -59,14 +59,34 @@ def test_components_of_runs(spark, masks, diagonal):
 
 def test_column_counts_and_overlaps_of_runs(spark, masks):
     made = runs.runs_of_lines(lines_of(spark, masks))
-    counts = {r.frame: r.col_counts for r in runs.column_counts(made, ["frame"], 30).collect()}
-    assert counts == {k: m.sum(axis=0).tolist() for k, m in masks.items() if m.any()}
+    sizes = spark.createDataFrame([(k, 24, 30) for k in masks], "frame string, height int, width int")
+    counts = {r.frame: r.col_counts for r in runs.column_counts(made, sizes, ["frame"]).collect()}
+    assert counts == {k: m.sum(axis=0).tolist() for k, m in masks.items()}
     other = {k: np.roll(m, 3, axis=1) for k, m in masks.items() if k not in ("m1", "none")}
     got = {r.frame: (r.a, r.b, r.both) for r in runs.overlap(made, runs.runs_of_lines(lines_of(spark, other)), ["frame"]).collect()}
     zero = np.zeros((24, 30), bool)
     assert got == {k: (int(m.sum()), int(other.get(k, zero).sum()), int((m & other.get(k, zero)).sum())) for k, m in masks.items() if m.any()}
 
 
+def test_cleaning_of_runs(spark, masks):
+    """Growing, closing and all steps of cleaning as the array versions, up to the frame's edges."""
+    made = runs.runs_of_lines(lines_of(spark, masks))
+    sizes = spark.createDataFrame([(k, 24, 30) for k in masks], "frame string, height int, width int")
+    every = [runs.grown(made, sizes, ["frame"]), runs.flipped(made, sizes, ["frame"]), runs.closed(made, sizes, ["frame"]), runs.cleaned(made, sizes, ["frame"], 9, 3)]
+    grown, flipped, closed, cleaned = ([r for r in df.collect()] for df in every)
+    own = lambda rows, k: mask_of([r for r in rows if r.frame == k], (24, 30))
+    for k, m in masks.items():
+        assert (own(grown, k) == imaging.dilated(m, imaging.disk(1))).all()
+        assert (own(flipped, k) == ~m).all()
+        assert (own(closed, k) == imaging.closed(m, imaging.disk(1))).all()
+        top = m.copy()
+        top[:3] = False
+        assert (own(cleaned, k) == imaging.without_wall_lines(imaging.without_small(imaging.closed(top, imaging.disk(1)), 9, False))).all()
+    places = made.withColumn("x", F.explode(F.sequence("x0", "x1"))).drop("x0", "x1")
+    back = runs.runs_of_places(places, ["frame"]).collect()
+    assert all((own(back, k) == m).all() for k, m in masks.items())
+
+
 def test_polygons_as_runs(spark):
     """As the array version: odd rule inside, outlines, several polygons under a key, points outside the mask."""
     rng = random.Random(4)
