@@ -67,7 +67,7 @@ def sample_frames(a, spark) -> None:
 def to_coco(a, spark) -> None:
     listed = tables.list_annotations(spark, a.annotation_root)
     docs = tables.read_annotations(spark, [r.path for r in listed.collect()])
-    split = annotate.image_ids(annotate.holdout(docs, [tables.path_order("json_path")], a.holdout_every), [tables.path_order("json_path")])
+    split = annotate.holdout_ids(docs, [tables.path_order("json_path")], a.holdout_every)
     images = split.select("split", "image_id", F.col("image_path").alias("file_name"), *[F.lit(v).alias(n) if a.roi else F.col(c).alias(n) for n, c, v in (("width", "imageWidth", a.roi and a.roi[2]), ("height", "imageHeight", a.roi and a.roi[3]))])
     annotate.write_documents(images, annotate.annotation_ids(annotate.shapes(split, a.roi)), a.out)
 

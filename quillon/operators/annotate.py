@@ -20,6 +20,13 @@ def holdout(df: DataFrame, order: list[Column], every: int = 5) -> DataFrame:
     return placed.withColumn("split", F.when(F.col("ordinal") % every == 0, "val").otherwise("train"))
 
 
+def holdout_ids(df: DataFrame, order: list[Column | str], every: int = 5) -> DataFrame:
+    """As holdout, with image_id from 1 within each split in that same order: what image_ids gives, without numbering again."""
+    split = holdout(df, order, every)
+    held = F.floor(F.col("ordinal") / every)
+    return split.withColumn("image_id", F.when(F.col("split") == "val", held + 1).otherwise(F.col("ordinal") - held).cast("int"))
+
+
 def holdout_of_existing(df: DataFrame, existing: DataFrame, key: str, order: list[Column], every: int = 5) -> DataFrame:
     """As holdout, over the rows whose key exists; others are dropped before they are numbered."""
     return holdout(df.join(existing.select(key).distinct(), key, "left_semi"), order, every)

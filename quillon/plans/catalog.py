@@ -356,12 +356,19 @@ def coco_ids(spark, sf_dir):
     points = F.transform(F.slice("points", F.lit(1), F.when(F.col("vec_id") % 9 == 0, 2).otherwise(32)), lambda p: F.array(p["x"], p["y"]))
     shape = F.struct(F.when(F.col("vec_id") % 4 == 1, "wall").otherwise(" Bubble ").alias("label"), points.alias("points"))
     listed = polygons(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / 20).alias("image")).agg(F.array_sort(F.collect_list(F.struct("vec_id", shape.alias("shape")))).alias("s"))
-    docs = annotate.image_ids(annotate.holdout(listed, ["image"]), ["image"])
+    docs = annotate.holdout_ids(listed, ["image"])
     vec = docs.select("split", "image_id", F.posexplode(F.transform("s", lambda x: x["vec_id"])).alias("position", "vec_id"))
     kept = annotate.shapes(docs.select("split", "image_id", F.transform("s", lambda x: x["shape"]).alias("shapes")))
     return annotate.annotation_ids(kept).join(vec, ["split", "image_id", "position"]).select("split", "image_id", "id", "vec_id", F.round("area", 8).alias("area"))
 
 
+@query("SELECT split, CAST(row_number() OVER (PARTITION BY split ORDER BY doc_id) AS INT) AS image_id, doc_id FROM (SELECT doc_id, source AS split FROM documents WHERE source IS NOT NULL)")
+def ids_by_split(spark, sf_dir):
+    """Ids from 1 within splits that are given."""
+    d = I.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("split")).where("split is not null")
+    return annotate.image_ids(d, ["doc_id"]).select("split", "image_id", "doc_id")
+
+
 FIT_SQL = "fit AS (SELECT label = 0 AS foreground, i, count(*) AS n, avg(v) AS mean, stddev_pop(v) + 1e-4 AS std FROM (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY 1, 2)"
 
 

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import frames, numbering, selection
+from quillon.operators import annotate, frames, numbering, selection
 from quillon.operators.numbering import numbered, numbered_within
 from quillon.sources import tables
 
@@ -81,6 +81,13 @@ def test_numbering_writes_its_input_once(spark, monkeypatch):
     assert written == ["rows"] and seen.value == before <= 2000
 
 
+@pytest.mark.parametrize("every", [1, 2, 5, 50])
+def test_ids_of_a_holdout_are_those_of_its_splits(spark, every):
+    df = spark.createDataFrame([(f"n{i:03}",) for i in range(23)], "name string").repartition(3)
+    ids = annotate.holdout_ids(df, ["name"], every)
+    assert sorted(map(tuple, ids.select("split", "image_id", "name").collect())) == sorted(map(tuple, annotate.image_ids(annotate.holdout(df, ["name"], every), ["name"]).select("split", "image_id", "name").collect()))
+
+
 def test_seeded_sample(spark):
     df = spark.range(500).select(F.concat(F.lit("/f/"), "id").alias("path"))
     a, b, c = ([r.path for r in frames.seeded_sample(d, "path", 20, s).collect()] for d, s in ((df, 7), (df.repartition(7), 7), (df, 8)))
