@@ -258,6 +258,38 @@ def mask_runs(images: DataFrame, segmenter: Segmenter) -> DataFrame:
     return images.select("path", "height", "width", "channels", "data").mapInArrow(run, "path string, y int, x0 int, x1 int")
 
 
+def _pixels(row: dict) -> np.ndarray:
+    image = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["channels"])
+    return np.repeat(image, 3, axis=2) if row["channels"] == 1 else image[..., :3]
+
+
+def grey_images(images: DataFrame) -> DataFrame:
+    """(path, height, width, levels): the luma of images (path, height, width, channels, data), line by line, from 0 to 1 in steps of 1 / 255."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                levels = grey(_pixels(row)).astype(np.float32) / np.float32(255)
+                yield pa.RecordBatch.from_arrays([pa.array([row[c]]) for c in ("path", "height", "width")] + [pa.array([levels.ravel()])], ["path", "height", "width", "levels"]).cast(GREY)
+
+    return images.select("path", "height", "width", "channels", "data").mapInArrow(run, "path string, height int, width int, levels array<float>")
+
+
+def rgb_images(images: DataFrame) -> DataFrame:
+    """(path, height, width, data): the bytes of images in the order red, green, blue; one channel is repeated, a fourth goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist([{**{c: row[c] for c in ("path", "height", "width")}, "data": _pixels(row)[..., ::-1].tobytes()}], schema=RGB)
+
+    return images.select("path", "height", "width", "channels", "data").mapInArrow(run, "path string, height int, width int, data binary")
+
+
+GREY = pa.schema([("path", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("levels", pa.list_(pa.float32()))])
+RGB = pa.schema([("path", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("data", pa.binary())])
+
+
 def frames_of(images: DataFrame, roi: tuple[int, int, int, int] | None = None) -> DataFrame:
     """(path, height, width) of the masks of images."""
     return images.select("path", F.lit(roi[3]).alias("height") if roi else "height", F.lit(roi[2]).alias("width") if roi else "width")

@@ -5,7 +5,7 @@ import struct
 
 import pytest
 
-from quillon.operators import frames
+from quillon.operators import frames, imaging
 from quillon.sources import tables
 
 
@@ -88,3 +88,15 @@ def test_images(spark, tmp_path):
     (tmp_path / "a.bmp").write_bytes(bitmap([[(1, 2, 3), (4, 5, 6)], [(7, 8, 9), (10, 11, 12)]]))
     r = tables.read_images(spark, str(tmp_path)).head()
     assert (r.height, r.width, r.channels, list(r.data[:6])) == (2, 2, 3, [1, 2, 3, 4, 5, 6])
+
+
+def test_grey_and_rgb(spark, tmp_path):
+    (tmp_path / "a.bmp").write_bytes(bitmap([[(1, 2, 3), (255, 255, 255)], [(0, 0, 0), (10, 200, 90)]]))
+    images = tables.read_images(spark, str(tmp_path))
+    r = imaging.grey_images(images).head()
+    levels = [0.299 * c[2] + 0.587 * c[1] + 0.114 * c[0] for c in ((1, 2, 3), (255, 255, 255), (0, 0, 0), (10, 200, 90))]
+    assert (r.height, r.width) == (2, 2) and r.levels == pytest.approx([int(x + 0.5) / 255 for x in levels], abs=1e-6)
+    assert list(imaging.rgb_images(images).head().data) == [3, 2, 1, 255, 255, 255, 0, 0, 0, 90, 200, 10]
+    one = spark.createDataFrame([("g", 1, 2, 1, bytearray([7, 9])), ("f", 1, 1, 4, bytearray([1, 2, 3, 4]))], "path string, height int, width int, channels int, data binary")
+    assert {x.path: list(x.data) for x in imaging.rgb_images(one).collect()} == {"g": [7, 7, 7, 9, 9, 9], "f": [3, 2, 1]}
+    assert {x.path: len(x.levels) for x in imaging.grey_images(one).collect()} == {"g": 2, "f": 1}
