@@ -23,12 +23,13 @@ def runs_of_lines(lines: DataFrame, cells: str = "cells") -> DataFrame:
 
 
 def merged(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs that overlap or adjoin within a line as one."""
+    """Runs that overlap or adjoin within a line as one. Rows are sorted once, and nothing is held but the line at hand."""
     line = Window.partitionBy(*keys, "y").orderBy("x0", "x1")
-    reach = F.max("x1").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    opened = runs.select(*keys, "y", "x0", "x1", F.coalesce((F.col("x0") > reach + 1).cast("int"), F.lit(1)).alias("_opens"))
-    numbered = opened.withColumn("_n", F.sum("_opens").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "y", "_n").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_n")
+    reached = runs.select(*keys, "y", "x0", "x1", F.max("x1").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("_reach"))
+    opens, closes = F.col("x0") > F.lag("_reach").over(line) + 1, F.lead("x0").over(line) > F.col("_reach") + 1
+    ends = reached.withColumns({"_opens": F.coalesce(opens, F.lit(True)), "_closes": F.coalesce(closes, F.lit(True))}).where("_opens or _closes")
+    whole = ends.withColumn("_end", F.when(F.col("_closes"), F.col("_reach")).otherwise(F.lead("_reach").over(line))).where("_opens")
+    return whole.select(*keys, "y", "x0", F.col("_end").alias("x1"))
 
 
 def labelled(runs: DataFrame, keys: list[str], diagonal: bool = True) -> DataFrame:
@@ -132,23 +133,43 @@ def polygon_runs(polygons: DataFrame, keys: list[str], width: Column, height: Co
     """The places inside polygons (keys, an array of structs x and y) or on their outlines, within width and height, as merged runs of each set of keys.
 
     Of every line the crossings with the edges are sorted, and covered from each odd one to the next; outlines are points
-    along the edges, a place apart at most. Several polygons under the same keys are united.
+    along the edges, a place apart at most. A polygon's own runs are merged in its row, as numbers (line and place, the end
+    excluded) in arrays as long as its outline, so that only runs are shuffled. Several polygons under the same keys are united.
     """
-    sized = polygons.select(*keys, F.col(points).alias("p"), width.cast("int").alias("w"), height.cast("int").alias("h"), F.monotonically_increasing_id().alias("polygon"))
+    sized = polygons.select(*keys, F.col(points).alias("p"), width.cast("int").alias("w"), height.cast("int").alias("h")).where(F.size("p") > 0)
     following = F.concat(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), F.slice("p", 1, 1))
-    edges = sized.where(F.size("p") > 0).select(*keys, "w", "h", "polygon", F.explode(F.arrays_zip(F.col("p").alias("a"), following.alias("b"))).alias("e"))
-    edges = edges.select(*keys, "w", "h", "polygon", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
-
-    first = F.greatest(F.ceil(F.least("y1", "y2")), F.lit(0)).cast("int")
-    last = F.least(F.ceil(F.greatest("y1", "y2")) - 1, F.col("h") - 1).cast("int")
-    crossed = edges.withColumns({"first": first, "last": last}).where("first <= last").withColumn("y", F.explode(F.sequence("first", "last")))
-    at = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    lines = crossed.groupBy(*keys, "w", "polygon", "y").agg(F.sort_array(F.collect_list(at)).alias("c"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("c") - 2, F.lit(2)), lambda i: F.struct(F.ceil(F.get("c", i)).alias("x0"), (F.ceil(F.get("c", i + 1)) - 1).alias("x1")))
-    inside = lines.select(*keys, "w", "y", F.explode(pairs).alias("s")).select(*keys, "y", F.greatest("s.x0", F.lit(0)).cast("int").alias("x0"), F.least("s.x1", F.col("w") - 1).cast("int").alias("x1")).where("x0 <= x1")
-
-    n = F.floor(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))).cast("int") + 1
-    along = edges.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
-    on = lambda a, b: F.bround(F.when(F.col("i") == F.col("n"), F.col(b)).otherwise(F.col(a) + F.col("i") * ((F.col(b) - F.col(a)) / F.col("n")))).cast("int")
-    outline = along.select(*keys, "w", "h", on("y1", "y2").alias("y"), on("x1", "x2").alias("x0")).where("x0 >= 0 and x0 < w and y >= 0 and y < h")
-    return merged(inside.unionByName(outline.select(*keys, "y", "x0", F.col("x0").alias("x1"))), keys)
+    n = lambda a, b: F.floor(F.greatest(F.abs(b["x"] - a["x"]), F.abs(b["y"] - a["y"]))) + 1
+    edges = F.zip_with("p", following, lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"), n(a, b).alias("n")))
+    edges = F.transform(edges, lambda e: F.struct(*[e[c].alias(c) for c in ("x1", "y1", "x2", "y2", "n")], ((e["x2"] - e["x1"]) / e["n"]).alias("dx"), ((e["y2"] - e["y1"]) / e["n"]).alias("dy")))
+    place = lambda y, x: F.shiftleft(y.cast("long"), 32) + x.cast("long")
+
+    def crossings(e: Column) -> Column:
+        first = F.greatest(F.ceil(F.least(e["y1"], e["y2"])), F.lit(0))
+        last = F.least(F.ceil(F.greatest(e["y1"], e["y2"])) - 1, F.col("h") - 1)
+        at = lambda y: (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
+        within = lambda y: F.least(F.greatest(F.ceil(at(y)), F.lit(0)), F.col("w"))
+        return F.when(first <= last, F.transform(F.sequence(first, last), lambda y: place(y, within(y)))).otherwise(F.array().cast("array<bigint>"))
+
+    def steps(e: Column, a: str, d: str, size: str) -> tuple[Column, Column]:
+        """The first and last step along an edge that may lie within the mask, by one coordinate."""
+        at = [(F.lit(-1) - e[a]) / e[d], (F.col(size) - e[a]) / e[d]]
+        return F.when(e[d] == 0, F.lit(0)).otherwise(F.floor(F.least(*at))), F.when(e[d] == 0, e["n"]).otherwise(F.ceil(F.greatest(*at)))
+
+    def outline(e: Column) -> Column:
+        (x0, x1), (y0, y1) = steps(e, "x1", "dx", "w"), steps(e, "y1", "dy", "h")
+        first, last = F.greatest(x0, y0, F.lit(0)), F.least(x1, y1, e["n"])
+        on = lambda i, a, b, d: F.rint(F.when(i == e["n"], e[b]).otherwise(e[a] + i * e[d]))
+        each = F.transform(F.sequence(first, last), lambda i: F.struct(on(i, "y1", "y2", "dy").alias("y"), on(i, "x1", "x2", "dx").alias("x")))
+        held = F.filter(each, lambda q: (q["x"] >= 0) & (q["x"] < F.col("w")) & (q["y"] >= 0) & (q["y"] < F.col("h")))
+        return F.when(first <= last, F.transform(held, lambda q: place(q["y"], q["x"]))).otherwise(F.array().cast("array<bigint>"))
+
+    of_edges = sized.select(*keys, "w", "h", edges.alias("e"))
+    placed = of_edges.select(*keys, F.sort_array(F.flatten(F.transform("e", crossings))).alias("c"), F.flatten(F.transform("e", outline)).alias("o"))
+    begins = F.sort_array(F.concat(F.filter("c", lambda _, i: i % 2 == 0), "o"))
+    ends = F.sort_array(F.concat(F.filter("c", lambda _, i: i % 2 == 1), F.transform("o", lambda v: v + 1)))
+    # Between the i-th end and the next begin in order nothing is covered just where that begin is the larger; the first begin and the last end stand alone.
+    gaps = F.filter(F.arrays_zip(begins.alias("b"), F.concat(F.array(F.lit(None).cast("bigint")), ends).alias("e")), lambda g: F.coalesce(g["b"] > g["e"], F.lit(True)))
+    whole = F.zip_with("g", F.slice("g", 2, F.size("g")), lambda a, b: F.struct(a["b"].alias("b"), b["e"].alias("e")))
+    each = placed.select(*keys, gaps.alias("g")).select(*keys, F.explode(whole).alias("r")).where("r.b < r.e")
+    low = lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1)).cast("int")
+    return merged(each.select(*keys, F.shiftright("r.b", 32).cast("int").alias("y"), low("r.b").alias("x0"), (low("r.e") - 1).alias("x1")), keys)

@@ -102,6 +102,52 @@ def test_polygons_as_runs(spark):
         assert (mask_of([r for r in rows if r.k == k], want.shape) == want).all(), k
 
 
+def shuffled_rows(df):
+    """Rows that each exchange of an executed plan has written."""
+    df.collect()
+    found, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        name = node.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        inner = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        left += inner
+    return found
+
+
+def test_polygons_are_shuffled_as_runs(spark):
+    """Neither crossings nor points of the outline are shuffled, and merging holds no table of runs."""
+    rng = random.Random(5)
+    shapes = [(k, [(round(rng.uniform(-5, 45), 3), round(rng.uniform(-5, 45), 3)) for _ in range(32)]) for k in range(20)]
+    df = runs.polygon_runs(spark.createDataFrame(shapes, "k int, points array<struct<x: double, y: double>>"), ["k"], F.lit(40), F.lit(40))
+    assert shuffled_rows(df) == [df.count()]
+    assert "Aggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_polygons_far_outside(spark):
+    """Edges may be longer than any array; what they cover within the mask is all that is made."""
+    far = 6e9
+    shapes = [("all", [(-far, -far), (far, -far), (far, far), (-far, far)]), ("left", [(-far, 4.0), (7.0, 4.0), (7.0, 9.0), (-far, 9.0)]), ("none", [(30.0, -far), (40.0, -far), (40.0, far), (30.0, far)])]
+    df = spark.createDataFrame(shapes, "k string, points array<struct<x: double, y: double>>")
+    rows = runs.polygon_runs(df, ["k"], F.lit(30), F.lit(20)).collect()
+    want = [("all", y, 0, 29) for y in range(20)] + [("left", y, 0, 7) for y in range(4, 10)]
+    assert sorted((r.k, r.y, r.x0, r.x1) for r in rows) == want
+
+
+def test_merged_runs(spark):
+    """Runs within others, equal ones, adjoining ones and gaps of a place; lines and keys stay apart."""
+    rng = random.Random(8)
+    rows = [(k, y, a, a + rng.choice([0, 0, 1, 3, 12])) for k in range(3) for y in range(6) for a in [rng.randint(-4, 60) for _ in range(rng.randint(1, 14))]]
+    rows += [(9, 0, 0, 20), (9, 0, 1, 2), (9, 0, 5, 5), (9, 0, 5, 5), (9, 0, 21, 21), (9, 0, 23, 24), (9, 1, 25, 25)]
+    got = runs.merged(spark.createDataFrame(rows, "k int, y int, x0 int, x1 int"), ["k"]).collect()
+    want = []
+    for k, y in sorted({r[:2] for r in rows}):
+        on = {x for r in rows if r[:2] == (k, y) for x in range(r[2], r[3] + 1)}
+        want += [(k, y, a, next(b for b in range(a, 200) if b + 1 not in on)) for a in sorted(on) if a - 1 not in on]
+    assert sorted(tuple(r) for r in got) == want
+
+
 def test_bitmaps_of_masks(spark):
     rng = random.Random(6)
     rows = [(f"f{i % 3}", i % 7, rng.choice([0, 7, 8, 32767, 32768, 70_000, rng.randint(0, 200_000)]), rng.random() < 0.7) for i in range(400)] + [("f0", 1, -4, True), ("f0", 1, None, True), ("f0", 1, 5, None)]
